@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import exact_dedup
 from tessera.llm.decontam import op10_decontamination
+from tessera.llm.exact_dedup import op5_exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_decontamination,)}
+    return {f.__name__: f for f in (op5_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": exact_dedup.ORACLE}
