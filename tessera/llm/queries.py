@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup
+from tessera.llm.bpe import op9_bpe
 from tessera.llm.decontam import op10_decontamination
 from tessera.llm.exact_dedup import op5_exact_dedup
 from tessera.llm.simhash import op2_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op5_exact_dedup, op9_bpe, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
