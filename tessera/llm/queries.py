@@ -11,10 +11,11 @@ from tessera.llm.bpe import op9_bpe
 from tessera.llm.decontam import op10_decontamination
 from tessera.llm.exact_dedup import op5_exact_dedup
 from tessera.llm.simhash import op2_simhash
+from tessera.llm.tokenbin import op8_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_exact_dedup, op9_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op5_exact_dedup, op8_token_files, op9_bpe, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
