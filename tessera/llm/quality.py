@@ -19,6 +19,8 @@ any says so; repeated rows are answered once each; an empty table gives an empty
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -123,49 +125,61 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def fit(trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(order, k, p, g): probability of every seen window of every order, and the back-off weight
-    g of it as a context (null where it never is one)."""
+    """(n, k, p): the probability of every seen window of n symbols, and, under -n, the share of
+    what follows a context of n - 1 symbols that goes to the shorter windows."""
     part = trusted.select(F.col(text_col).cast("string")).mapInArrow(_count, "k int, c bigint")
     counts, _ = keep(part.groupBy("k").agg(F.sum("c").alias("c")), "window-counts")
     levels = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer windows a window ends
         short = F.col("k").bitwiseAND((1 << (BITS * n)) - 1)
         levels[n] = levels[n + 1].groupBy(short.alias("k")).agg(F.count("*").alias("c"))
-    lower, out = None, None
+        levels[n], _ = keep(levels[n], "window-counts")
+    lower, out = None, []
     for n in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(levels[n])
         d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         c = levels[n].select("k", "c", d.alias("d"), F.shiftright("k", BITS).alias("h"))
-        sums = c.groupBy("h").agg(F.sum("c").alias("all"), F.sum("d").alias("cut"))
-        c = c.join(sums, "h").select("k", "h", ((F.col("c") - F.col("d")) / F.col("all")).alias("own"), (F.col("cut") / F.col("all")).alias("g"))
+        sums = c.groupBy("h").agg((F.sum("d") / F.sum("c")).alias("g"), F.sum("c").alias("all"))
+        c = c.join(sums, "h").select("k", ((F.col("c") - F.col("d")) / F.col("all")).alias("own"), "g")
         if lower is None:
-            p = c.select("k", "h", (F.col("own") + F.col("g") / SYMBOLS).alias("p"), "g")
+            p = c.select("k", (F.col("own") + F.col("g") / SYMBOLS).alias("p"))
         else:
             below = lower.select(F.col("k").alias("s"), F.col("p").alias("q"))
             c = c.withColumn("s", F.col("k").bitwiseAND((1 << (BITS * (n - 1))) - 1))
-            p = c.join(below, "s").select("k", "h", (F.col("own") + F.col("g") * F.col("q")).alias("p"), "g")
-        lower = p.select("k", "p")
-        rows = p.select(F.lit(n).alias("n"), "k", F.col("p").cast("float").alias("p")).unionByName(p.select(F.lit(-n).alias("n"), F.col("h").alias("k"), F.col("g").cast("float").alias("p")).distinct())
-        out = rows if out is None else out.unionByName(rows)
-    return out
+            p = c.join(below, "s").select("k", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
+        lower, _ = keep(p, "window-probabilities")
+        out += [lower.select(F.lit(n).alias("n"), "k", F.col("p").cast("float").alias("p")), sums.select(F.lit(-n).alias("n"), F.col("h").alias("k"), F.col("g").cast("float").alias("p"))]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
-def dense(model: DataFrame) -> np.ndarray:
+def dense(n: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Natural-log probability of every possible window: bounded by the alphabet, not the corpus."""
-    t = model.toArrow()
-    n, k, p = (t.column(c).to_numpy() for c in ("n", "k", "p"))
     prob = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
     for order in range(1, ORDER + 1):
         g = np.ones(SYMBOLS ** (order - 1), np.float32)
         g[k[n == -order]] = p[n == -order]
-        prob = (g[:, None] * (np.tile(prob, SYMBOLS).reshape(-1, SYMBOLS) if order > 1 else prob[None, :])).ravel()
+        table_ = np.tile(prob, SYMBOLS if order > 1 else 1).reshape(-1, SYMBOLS)
+        table_ *= g[:, None]
+        prob = table_.ravel()
         prob[k[n == order]] = p[n == order]
-    return np.log(prob)
+    return np.log(prob, out=prob)
+
+
+_DENSE: dict[int, np.ndarray] = {}
+
+
+def dense_of(shared) -> np.ndarray:
+    """This worker's table for a broadcast model."""
+    key = id(shared.value)
+    if key not in _DENSE:
+        _DENSE.clear()
+        _DENSE[key] = dense(*shared.value)
+    return _DENSE[key]
 
 
 def _score(shared):
     def run(batches):
-        logp = shared.value
+        logp = dense_of(shared)
         for rb in batches:
             nll, size, words = np.zeros(rb.num_rows), np.zeros(rb.num_rows, np.int64), np.zeros(rb.num_rows, np.int64)
             for i, j, key, o, w in _chunks(rb.column(2)):
@@ -176,9 +190,10 @@ def _score(shared):
     return run
 
 
-def scores(docs: DataFrame, logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_symbols, n_words, nll): the negative log-likelihood of every text, in nats."""
-    shared = docs.sparkSession.sparkContext.broadcast(logp)
+    t = model.toArrow()  # at most SYMBOLS ** ORDER rows and a few more, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(t.column(c).to_numpy() for c in ("n", "k", "p")))
     cols = [F.col(id_col).cast("bigint"), F.col(lang_col).cast("string"), F.col(text_col).cast("string")]
     return docs.select(*cols).mapInArrow(_score(shared), "doc_id bigint, lang string, n_symbols bigint, n_words bigint, nll double")
 
@@ -189,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to their labels
         ids = F.broadcast(ids)
     trusted = docs.join(ids, docs[id_col] == ids["_trusted"], "left_semi")
-    scored, _ = keep(scores(docs, dense(fit(trusted, text_col)), id_col, text_col, lang_col), "perplexity")
+    scored, _ = keep(scores(docs, fit(trusted, text_col), id_col, text_col, lang_col), "perplexity")
     good = scored.where("n_symbols > 0").join(ids, scored["doc_id"] == ids["_trusted"], "left_semi")
     means = [(F.sum("nll") / F.sum("n_symbols")).alias("per_symbol"), (F.sum("nll") / F.greatest(F.sum("n_words"), F.lit(1))).alias("per_word")]
     high = (F.col("nll") + PRIOR_SYMBOLS * F.col("per_symbol")) / (F.col("n_symbols") + PRIOR_SYMBOLS)
