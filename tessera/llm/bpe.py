@@ -147,6 +147,11 @@ def words_in(data: np.ndarray, offs: np.ndarray, classes: np.ndarray):
     return s, e, vec.hasher(1)(data, s, e), vec.hasher(2)(data, s, e), first
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = memoryview(data)
+    return [bytes(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def texts_without(col: pa.Array, special: dict[str, int]) -> pa.Array:
     """Which texts hold no special string."""
     mask = pa.array(np.zeros(len(col), bool))
@@ -179,7 +184,7 @@ class Codec:
 
     def _plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, e, h, c, first = words_in(data, offs, self.classes)
-        ids, size = self.words.encode(h, c, lambda i: data[s[i] : e[i]].tobytes(), self.ids_of)
+        ids, size = self.words.encode(h, c, lambda rows: self.ids_of(spelled(data, s[rows], e[rows])))
         return ids, np.concatenate([[0], np.cumsum(size)])[first]
 
     def _special(self, text: str) -> np.ndarray:
@@ -252,7 +257,8 @@ def _count(shared):
             for i, j in vec.chunks(offs):
                 d = data[offs[i] : offs[j]]
                 s, e, h, c, _ = words_in(d, offs[i : j + 1] - offs[i], classes)
-                got = np.bincount(seen.numbers(h, c, lambda k, d=d, s=s, e=e: d[s[k] : e[k]].tobytes(), fresh), minlength=len(names))
+                number = seen.numbers(h, c, lambda rows, d=d, s=s, e=e: fresh(spelled(d, s[rows], e[rows])))
+                got = np.bincount(number, minlength=len(names))
                 got[: len(n)] += n
                 n = got
                 if len(names) > seen.limit:

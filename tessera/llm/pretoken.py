@@ -104,7 +104,7 @@ def split_words(points: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tupl
 class WordTable:
     """Open-addressed table of hashed words, each with a list of ids; lookups are vectorised."""
 
-    def __init__(self, bits: int = 18, limit: int = 1 << 20):
+    def __init__(self, bits: int = 18, limit: int = 1_500_000):
         self.limit, self.first_bits = limit, bits
         self.clear()
 
@@ -148,15 +148,15 @@ class WordTable:
     def add(self, h: np.ndarray, c: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """Add distinct words; returns their numbers."""
         n, used = self.n + len(h), int(self.ptr[self.n])
-        if 2 * n > len(self.key):
+        if 4 * n > 3 * len(self.key):
             full = self.key != 0
             old = self.key[full], self.check[full], self.val[full]
-            self._room(max((2 * n).bit_length(), self.first_bits))
+            self._room(max((4 * n // 3).bit_length(), self.first_bits))
             self._place(*old)
         if n >= len(self.ptr):
-            self.ptr = np.resize(self.ptr, 2 * n + 1)
+            self.ptr = np.resize(self.ptr, n + n // 2 + 1)
         if used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (used + len(flat)))
+            self.flat = np.resize(self.flat, (used + len(flat)) * 3 // 2)
         val = np.arange(self.n, n, dtype=np.int32)
         self.ptr[self.n + 1 : n + 1] = used + np.cumsum(lens)
         self.flat[used : used + len(flat)] = flat
@@ -166,26 +166,22 @@ class WordTable:
 
     def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the words one after the other, how many ids each word has)."""
-        a = self.ptr[number]
-        size = self.ptr[number + 1] - a
-        end = np.cumsum(size)
-        at = np.repeat(a - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
-        return self.flat[at], size
-
-    def numbers(self, h: np.ndarray, c: np.ndarray, spell, ids_of) -> np.ndarray:
-        """Numbers of all words; ``ids_of(words)`` gives (lens, ids) of those not seen before,
-        which ``spell(i)`` spells."""
+        a, b = self.ptr[number], self.ptr[number + 1]
+        return self.flat[vec.gather(a, b)], b - a
+
+    def numbers(self, h: np.ndarray, c: np.ndarray, ids_of) -> np.ndarray:
+        """Numbers of all words; ``ids_of(rows)`` gives (lens, ids) of rows with new words."""
         h = np.where(h == 0, vec.U64(1), h)
         number = self.find(h, c)
         miss = np.flatnonzero(number < 0)
         if len(miss):
             _, first, inverse = np.unique(h[miss] + c[miss] * vec.U64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
             rows = miss[first]
-            number[miss] = self.add(h[rows], c[rows], *ids_of([spell(i) for i in rows.tolist()]))[inverse]
+            number[miss] = self.add(h[rows], c[rows], *ids_of(rows))[inverse]
         return number
 
-    def encode(self, h: np.ndarray, c: np.ndarray, spell, ids_of) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, h: np.ndarray, c: np.ndarray, ids_of) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the words one after the other, how many ids each word has)."""
         if self.n > self.limit:
             self.clear()
-        return self.ids(self.numbers(h, c, spell, ids_of))
+        return self.ids(self.numbers(h, c, ids_of))

@@ -17,12 +17,12 @@ follow each other in no stated order; rows without doc_id come first; an empty t
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,30 +128,37 @@ class Tokens:
         self.tok = Tokenizer.from_str(spec)
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.classes, self.words = classes, WordTable()
+        vocab, suffix = self.tok.get_vocab(with_added_tokens=True), json.loads(spec)["model"]["end_of_word_suffix"] or "\0"
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a word
+        self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.low = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(PLAIN)], np.uint32)
         self.plain = np.array([len(chr(c).lower()) == 1 and ord(chr(c).lower()) < PLAIN for c in range(PLAIN)] + [False])
 
-    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per word, all ids) of words given as ranges of code points, many in a call."""
         lens, flat = [], []
-        for i in range(0, len(words), 512):
-            part = words[i : i + 512]
-            got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            owner = np.array(got.word_ids, np.int64)
-            if len(owner) and int(owner[-1]) == len(part) - 1:
-                lens.append(np.bincount(owner, minlength=len(part)))
-                flat.append(np.array(got.ids, np.int32))
+        for i in range(0, len(starts), 1024):
+            s, e = starts[i : i + 1024], ends[i : i + 1024]
+            stop = np.cumsum(e - s + 1)
+            line = np.full(int(stop[-1]), 32, np.uint32)  # a space after each word
+            line[vec.gather(stop - (e - s + 1), stop - 1)] = points[vec.gather(s, e)]
+            got = self.tok.encode_batch_fast([line.astype("<u4").tobytes().decode("utf-32-le")], add_special_tokens=False)[0]
+            ids = np.array(got.ids, np.int32)
+            last = np.flatnonzero(self.closes[ids])
+            if len(last) == len(s):
+                lens.append(np.diff(last, prepend=-1))
+                flat.append(ids)
             else:  # a word that the splitter cuts anew
-                each = [self.tok.encode(w, add_special_tokens=False).ids for w in part]
+                words = [points[a:b].astype("<u4").tobytes().decode("utf-32-le") for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                each = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
                 lens.append(np.array([len(x) for x in each]))
                 flat.append(np.array([y for x in each for y in x], np.int32))
         return np.concatenate(lens), np.concatenate(flat)
 
     def _plain(self, points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, e = split_words(points, offs, self.classes)
-        # Two bytes a code point: the byte hashes then tell all plain texts apart.
-        raw = points.astype("<u2").view(np.uint8)
-        h, c = vec.hasher(1)(raw, 2 * s, 2 * e), vec.hasher(2)(raw, 2 * s, 2 * e)
-        ids, size = self.words.encode(h, c, lambda i: raw[2 * s[i] : 2 * e[i]].tobytes().decode("utf-16-le"), self.ids_of)
+        h, c = vec.hasher(1, PLAIN)(points, s, e), vec.hasher(2, PLAIN)(points, s, e)
+        ids, size = self.words.encode(h, c, lambda rows: self.ids_of(points, s[rows], e[rows]))
         return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(s, offs)]
 
     def encode(self, col: pa.Array):
@@ -178,9 +185,18 @@ class Tokens:
 _TOKENS: dict[str, Tokens] = {}
 
 
-def _tokenize(shared, end_id: int):
+TOKEN_SCHEMA = "doc_id bigint, part int, width int, ids binary, counts binary"
+
+
+def _tokenize(shared, end_id: int, vocab: int):
+    """Rows of packed ids; then one row with how often each id occurred in the task."""
+
+    def batch(doc, part, width, ids, counts):
+        return pa.RecordBatch.from_arrays([doc, pa.array(part, pa.int32()), pa.array(width, pa.int32()), ids, counts], names=["doc_id", "part", "width", "ids", "counts"])
+
     def run(batches):
         spec, classes, cuts = shared.value
+        counts = np.zeros(vocab, np.int64)
         if spec not in _TOKENS:
             _TOKENS[spec] = Tokens(spec, classes)
         tok = _TOKENS[spec]
@@ -188,13 +204,16 @@ def _tokenize(shared, end_id: int):
             doc, done = rb.column(0), 0
             for ids, ends in tok.encode(rb.column(1)):
                 n = len(ends) - 1
+                counts += np.bincount(ids, minlength=vocab)
+                counts[end_id] += n
                 closed = np.insert(ids, ends[1:], end_id).astype("<u2" if end_id < 1 << 16 and (not len(ids) or ids.max() < 1 << 16) else "<u4")
                 off = (ends + np.arange(n + 1)) * closed.itemsize
                 part = doc.slice(done, n)
                 where = np.searchsorted(cuts, part.fill_null(np.iinfo(np.int64).min).to_numpy(), "right").astype(np.int32)
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(closed.tobytes())])
-                yield pa.RecordBatch.from_arrays([part, pa.array(where), pa.array(np.full(n, closed.itemsize, np.int32)), raw], names=["doc_id", "part", "width", "ids"])
+                yield batch(part, where, np.full(n, closed.itemsize), raw, pa.nulls(n, pa.binary()))
                 done += n
+        yield batch(pa.nulls(1, pa.int64()), [-1], [0], pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()))
 
     return run
 
@@ -206,17 +225,14 @@ def token_rows(col_width: pa.Array, col_ids: pa.Array):
         yield np.frombuffer(data[a:b].tobytes(), "<u2" if w == 2 else "<u4")
 
 
-def _histogram(vocab: int):
-    def run(batches):
-        counts = np.zeros(vocab, np.int64)
-        for rb in batches:
-            for width, kind in ((2, "<u2"), (4, "<u4")):
-                data, _ = vec.text_buffer(rb.column(1).filter(pc.equal(rb.column(0), width)))
-                counts += np.bincount(np.frombuffer(data.tobytes(), kind), minlength=vocab)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["id", "n"])
-
-    return run
+def _histogram(batches):
+    total = 0
+    for rb in batches:
+        for blob in rb.column(0).to_pylist():
+            total = total + np.frombuffer(blob, np.int64)
+    if isinstance(total, np.ndarray):
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
 
 BLOCK_SCHEMA = "part int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<int>, stream binary, states binary, marks binary, mark_states binary, crc bigint, freq_crc bigint"
@@ -272,9 +288,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
     vocab = Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True)
     cuts = part_cuts(rows, "doc_id", "text")
-    ids, _ = keep(rows.mapInArrow(_tokenize(sc.broadcast((spec, class_table(), cuts)), end_id), "doc_id bigint, part int, width int, ids binary"), "token-ids")
+    kept, _ = keep(rows.mapInArrow(_tokenize(sc.broadcast((spec, class_table(), cuts)), end_id, vocab), TOKEN_SCHEMA), "token-ids")
+    ids = kept.where("part >= 0").drop("counts")
     counts = np.zeros(vocab, np.int64)
-    for i, n in ids.select("width", "ids").mapInArrow(_histogram(vocab), "id int, n bigint").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in kept.select("counts").where("counts IS NOT NULL").mapInArrow(_histogram, "id int, n bigint").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
     fr = Frequencies(counts)
     ordered = ids.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id")

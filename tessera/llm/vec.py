@@ -36,12 +36,12 @@ ALNUM = byte_mask([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
 class Hasher:
-    """Polynomial hash of byte ranges, by prefix sums modulo 2**64."""
+    """Polynomial hash of ranges of bytes (or other small numbers), by prefix sums modulo 2**64."""
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.of_byte = rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
+    def __init__(self, seed: int, letters: int = 256):
+        rng = np.random.default_rng([seed, letters])
+        self.of_byte = rng.integers(1, 2**63, letters, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+        self.base = int(rng.integers(1, 2**60)) * 8 + 5
         self.inverse = pow(self.base, -1, 2**64)
         self.pow = self.inv = np.ones(1, U64)
 
@@ -73,13 +73,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_HASHERS: dict[int, Hasher] = {}
+_HASHERS: dict[tuple[int, int], Hasher] = {}
 
 
-def hasher(seed: int = 1) -> Hasher:
-    if seed not in _HASHERS:
-        _HASHERS[seed] = Hasher(seed)
-    return _HASHERS[seed]
+def hasher(seed: int = 1, letters: int = 256) -> Hasher:
+    if (seed, letters) not in _HASHERS:
+        _HASHERS[seed, letters] = Hasher(seed, letters)
+    return _HASHERS[seed, letters]
+
+
+def gather(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one range after the other."""
+    size = ends - starts
+    stop = np.cumsum(size)
+    return np.repeat(starts - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
