@@ -12,6 +12,7 @@ from tessera.llm.chat import op4_chat_format
 from tessera.llm.decontam import op10_decontamination
 from tessera.llm.exact_dedup import op5_exact_dedup
 from tessera.llm.html_extract import op6_html_extraction
+from tessera.llm.pii import op7_pii_pseudonyms
 from tessera.llm.quality import op1_quality
 from tessera.llm.secrets import op3_secrets
 from tessera.llm.simhash import op2_simhash
@@ -19,7 +20,7 @@ from tessera.llm.tokenbin import op8_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_secrets, op4_chat_format, op5_exact_dedup, op6_html_extraction, op8_token_files, op9_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_secrets, op4_chat_format, op5_exact_dedup, op6_html_extraction, op7_pii_pseudonyms, op8_token_files, op9_bpe, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
