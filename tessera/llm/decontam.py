@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, table
+from tessera.llm.shared import keep, table, without
 
 #: Bytes of text in an index segment, and of benchmark text shipped to the segments at a time.
 SEGMENT_BYTES = 4 << 20
@@ -267,5 +267,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     return hits.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a benchmark passage."""
+    return without(docs, decontaminate(docs, benchmark, window, id_col, text_col).where("contaminated"), id_col)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

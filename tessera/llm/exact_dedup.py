@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, table
+from tessera.llm.shared import keep, table, without
 
 #: Bytes of distinct text in a bucket, and of text that a map task chains before it sends.
 BUCKET_BYTES = 8 << 20
@@ -160,8 +160,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")), id_col)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, table
+from tessera.llm.shared import keep, small_ids, table, without
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -37,9 +37,6 @@ UPPER, LOWER, SLACK, WORD_SLACK = 0.995, 0.002, 0.08, 1.0
 #: Symbols and words of average text that each document is scored with besides its own.
 PRIOR_SYMBOLS, PRIOR_WORDS = 60, 15
 
-#: Trusted ids up to this number (16 bytes each) go to the texts by broadcast.
-BROADCAST_IDS = 2_000_000
-
 START, CAPITAL, DIGIT, LINE, SPACE, REPEAT, OTHER = 0, 27, 28, 29, 30, 31, 32
 _PUNCTUATION = ".,'\"-:;!?()|*#$%&@_=/"
 _ACCENTED = 54  # to 63: other letters, by their bytes
@@ -201,8 +198,7 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang, n_symbols, perplexity, threshold and lowest of its language, keep."""
     ids = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("_trusted")).distinct()
-    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to their labels
-        ids = F.broadcast(ids)
+    ids = small_ids(ids)
     trusted = docs.join(ids, docs[id_col] == ids["_trusted"], "left_semi")
     scored, _ = keep(scores(docs, fit(trusted, text_col), id_col, text_col, lang_col), "perplexity")
     good = scored.where("n_symbols > 0").join(ids, scored["doc_id"] == ids["_trusted"], "left_semi")
@@ -231,8 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    gone = classify(docs, labels, id_col, text_col, lang_col).where(~F.col("keep")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, classify(docs, labels, id_col, text_col, lang_col).where(~F.col("keep")), id_col)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

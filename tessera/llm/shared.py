@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -50,6 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` whose function may itself be a generator over record batches."""
-    return df.mapInArrow(fn, schema)
+#: Ids up to this number (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def small_ids(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if they are few enough, so that wide rows stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone``; rows without an id stay."""
+    ids, _ = keep(gone.select(F.col(id_col).alias("_gone")).distinct(), "dropped-ids")
+    ids = small_ids(ids)
+    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import drop_path, keep, table
+from tessera.llm.shared import drop_path, keep, table, without
 
 U64 = np.uint64
 SEED = 42
@@ -346,8 +346,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` per component: the one with the smallest id."""
-    gone = near_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, near_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")), id_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
