@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.catalog import evaluation
+from tessera.catalog import evaluation, filters, projection
 
-MODULES = (evaluation,)
+MODULES = (evaluation, projection, filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,13 +34,13 @@ def fuse(*matrices: Sequence[Sequence[float]]) -> list[list[float]]:
 def project(matrix: Sequence[Sequence[float]], x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     """Image column and row of a point, truncated towards zero, so that (-1, 0) lands in 0."""
     u, v, w = (linear(row, x, y, z) for row in matrix)
-    return (u / w).cast("int"), (v / w).cast("int")
+    return F.try_divide(u, w).cast("int"), F.try_divide(v, w).cast("int")
 
 
 def plane(matrix: Sequence[Sequence[float]], x: Column, z: Column) -> tuple[Column, Column]:
     """Dehomogenised 3x3 map of a ground point."""
     u, v, w = (linear(row, x, z) for row in matrix)
-    return u / w, v / w
+    return F.try_divide(u, w), F.try_divide(v, w)
 
 
 def grid_cell(x: Column, y: Column, size: int = 800, cell: float = 0.2) -> tuple[Column, Column]:
