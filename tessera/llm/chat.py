@@ -53,13 +53,14 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = nodes.select("tree", F.col("node").alias("parent"))
     real = nodes.join(known.withColumn("found", F.lit(True)), ["tree", "parent"], "left")
     state, _ = keep(real.select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("jump"), F.col("node").alias("root"), F.when(F.col("found"), 1).otherwise(0).cast("bigint").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total")), "reply-jumps")
-    jumps = []
-    while len(jumps) < MAX_LEVELS and not state.where("jump IS NOT NULL").isEmpty():
-        jumps.append(state.where("jump IS NOT NULL").select("tree", "node", "jump"))
-        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        far = state.join(up, ["tree", "jump"], "left")
-        state, _ = keep(far.select("tree", "node", F.col("_jump").alias("jump"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "reply-jumps")
-    return state.where("jump IS NULL").drop("jump"), jumps
+    done, rising, jumps = state.where("jump IS NULL"), state.where("jump IS NOT NULL"), []
+    while len(jumps) < MAX_LEVELS and not rising.isEmpty():  # messages that have reached their root join no more
+        jumps.append(rising.select("tree", "node", "jump"))
+        up = done.unionByName(rising).select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        far = rising.join(up, ["tree", "jump"]).select("tree", "node", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        state, _ = keep(far, "reply-jumps")
+        done, rising = done.unionByName(state.where("jump IS NULL")), state.where("jump IS NOT NULL")
+    return done.drop("jump"), jumps
 
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
