@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.catalog import evaluation, filters, projection
+from tessera.catalog import costs, evaluation, filters, projection, regions
 
-MODULES = (evaluation, projection, filters)
+MODULES = (evaluation, projection, costs, filters, regions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -141,17 +141,23 @@ def merge_modes(pixels: DataFrame, gap: float = 1.0, value: str = "v") -> DataFr
 # --- superpixels by grid k-means ---------------------------------------------------------------------
 
 
-def grid_centres(pixels: DataFrame, distance: int) -> DataFrame:
-    """One centre per grid square of side ``distance``: (image_id, cx, cy, mx, my, mv)."""
-    at = pixels.withColumn("cx", F.floor(F.col("x") / distance).cast("int")).withColumn("cy", F.floor(F.col("y") / distance).cast("int"))
+def sides(distance: int | tuple[int, int]) -> tuple[int, int]:
+    return distance if isinstance(distance, tuple) else (distance, distance)
+
+
+def grid_centres(pixels: DataFrame, distance: int | tuple[int, int]) -> DataFrame:
+    """One centre per grid square (a side, or width and height): (image_id, cx, cy, mx, my, mv)."""
+    w, h = sides(distance)
+    at = pixels.withColumn("cx", F.floor(F.col("x") / w).cast("int")).withColumn("cy", F.floor(F.col("y") / h).cast("int"))
     return at.groupBy("image_id", "cx", "cy").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("v").alias("mv"))
 
 
-def grid_assign(pixels: DataFrame, centres: DataFrame, distance: int, ratio: float, reach: int = 1) -> DataFrame:
+def grid_assign(pixels: DataFrame, centres: DataFrame, distance: int | tuple[int, int], ratio: float, reach: int = 1) -> DataFrame:
     """(image_id, x, y, cx, cy): the nearest centre of the squares within ``reach``; the first wins ties. An
     equi join on squares: each pixel asks (2 reach + 1)^2 of them."""
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(-reach, reach + 1) for i in range(-reach, reach + 1))))
-    asked = pixels.select("image_id", "x", "y", "v", step.alias("s")).withColumn("cx", F.floor(F.col("x") / distance).cast("int") + F.col("s.i")).withColumn("cy", F.floor(F.col("y") / distance).cast("int") + F.col("s.j")).drop("s")
+    w, h = sides(distance)
+    asked = pixels.select("image_id", "x", "y", "v", step.alias("s")).withColumn("cx", F.floor(F.col("x") / w).cast("int") + F.col("s.i")).withColumn("cy", F.floor(F.col("y") / h).cast("int") + F.col("s.j")).drop("s")
     d = ratio * ratio * ((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2) + (F.col("v") - F.col("mv")) ** 2
     best = F.min(F.struct(F.round(d, 9).alias("d"), F.col("cy").alias("cy"), F.col("cx").alias("cx"))).alias("best")
     return asked.join(centres, ["image_id", "cx", "cy"]).groupBy("image_id", "x", "y").agg(best).select("image_id", "x", "y", "best.cx", "best.cy")
