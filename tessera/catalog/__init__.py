@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.catalog import costs, evaluation, filters, projection, regions
+from tessera.catalog import costs, evaluation, filters, graphs, learning, projection, regions, tables
 
-MODULES = (evaluation, projection, costs, filters, regions)
+MODULES = (evaluation, projection, costs, filters, regions, learning, graphs, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
