@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm import vec
 from tessera.llm.lexicon import Lexicon, build
 from tessera.llm.pretoken import WordTable, class_table, decode, split_bytes
-from tessera.llm.shared import table
+from tessera.llm.shared import drop_path, keep, table
 
 #: Words in the lexicon, and bytes of the longest one; both bound what is broadcast.
 LEXICON_WORDS = 1 << 16
@@ -276,12 +276,27 @@ def word_counts(docs: DataFrame, classes, text_col: str = "text") -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, words: int) -> list:
+    """The words of the highest counts, ``words`` at most: all those above a cut that a histogram
+    of the counts' logarithms (a few hundred rows) gives, so no task sends more than those."""
+    counts, path = keep(counts, "word-counts")
+    step = F.floor(F.log("n") * 24).cast("int")
+    room, cut = words, None
+    for level, n in counts.groupBy(step.alias("level")).count().orderBy(F.desc("level")).collect():
+        if n > room:
+            break
+        room, cut = room - n, level
+    top = counts.where(step >= cut).select("word").collect() if cut is not None else []
+    drop_path(counts.sparkSession, path)
+    return top
+
+
 def prepare(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = LEXICON_WORDS):
     """Broadcast of (merges, classes, lexicon file) for these texts."""
     sc = docs.sparkSession.sparkContext
     merges, classes = Merges(tokenizer), class_table()
     counts = word_counts(docs, sc.broadcast(classes), text_col)
-    top = counts.where(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    top = most_frequent(counts.where(F.octet_length("word") <= LEXICON_BYTES), words)
     frequent = [bytes(r[0]) for r in top]
     lens, flat = merges.merge(frequent)
     return sc.broadcast((merges, classes, build(frequent, np.split(flat, np.cumsum(lens)[:-1]) if frequent else [])))

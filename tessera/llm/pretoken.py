@@ -104,7 +104,7 @@ def split_words(points: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tupl
 class WordTable:
     """Open-addressed table of hashed words, each with a list of ids; lookups are vectorised."""
 
-    def __init__(self, bits: int = 18, limit: int = 1_500_000):
+    def __init__(self, bits: int = 18, limit: int = 1_000_000):
         self.limit, self.first_bits = limit, bits
         self.clear()
 
