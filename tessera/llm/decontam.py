@@ -29,7 +29,7 @@ SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 2 << 20
 WINDOW = 10
 
-SEGMENT_SCHEMA = "ids array<bigint>, first array<int>, terms binary, checks binary, counts binary, gaps binary"
+SEGMENT_SCHEMA = "segment string, ids array<bigint>, first array<int>, terms binary, checks binary, counts binary, gaps binary"
 HIT_SCHEMA = "segment string, row int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, n_near bigint"
 
 
@@ -93,15 +93,19 @@ def unpack(counts: np.ndarray, blob: bytes) -> np.ndarray:
 
 
 def _index(batches):
+    from pyspark import TaskContext
+
+    done = 0
     for rb in batches:
         ids = rb.column(0)
         data, offs = vec.text_buffer(rb.column(1))
         for i, j in vec.chunks(offs, SEGMENT_BYTES):
             h1, h2, first = words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             terms, checks, counts, pos = invert(h1, h2)
+            done += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (terms.tobytes(), checks.tobytes(), planes(counts), pack(counts, pos)))],
-                names=["ids", "first", "terms", "checks", "counts", "gaps"],
+                [pa.array([f"{TaskContext.get().partitionId()}:{done}"]), pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (terms.tobytes(), checks.tobytes(), planes(counts), pack(counts, pos)))],
+                names=["segment", "ids", "first", "terms", "checks", "counts", "gaps"],
             )
 
 
@@ -199,12 +203,10 @@ def lists(n: int, row: np.ndarray, *cols: np.ndarray) -> list[pa.Array]:
 
 def _search(shared, slop: int | None):
     def run(batches):
-        from pyspark import TaskContext
-
-        q, k = shared.value, 0
+        q = shared.value
         for rb in batches:
             for r in range(rb.num_rows):
-                ids, first, terms, checks, counts, gaps = (rb.column(c) for c in range(6))
+                segment, ids, first, terms, checks, counts, gaps = (rb.column(c) for c in range(7))
                 first = first[r].values.to_numpy().astype(np.int64)
                 counts = unplanes(counts[r].as_py()).astype(np.int64)
                 pos = unpack(counts, gaps[r].as_py())
@@ -216,10 +218,9 @@ def _search(shared, slop: int | None):
                 pairs = np.unique(np.array([(a, i) for a, w in {*zip(doc.tolist(), win.tolist(), strict=True)} for i in q.items[w].tolist()], np.int64).reshape(-1, 2), axis=0)
                 starts, ends = lists(n, d, s.astype(np.int32), e.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{TaskContext.get().partitionId()}:{k}"] * n), pa.array(np.arange(n, dtype=np.int32)), ids[r].values, pa.array(np.diff(first)), starts, ends, *lists(n, pairs[:, 0], pairs[:, 1]), pa.array([close] + [0] * (n - 1) if n else [], pa.int64())],
+                    [pa.array([segment[r].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), ids[r].values, pa.array(np.diff(first)), starts, ends, *lists(n, pairs[:, 0], pairs[:, 1]), pa.array([close] + [0] * (n - 1) if n else [], pa.int64())],
                     names=["segment", "row", "doc_id", "n_words", "starts", "ends", "items", "n_near"],
                 )
-                k += 1
 
     return run
 

@@ -42,6 +42,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 
 #: Scores before any page has been seen, and the bounds of fitted ones.
 WORD_PRIOR, TAG_PRIOR, CLIP = 0.5, -0.5, 4.0
+#: Score of a tag inside a menu-like container.
+MENU_TAG = -0.02
 
 
 def menu_like(name: str, attributes: str, in_article: bool) -> bool:
@@ -137,7 +139,8 @@ def region(found: list, weights: dict[tuple[str, str], float]) -> tuple[int, int
     """First and last event of the contiguous region of the largest positive sum (-1, -1: none)."""
     best, span, total, start = 0.0, (-1, -1), 0.0, 0
     for i, (kind, key, text, _) in enumerate(found):
-        w = weights.get((kind, key), default_score(kind, key))
+        # what stands in menu-like containers is left out anyway: it must not cut an article in two
+        w = (MENU_TAG if kind == "tag" else 0.0) if "/menu" in key else weights.get((kind, key), default_score(kind, key))
         total += w * len(text.split()) if kind == "block" else w
         if total > best:
             best, span = total, (start, i)

@@ -7,7 +7,7 @@ counts, context sums and probabilities of all orders come from joins of the coun
 contexts and suffixes. Because the alphabet bounds the tables (64**4 windows, whatever the
 corpus), the final join of documents' windows with their probabilities is map-side: the table is
 broadcast, and no document text or window is shuffled. A document goes when its perplexity per
-symbol passes its language's upper quantile over trusted text, or when its words cost less than the
+symbol passes its language's upper quantile over held-out trusted text, or when its words cost less than the
 lower one (text that repeats itself is too easy to foretell). Both are pulled towards the
 language's mean by the weight of a short passage, so that a few words prove little.
 
@@ -36,6 +36,10 @@ WINDOWS = 1 << (BITS * ORDER)
 UPPER, LOWER, SLACK, WORD_SLACK = 0.995, 0.002, 0.08, 1.0
 #: Symbols and words of average text that each document is scored with besides its own.
 PRIOR_SYMBOLS, PRIOR_WORDS = 60, 15
+#: Every count gives up this much, so that nothing has probability zero.
+LEAST_DISCOUNT = 0.05
+#: One trusted document in HELD_OUT, by a hash of its id, sets quantiles and trains nothing.
+HELD_OUT = 4
 
 START, CAPITAL, DIGIT, LINE, SPACE, REPEAT, OTHER = 0, 27, 28, 29, 30, 31, 32
 _PUNCTUATION = ".,'\"-:;!?()|*#$%&@_=/"
@@ -118,7 +122,7 @@ def _discounts(counts: DataFrame) -> list[float]:
     n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     each = [(1, n1, n2), (2, n2, n3), (3, n3, n4)]
-    return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else 0.5 * k for k, a, b in each]
+    return [min(max(k - (k + 1) * y * b / a, LEAST_DISCOUNT), float(k)) if a else 0.5 * k for k, a, b in each]
 
 
 def fit(trusted: DataFrame, text_col: str = "text") -> DataFrame:
@@ -198,10 +202,11 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang, n_symbols, perplexity, threshold and lowest of its language, keep."""
     ids = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("_trusted")).distinct()
-    ids = small_ids(ids)
-    trusted = docs.join(ids, docs[id_col] == ids["_trusted"], "left_semi")
+    held = F.pmod(F.xxhash64("_trusted"), F.lit(HELD_OUT)) == 0
+    seen = ids.where(~held)
+    trusted = docs.join(small_ids(seen), docs[id_col] == seen["_trusted"], "left_semi")
     scored, _ = keep(scores(docs, fit(trusted, text_col), id_col, text_col, lang_col), "perplexity")
-    good = scored.where("n_symbols > 0").join(ids, scored["doc_id"] == ids["_trusted"], "left_semi")
+    good = scored.where("n_symbols > 0").join(ids.where(held), F.col("doc_id") == F.col("_trusted"), "left_semi")
     means = [(F.sum("nll") / F.sum("n_symbols")).alias("per_symbol"), (F.sum("nll") / F.greatest(F.sum("n_words"), F.lit(1))).alias("per_word")]
     high = (F.col("nll") + PRIOR_SYMBOLS * F.col("per_symbol")) / (F.col("n_symbols") + PRIOR_SYMBOLS)
     low = (F.col("nll") + PRIOR_WORDS * F.col("per_word")) / (F.col("n_words") + PRIOR_WORDS)
