@@ -12,7 +12,8 @@ digits with a right Luhn digit), phone (10 to 15 digits, with a country code or
 separated area code). Dates move within their era (the years 1000, 1900 and 2100 begin one); dates
 that only make sense month first keep a day past the 12th, so that they are read so again.
 
-Defined results: null text stays null with no values; a text without valid values is returned as
+Defined results: a date written without leading zeros turns back into the same date, perhaps with
+them; null text stays null with no values; a text without valid values is returned as
 it is; repeated rows are answered once each; an empty table gives an empty result.
 """
 

@@ -516,7 +516,7 @@ def test_region_is_the_largest_sum():
 
 PRIVATE = [
     "mail a.b12@mail7.example.com, +1 (706) 555-3138 4111 1111 1111 1111; 4111111111111112",
-    "1.2.3.4 256.1.1.1 10.0.0.255. 2020-02-29 2021-02-29 31/12/1999 12.5.2001 1850-03-04 12/31/1999 02/29/2004 4/30/2011 7/13/1988",
+    "1.2.3.4 256.1.1.1 10.0.0.255. 2020-02-29 2021-02-29 31/12/1999 12.5.2001 1850-03-04 12/31/1999 02/29/2004 04/30/2011 07/13/1988",
     "ssn 123-45-6789 000-12-3456 GB82 WEST 1234 5698 7654 32 DE89370400440532013000 (415) 555-2671",
     None,
     "",
