@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup
+from tessera.llm import chat, decontam, exact_dedup
 from tessera.llm.bpe import op9_bpe
 from tessera.llm.chat import op4_chat_format
 from tessera.llm.decontam import op10_decontamination
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}
