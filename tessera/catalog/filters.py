@@ -29,17 +29,17 @@ def _pass(out: str, src: str, taps: str, axis: str, most: int, centre: int) -> s
 
 @QUERIES.add(f"{A.sql('raster')}, {_taps_sql('g', GAUSS)}, {_pass('c', 'raster', 'g', 'x', W_ - 1, 3)} SELECT image_id, x, y, round(v, 6) AS v FROM c")
 def convolve_x(spark, d):
-    return rounded(S.convolve(A.raster(spark, d), GAUSS, "x"), "v", digits=6)
+    return rounded(S.convolve(A.raster(spark, d), GAUSS, "x", W_), "v", digits=6)
 
 
 @QUERIES.add(f"{A.sql('raster')}, {_taps_sql('g', GAUSS)}, {_pass('c', 'raster', 'g', 'y', H_ - 1, 3)} SELECT image_id, x, y, round(v, 6) AS v FROM c")
 def convolve_y(spark, d):
-    return rounded(S.convolve(A.raster(spark, d), GAUSS, "y"), "v", digits=6)
+    return rounded(S.convolve(A.raster(spark, d), GAUSS, "y", H_), "v", digits=6)
 
 
 @QUERIES.add(f"{A.sql('raster')}, {_taps_sql('g', GAUSS)}, {_taps_sql('e', I.gaussian_slope(1.0))}, {_pass('a', 'raster', 'e', 'x', W_ - 1, 3)}, {_pass('c', 'a', 'g', 'y', H_ - 1, 3)} SELECT image_id, x, y, round(v, 6) + 0.0 AS v FROM c")
 def convolve_xy(spark, d):
-    out = S.separable(A.raster(spark, d), I.gaussian_slope(1.0), GAUSS)
+    out = S.separable(A.raster(spark, d), I.gaussian_slope(1.0), GAUSS, (W_, H_))
     return out.withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
@@ -50,7 +50,7 @@ SELECT image_id, x, y, round(c1.v + c2.v, 6) + 0.0 AS v FROM c1 JOIN c2 USING (i
 
 @QUERIES.add(LOG)
 def laplacian(spark, d):
-    return S.laplacian(A.raster(spark, d), 1.0).withColumn("v", F.round("v", 6) + F.lit(0.0))
+    return S.laplacian(A.raster(spark, d), 1.0, (W_, H_)).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
 _G = "exp(-CAST(k * k AS DOUBLE) / (2 * s * s))"
@@ -67,7 +67,7 @@ def gaussian_taps(spark, d):
 
 @QUERIES.add()
 def texton_bank(spark, d):
-    return S.texton_responses(A.raster(spark, d), 0.5)
+    return S.texton_responses(A.raster(spark, d), 0.5, (W_, H_))
 
 
 GRAD = A.sql("raster") + """,
@@ -97,7 +97,8 @@ def lbp_code(spark, d):
 
 @QUERIES.add(A.sql("raster") + " SELECT a.image_id, a.x, a.y, sum(b.v) AS s FROM raster a JOIN raster b ON a.image_id = b.image_id AND b.x <= a.x AND b.y <= a.y GROUP BY 1, 2, 3")
 def integral_image(spark, d):
-    return S.integral(A.raster(spark, d))
+    r = A.raster(spark, d)
+    return S.integral(S.dense(r, W_, H_)).join(r.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi")
 
 
 SHAPES = [(0, -2, -1, 5, 3), (1, 0, 0, 4, 4), (2, -6, -3, 6, 2)]
@@ -109,4 +110,4 @@ SELECT p.image_id, p.x, p.y, shape_id, coalesce(sum(q.v), 0) AS total FROM raste
 def rect_sum(spark, d):
     shapes = spark.createDataFrame(SHAPES, "shape_id int, dx int, dy int, w int, h int")
     r = A.raster(spark, d)
-    return S.rectangle_sums(S.integral(r), r, shapes, W_, H_)
+    return S.rectangle_sums(S.integral(S.dense(r, W_, H_)), r, shapes, W_, H_)

@@ -11,48 +11,58 @@ from pyspark.sql import functions as F
 from tessera.functions import imaging as I
 
 
-def convolve(pixels: DataFrame, taps: Sequence[float], axis: str, value: str = "v", legacy_edge: bool = True, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """One-dimensional convolution along ``axis`` (x or y) with clamped borders.
+def dense(pixels: DataFrame, width: int, height: int, value: str = "v", fill: float = 0.0) -> DataFrame:
+    """Images with every pixel of their grid; those that were missing hold ``fill``."""
+    cells = pixels.sparkSession.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
+    grid = pixels.select("image_id").distinct().crossJoin(F.broadcast(cells))  # one row a pixel: the result's own size
+    return grid.join(pixels, ["image_id", "x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
-    Short tap lists become window frames over rows of an image (one sort, no join). ``legacy_edge``: the
-    last tap is left out where it would reach past the far border.
+
+def convolve(pixels: DataFrame, taps: Sequence[float], axis: str, size: int | None = None, value: str = "v", legacy_edge: bool = True, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """One-dimensional convolution along ``axis`` (x or y) of ``size`` pixels with clamped borders.
+
+    Taps are window frames of one coordinate over an image's rows: one sort, no join. Missing pixels
+    count as zero. ``size``: by default up to the last pixel of each row. ``legacy_edge``: the last
+    tap is left out where it would reach past the far border.
     """
     other = "y" if axis == "x" else "x"
     centre = len(taps) // 2
     w = W.partitionBy(*keys, other).orderBy(axis)
-    row = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    low, high = F.first(value).over(row), F.last(value).over(row)
-    least, most = F.min(axis).over(row), F.max(axis).over(row)
-    at = pixels.select(*keys, "x", "y", value, low.alias("_low"), high.alias("_high"), least.alias("_least"), most.alias("_most"), *(F.lag(value, -k).over(w).alias(f"_t{k + centre}") for k in range(-centre, centre + 1)))
+    row = W.partitionBy(*keys, other)
+    most = F.lit(size - 1) if size else F.max(axis).over(row)
+    at = pixels.select(*keys, "x", "y", value, most.alias("_most"), *(F.max(value).over(w.rangeBetween(k, k)).alias(f"_t{k + centre}") for k in range(-centre, centre + 1)))
+    edge = lambda where: F.max(F.when(where, F.col(value))).over(row)
+    at = at.withColumn("_low", edge(F.col(axis) == 0)).withColumn("_high", edge(F.col(axis) == F.col("_most")))
     out: Column = F.lit(0.0)
     for k, tap in enumerate(taps):
         off = k - centre
-        v = F.when(F.col(axis) + off < F.col("_least"), F.col("_low")).when(F.col(axis) + off > F.col("_most"), F.col("_high")).otherwise(F.col(f"_t{k}"))
+        v = F.when(F.col(axis) + off < 0, F.col("_low")).when(F.col(axis) + off > F.col("_most"), F.col("_high")).otherwise(F.col(f"_t{k}"))
         if legacy_edge and off == centre and centre:
             v = F.when(F.col(axis) + off > F.col("_most"), F.lit(0.0)).otherwise(v)
-        out = out + F.lit(float(tap)) * v
+        out = out + F.lit(float(tap)) * F.coalesce(v, F.lit(0.0))
     return at.select(*keys, "x", "y", out.alias(value))
 
 
-def separable(pixels: DataFrame, taps_x: Sequence[float], taps_y: Sequence[float], value: str = "v", legacy_edge: bool = True) -> DataFrame:
+def separable(pixels: DataFrame, taps_x: Sequence[float], taps_y: Sequence[float], size: tuple[int, int] | None = None, value: str = "v", legacy_edge: bool = True) -> DataFrame:
     """x first, then y."""
-    return convolve(convolve(pixels, taps_x, "x", value, legacy_edge), taps_y, "y", value, legacy_edge)
+    w, h = size or (None, None)
+    return convolve(convolve(pixels, taps_x, "x", w, value, legacy_edge), taps_y, "y", h, value, legacy_edge)
 
 
-def laplacian(pixels: DataFrame, sigma: float, value: str = "v", legacy_edge: bool = True) -> DataFrame:
+def laplacian(pixels: DataFrame, sigma: float, size: tuple[int, int] | None = None, value: str = "v", legacy_edge: bool = True) -> DataFrame:
     """Laplacian of Gaussian: the sum of both second derivatives."""
     g, c = I.gaussian(sigma), I.gaussian_curvature(sigma)
-    parts = separable(pixels, c, g, value, legacy_edge).unionByName(separable(pixels, g, c, value, legacy_edge))
+    parts = separable(pixels, c, g, size, value, legacy_edge).unionByName(separable(pixels, g, c, size, value, legacy_edge))
     return parts.groupBy("image_id", "x", "y").agg(F.sum(value).alias(value))
 
 
-def texton_responses(pixels: DataFrame, scale: float = 1.0, value: str = "v", legacy_edge: bool = True) -> DataFrame:
+def texton_responses(pixels: DataFrame, scale: float = 1.0, size: tuple[int, int] | None = None, value: str = "v", legacy_edge: bool = True) -> DataFrame:
     """(image_id, x, y, name, response) of the one-band filters of the texton bank."""
     out = None
     for name, band, tx, ty in I.texton_bank(scale):
         if band:
             continue
-        part = separable(pixels, tx, ty, value, legacy_edge).select("image_id", "x", "y", F.lit(name).alias("name"), F.col(value).alias("response"))
+        part = separable(pixels, tx, ty, size, value, legacy_edge).select("image_id", "x", "y", F.lit(name).alias("name"), F.col(value).alias("response"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("image_id", "x", "y", "name").agg(F.sum("response").alias("response"))
 
@@ -86,7 +96,7 @@ def lbp(pixels: DataFrame, width: int, height: int, value: str = "v") -> DataFra
 
 
 def integral(pixels: DataFrame, value: str = "v", keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Summed-area table: sums over all pixels above and left, both included."""
+    """Summed-area table of dense images: sums over all pixels above and left, both included."""
     wx = W.partitionBy(*keys, "y").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
     wy = W.partitionBy(*keys, "x").orderBy("y").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = pixels.select(*keys, "x", "y", F.sum(value).over(wx).alias("_row"))
