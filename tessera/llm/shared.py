@@ -24,8 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application has put there; results not yet written elsewhere go with it."""
+    drop_path(spark, own_dir(spark))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
