@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import imaging as I
+from tessera.operators.bins import filled
 from tessera.storage import stored
 
 # --- vectors and clusters ---------------------------------------------------------------------------
@@ -99,9 +100,7 @@ def boost_sums(examples: DataFrame, thresholds: Sequence[float], feature: str =
     t = literal(sorted(thresholds))
     reached = F.size(F.filter(t, lambda x: x <= F.col(feature)))
     bins = examples.groupBy(*keys, reached.alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("z")).alias("wz"))
-    n = len(thresholds)
-    grid = bins.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("bin"))
-    full = grid.join(bins, [*keys, "bin"], "left").na.fill(0.0, ["w", "wz"])
+    full = filled(bins, keys, "bin", 0, len(thresholds), ["w", "wz"])
     over = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.currentRow, W.unboundedFollowing)
     every = W.partitionBy(*keys)
     s = full.select(*keys, "bin", F.sum("w").over(every).alias("p"), F.sum("w").over(over).alias("q"), F.sum("wz").over(every).alias("r"), F.sum("wz").over(over).alias("u"))
@@ -207,8 +206,7 @@ def entropy_splits(rows: DataFrame, thresholds: Sequence[float], feature: str =
     t = literal(sorted(thresholds))
     reached = F.size(F.filter(t, lambda x: x <= F.col(feature)))
     bins = rows.groupBy(*keys, label, reached.alias("bin")).agg(F.count("*").alias("n"))
-    grid = bins.select(*keys, label).distinct().select(*keys, label, F.explode(F.sequence(F.lit(0), F.lit(len(thresholds)))).alias("bin"))
-    full = grid.join(bins, [*keys, label, "bin"], "left").na.fill(0, ["n"])
+    full = filled(bins, [*keys, label], "bin", 0, len(thresholds), ["n"])
     w = W.partitionBy(*keys, label).orderBy("bin")
     right = F.sum("n").over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
     left = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

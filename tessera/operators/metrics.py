@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.bins import filled
+
 STEPS = 255
 EPS = 1e-10
 
@@ -52,8 +54,7 @@ def pr_curve(scores: DataFrame, *keys: str, steps: int = STEPS, score: str = "sc
     below = F.least(F.lit(steps), F.floor(F.col(score) * steps)).cast("int")
     fixed = below + F.when((below < steps) & ((below + 1).cast("double") / steps <= F.col(score)), 1).when(below.cast("double") / steps > F.col(score), -1).otherwise(0)
     bins = src.groupBy(*keys, fixed.alias("k")).agg(F.sum(F.col(gt).cast("bigint")).alias("pos"), F.sum((1 - F.col(gt)).cast("bigint")).alias("neg"))
-    grid = src.select(*keys).distinct().crossJoin(F.broadcast(src.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k"))))  # steps+1 rows
-    full = grid.join(bins, [*keys, "k"], "left").na.fill(0, ["pos", "neg"])
+    full = filled(bins, keys, "k", 0, steps, ["pos", "neg"])
     w = W.partitionBy(*keys).orderBy("k")
     before, after, every = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.currentRow, W.unboundedFollowing), W.partitionBy(*keys)
     c = full.select(*keys, "k", (F.col("k") / F.lit(float(steps))).alias("thr"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("fn"), F.sum("neg").over(after).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
