@@ -322,12 +322,12 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         nxt, nxt_path = keep(small, "stars")
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first()
+        count = nxt.count()
+        settled = count == seen and nxt.join(edges, ["a", "b"], "left_anti").isEmpty()
         drop_path(edges.sparkSession, path)
-        edges, path = nxt, nxt_path
-        if state == seen:
+        edges, path, seen = nxt, nxt_path, count
+        if settled:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
