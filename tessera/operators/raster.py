@@ -55,14 +55,21 @@ def height_range(pairs: DataFrame) -> DataFrame:
 
 def scatter(pairs: DataFrame) -> DataFrame:
     """Weighted scatter of each neighbourhood: its six distinct sums. Points nearer than the mean distance
-    weigh 1, others exp(-(d/mean)^2); the centre is the plain mean. Two aggregations, no window."""
-    key = ["frame", "u", "v"]
-    means = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.avg("dist").alias("mu"), *(F.avg(c).alias(f"m{c}") for c in ("nx", "ny", "nz"))).where("n > 1")
-    w = F.when(F.col("dist") >= F.col("mu"), F.exp(-((F.col("dist") / F.col("mu")) ** 2))).otherwise(F.lit(1.0))
-    w = F.when(F.col("mu") == 0, F.lit(1.0)).otherwise(w)
-    c = pairs.join(means, key).select(*key, "n", w.alias("w"), *((F.col(f"n{a}") - F.col(f"mn{a}")).alias(a) for a in "xyz"))
-    s = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"s{a}{b}")
-    return c.groupBy(*key, "n").agg(*(s(a, b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    weigh 1, others exp(-(d/mean)^2); the centre is the plain mean.
+
+    One aggregation: the image window bounds a neighbourhood, so its points are kept together and
+    summed in place once their means are known; the range join is not run a second time."""
+    near = F.collect_list(F.struct("dist", "nx", "ny", "nz")).alias("_near")
+    g = pairs.groupBy("frame", "u", "v").agg(F.count("*").alias("n"), F.avg("dist").alias("_mu"), *(F.avg(f"n{c}").alias(f"_{c}") for c in "xyz"), near).where("n > 1")
+    names = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
+
+    def add(acc: Column, p: Column) -> Column:
+        ratio = F.try_divide(p["dist"], F.col("_mu"))
+        w = F.when((F.col("_mu") > 0) & (p["dist"] >= F.col("_mu")), F.exp(-(ratio * ratio))).otherwise(F.lit(1.0))
+        return F.struct(*((acc[n] + w * (p[f"n{n[0]}"] - F.col(f"_{n[0]}")) * (p[f"n{n[1]}"] - F.col(f"_{n[1]}"))).alias(n) for n in names))
+
+    sums = F.aggregate("_near", F.struct(*(F.lit(0.0).alias(n) for n in names)), add).alias("_s")
+    return g.select("frame", "u", "v", "n", sums).select("frame", "u", "v", "n", *(F.col(f"_s.{n}").alias(f"s{n}") for n in names))
 
 
 def shape_features(scatters: DataFrame) -> DataFrame:
