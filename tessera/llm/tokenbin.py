@@ -126,9 +126,13 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
+        parts = json.loads(spec)
+        # for words that are normalised and split already: the same model behind a plain split at spaces
+        plain = [{"type": "WhitespaceSplit"}, *(p for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")]
+        self.model = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": plain}}))
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.classes, self.words = classes, WordTable()
-        vocab, suffix = self.tok.get_vocab(with_added_tokens=True), json.loads(spec)["model"]["end_of_word_suffix"] or "\0"
+        self.classes, self.words = classes, WordTable(limit=1_500_000)
+        vocab, suffix = self.tok.get_vocab(with_added_tokens=True), parts["model"]["end_of_word_suffix"] or "\0"
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.low = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(PLAIN)], np.uint32)
@@ -142,7 +146,7 @@ class Tokens:
             stop = np.cumsum(e - s + 1)
             line = np.full(int(stop[-1]), 32, np.uint32)  # a space after each word
             line[vec.gather(stop - (e - s + 1), stop - 1)] = points[vec.gather(s, e)]
-            got = self.tok.encode_batch_fast([line.astype("<u4").tobytes().decode("utf-32-le")], add_special_tokens=False)[0]
+            got = self.model.encode_batch_fast([line.astype("<u4").tobytes().decode("utf-32-le")], add_special_tokens=False)[0]
             ids = np.array(got.ids, np.int32)
             last = np.flatnonzero(self.closes[ids])
             if len(last) == len(s):
