@@ -146,3 +146,18 @@ def max_flow(spark, d):
 @QUERIES.add()
 def alpha_expansion(spark, d):
     return G.label_images(*network(spark, d))
+
+
+@QUERIES.add()
+def alpha_expansion_segments(spark, d):
+    """The same corner with superpixels that ask for one label."""
+    nodes, edges = network(spark, d)
+    px = A.segments(A.raster(spark, d).where("x < 12"))
+    members = px.select("image_id", "seg_id", (F.col("y").cast("bigint") * 50 + F.col("x")).alias("node"), F.lit(1.0).alias("weight"))
+    costs = R.sizes(px).select("image_id", "seg_id", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("n_pixels") * 1.0).alias("costs"))
+    return G.label_images(nodes, edges, members, costs)
+
+
+@QUERIES.add(A.sql("seg") + " SELECT image_id, CAST(seg_id AS INT) AS seg_id, cls, CAST(CASE WHEN cls = 3 THEN 0.5 * n ELSE 0 END AS DOUBLE) AS cost FROM (SELECT image_id, seg_id, count(*) AS n FROM seg GROUP BY 1, 2), (SELECT CAST(unnest(range(4)) AS INT) AS cls)")
+def consistency_cost(spark, d):
+    return G.consistency_costs(R.sizes(A.segments(A.raster(spark, d))), 3, 0.5)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,6 +94,18 @@ def segment_energy(sums: DataFrame, costs: DataFrame, classes: int, truncation:
     return j.select("image_id", "seg_id", F.when(F.col("label") == classes, F.col("most")).otherwise(F.col("own") + F.col("against") * (F.col("most") - F.col("own")) / (F.col("total") * truncation)).alias("cost"))
 
 
+def consistency_costs(sizes: DataFrame, classes: int, prior: float) -> DataFrame:
+    """(image_id, seg_id, cls, cost): labels are free of charge, the free label costs prior x pixels."""
+    cost = F.array(*[F.lit(0.0)] * classes, F.lit(prior) * F.col("n_pixels"))
+    return sizes.select("image_id", "seg_id", F.posexplode(cost).alias("cls", "cost"))
+
+
+def segment_potts(a: Column, b: Column, weight: Column, free: int) -> Column:
+    """Cost of two touching segments: their weight if labels differ, half of it if just one is free."""
+    one_free = (a == free) != (b == free)
+    return F.when(a == b, F.lit(0.0)).when(one_free, weight / 2).otherwise(weight)
+
+
 # --- the per-image kernel ---------------------------------------------------------------------------------
 
 
@@ -165,73 +179,147 @@ class FlowNetwork:
         return [level[u] < 0 for u in range(self.n)]
 
 
-def energy(labels: list[int], unary: list[list[float]], edges: list[tuple[int, int, float]]) -> float:
-    return sum(unary[i][c] for i, c in enumerate(labels)) + sum(w for u, v, w in edges if labels[u] != labels[v])
+@dataclass
+class Segment:
+    """A robust higher-order term: its pixels, their weights, costs of all labels and of the free one (last), and
+    the share of disagreement at which it gives up."""
+
+    members: list[int]
+    weights: list[float]
+    costs: list[float]
+    truncation: float = 0.5
+
+    @property
+    def free(self) -> int:
+        return len(self.costs) - 1
+
+    def slope(self, label: int) -> float:
+        """Cost of a unit of disagreeing weight."""
+        return (self.costs[-1] - self.costs[label]) / (sum(self.weights) * self.truncation)
 
+    def cost(self, label: int, labels: list[int]) -> float:
+        if label == self.free:
+            return self.costs[-1]
+        return self.costs[label] + self.slope(label) * sum(w for i, w in zip(self.members, self.weights, strict=True) if labels[i] != label)
 
-def expand(labels: list[int], alpha: int, unary: list[list[float]], edges: list[tuple[int, int, float]]) -> list[int]:
-    """The best labelling in which any sites change to ``alpha`` and all others stay."""
+    def dominant(self, labels: list[int]) -> int:
+        """The highest label whose weight exceeds W (1 - T), else the free one."""
+        need = sum(self.weights) * (1 - self.truncation)
+        won = [c for c in range(self.free) if sum(w for i, w in zip(self.members, self.weights, strict=True) if labels[i] == c) > need]
+        return max(won, default=self.free)
+
+
+def energy(labels: list[int], unary: list[list[float]], edges: list[tuple[int, int, float]], segments: Sequence[Segment] = (), chosen: Sequence[int] = ()) -> float:
+    pixels = sum(unary[i][c] for i, c in enumerate(labels)) + sum(w for u, v, w in edges if labels[u] != labels[v])
+    return pixels + sum(s.cost(c, labels) for s, c in zip(segments, chosen, strict=True))
+
+
+def expand(labels: list[int], alpha: int, unary: list[list[float]], edges: list[tuple[int, int, float]], segments: Sequence[Segment] = (), chosen: Sequence[int] = ()) -> tuple[list[int], list[int]]:
+    """The best labelling in which any sites change to ``alpha`` and all others stay; segments take
+    ``alpha``, keep their label or become free. Segments that have ``alpha`` already keep it."""
     sites = [i for i, c in enumerate(labels) if c != alpha]
     number = {i: k for k, i in enumerate(sites)}
-    net = FlowNetwork(len(sites))
     source, sink = [unary[i][alpha] for i in sites], [unary[i][labels[i]] for i in sites]
+    links: list[tuple[int, int, float, float]] = []
     for u, v, w in edges:
         if w <= TINY:
             continue
         a, b = number.get(u), number.get(v)
         if a is not None and b is not None:
             if labels[u] == labels[v]:
-                net.add_edge(a, b, w, w)
+                links.append((a, b, w, w))
             else:
                 sink[a] += w
-                net.add_edge(a, b, 0.0, w)
+                links.append((a, b, 0.0, w))
         elif a is not None or b is not None:
             sink[a if a is not None else b] += w
-    for k in range(len(sites)):
+    extra: list[tuple[int, int | None]] = []
+
+    def node(from_source: float, to_sink: float) -> int:
+        source.append(from_source)
+        sink.append(to_sink)
+        return len(source) - 1
+
+    for s, c in zip(segments, chosen, strict=True):
+        inside = [(number[i], w, labels[i]) for i, w in zip(s.members, s.weights, strict=True) if i in number]
+        if c == alpha:
+            for k, w, _ in inside:
+                sink[k] += s.slope(alpha) * w
+            extra.append((-1, None))
+            continue
+        a = node(0.0, s.costs[-1] - s.costs[alpha])
+        links += [(a, k, 0.0, s.slope(alpha) * w) for k, w, _ in inside]
+        b = None
+        if c != s.free:
+            b = node(s.costs[-1] - s.cost(c, labels), 0.0)
+            links += [(b, k, s.slope(c) * w, 0.0) for k, w, old in inside if old == c]
+            links.append((a, b, 0.0, math.inf))
+        extra.append((a, b))
+    net = FlowNetwork(len(source))
+    for k in range(len(source)):
         least = min(source[k], sink[k])
         # staying with the source cuts the sink link: that is the price of the old label
         net.add_terminals(k, source[k] - least, sink[k] - least)
+    for link in links:
+        net.add_edge(*link)
     net.solve()
+    taken = net.sink_side()
     out = list(labels)
-    for i, taken in zip(sites, net.sink_side(), strict=True):
-        if taken:
+    for i, k in number.items():
+        if taken[k]:
             out[i] = alpha
-    return out
+    kept = []
+    for (a, b), s, c in zip(extra, segments, chosen, strict=True):
+        kept.append(alpha if a < 0 or taken[a] else s.free if b is not None and taken[b] else c)
+    return out, kept
 
 
-def solve_labels(unary: list[list[float]], edges: list[tuple[int, int, float]], sweeps: int = 4) -> tuple[list[int], list[float]]:
-    """Expansion moves over all labels until a whole round changes nothing, ``sweeps`` rounds at most."""
+def solve_labels(unary: list[list[float]], edges: list[tuple[int, int, float]], segments: Sequence[Segment] = (), sweeps: int = 4) -> tuple[list[int], list[int], list[float]]:
+    """(labels, segment labels, energies): expansion moves over all labels until a whole round changes nothing,
+    ``sweeps`` rounds at most."""
     classes = len(unary[0]) if unary else 0
     labels = [0] * len(unary)
-    trail = [energy(labels, unary, edges)]
-    still = 0
+    chosen = [s.dominant(labels) for s in segments]
+    trail, still = [energy(labels, unary, edges, segments, chosen)], 0
     for _ in range(sweeps):
         for alpha in range(classes):
-            new = expand(labels, alpha, unary, edges)
-            now = energy(new, unary, edges)
+            new, kept = expand(labels, alpha, unary, edges, segments, chosen)
+            now = energy(new, unary, edges, segments, kept)
             if now < trail[-1] - 1e-9:
-                labels, still = new, 1
+                labels, chosen, still = new, kept, 1
                 trail.append(now)
             else:
                 still += 1
             if still >= classes:
-                return labels, trail
-    return labels, trail
+                return labels, chosen, trail
+    return labels, chosen, trail
 
 
-def label_images(unary: DataFrame, edges: DataFrame, sweeps: int = 4) -> DataFrame:
+def label_images(unary: DataFrame, edges: DataFrame, segments: DataFrame | None = None, segment_costs: DataFrame | None = None, sweeps: int = 4, truncation: float = 0.5) -> DataFrame:
     """(image_id, node, label, energy): every image is solved on its own, one group each.
 
-    ``unary`` (image_id, node, costs array), ``edges`` (image_id, u, v, w)."""
+    ``unary`` (image_id, node, costs array), ``edges`` (image_id, u, v, w); optional superpixels:
+    ``segments`` (image_id, seg_id, node, weight) and ``segment_costs`` (image_id, seg_id, costs
+    array, the free label's last)."""
+    none = F.lit(None).cast("array<double>")
+    terms = edges.select("image_id", F.lit(0).alias("kind"), F.col("u").cast("bigint").alias("a"), F.col("v").cast("bigint").alias("b"), F.col("w").cast("double").alias("w"), none.alias("costs"))
+    if segments is not None:
+        terms = terms.union(segments.select("image_id", F.lit(1), F.col("seg_id").cast("bigint"), F.col("node").cast("bigint"), F.col("weight").cast("double"), none))
+        terms = terms.union(segment_costs.select("image_id", F.lit(2), F.col("seg_id").cast("bigint"), F.lit(0).cast("bigint"), F.lit(0.0), "costs"))
 
-    def one(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def one(key, nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("node")
         number = {n: k for k, n in enumerate(nodes["node"])}
-        pairs = [(number[u], number[v], w) for u, v, w in zip(links["u"], links["v"], links["w"], strict=True)]
-        labels, trail = solve_labels([list(c) for c in nodes["costs"]], pairs, sweeps)
+        pairs = [(number[u], number[v], w) for u, v, w in rows.loc[rows["kind"] == 0, ["a", "b", "w"]].itertuples(index=False)]
+        inside: dict[int, list] = {}
+        for s, n, w in rows.loc[rows["kind"] == 1, ["a", "b", "w"]].itertuples(index=False):
+            inside.setdefault(s, []).append((number[n], w))
+        found = [Segment([n for n, _ in inside[s]], [w for _, w in inside[s]], list(c), truncation) for s, c in rows.loc[rows["kind"] == 2, ["a", "costs"]].sort_values("a").itertuples(index=False) if s in inside]
+        labels, _, trail = solve_labels([list(c) for c in nodes["costs"]], pairs, found, sweeps)
         return pd.DataFrame({"image_id": key[0], "node": nodes["node"].to_numpy(), "label": labels, "energy": trail[-1]})
 
-    return unary.select("image_id", "node", "costs").groupBy("image_id").cogroup(edges.select("image_id", "u", "v", "w").toDF("image_id", "u", "v", "w").groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, label int, energy double")
+    columns = ["image_id", "kind", "a", "b", "w", "costs"]
+    return unary.select("image_id", "node", "costs").groupBy("image_id").cogroup(terms.toDF(*columns).groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, label int, energy double")
 
 
 def max_flows(terminals: DataFrame, edges: DataFrame) -> DataFrame:

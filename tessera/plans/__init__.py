@@ -70,7 +70,7 @@ class LabelPlan:
         nodes = unary.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "cost"))), lambda c: c["cost"]).alias("costs")).select("image_id", node("x", "y").alias("node"), "costs")
         weight = graphs.contrast_weight(self.bands, self.weights, self.prior, self.factor, self.beta)
         edges = graphs.eight_neighbours(pixels, *self.bands).select("image_id", node("x", "y").alias("u"), node("nx", "ny").alias("v"), weight.alias("w"))
-        return graphs.label_images(nodes, edges, self.sweeps)
+        return graphs.label_images(nodes, edges, sweeps=self.sweeps)
 
 
 @dataclass

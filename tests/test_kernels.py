@@ -55,7 +55,7 @@ def test_expansion_never_raises_the_energy_and_two_labels_are_solved_exactly():
     for _ in range(20):
         unary = [[rng.random() * 4, rng.random() * 4] for _ in range(5)]
         edges = [(i, i + 1, 1.0) for i in range(4)]
-        labels, trail = G.solve_labels(unary, edges)
+        labels, _, trail = G.solve_labels(unary, edges)
         assert all(b <= a for a, b in zip(trail, trail[1:]))
         best = min(G.energy(list(c), unary, edges) for c in itertools.product(range(2), repeat=5))
         assert G.energy(labels, unary, edges) == pytest.approx(best)
@@ -67,11 +67,31 @@ def test_expansion_move_is_the_best_move():
         unary = [[rng.random() * 3 for _ in range(3)] for _ in range(4)]
         edges = [(i, j, rng.random()) for i, j in itertools.combinations(range(4), 2)]
         old = [rng.randrange(3) for _ in range(4)]
-        new = G.expand(old, 1, unary, edges)
+        new, _ = G.expand(old, 1, unary, edges)
         options = [[1 if m else c for m, c in zip(moves, old, strict=True)] for moves in itertools.product([0, 1], repeat=4)]
         assert G.energy(new, unary, edges) == pytest.approx(min(G.energy(o, unary, edges) for o in options))
 
 
+def test_moves_with_segments_are_the_best_moves():
+    rng = random.Random(9)
+    for _ in range(40):
+        unary = [[rng.random() * 3 for _ in range(3)] for _ in range(5)]
+        edges = [(i, i + 1, rng.random()) for i in range(4)]
+        segments = [G.Segment([0, 1, 2], [1.0, 2.0, 1.0], [rng.random() for _ in range(3)] + [2.0]), G.Segment([2, 3, 4], [1.0] * 3, [rng.random() for _ in range(3)] + [1.5], 0.4)]
+        old, chosen = [rng.randrange(3) for _ in range(5)], [rng.choice([0, 2, 3]) for _ in segments]
+        new, kept = G.expand(old, 1, unary, edges, segments, chosen)
+        best = min(G.energy([1 if m else c for m, c in zip(moves, old, strict=True)], unary, edges, segments, picks) for moves in itertools.product([0, 1], repeat=5) for picks in itertools.product(*({1, c, 3} for c in chosen)))
+        assert G.energy(new, unary, edges, segments, kept) == pytest.approx(best)
+    labels, chosen, trail = G.solve_labels(unary, edges, segments)
+    assert all(b <= a for a, b in zip(trail, trail[1:]))
+
+
+def test_segment_cost_rises_with_disagreement_and_stops_at_the_free_label():
+    s = G.Segment([0, 1, 2, 3], [1.0] * 4, [0.0, 0.0, 4.0], 0.5)
+    assert [s.cost(0, [0] * (4 - k) + [1] * k) for k in (0, 1, 2)] == [0.0, 2.0, 4.0] and s.cost(2, [0, 1, 0, 1]) == 4.0
+    assert s.dominant([0, 0, 0, 1]) == 0 and s.dominant([0, 0, 1, 1]) == 2
+
+
 def image(spark, values, name="a"):
     return spark.createDataFrame([(name, x, y, float(v)) for y, row in enumerate(values) for x, v in enumerate(row)], "image_id string, x int, y int, v double")
 
