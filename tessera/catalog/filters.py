@@ -111,3 +111,29 @@ def rect_sum(spark, d):
     shapes = spark.createDataFrame(SHAPES, "shape_id int, dx int, dy int, w int, h int")
     r = A.raster(spark, d)
     return S.rectangle_sums(S.integral(S.dense(r, W_, H_)), r, shapes, W_, H_)
+
+
+_CELLS = ", ".join(f"({l * 2 + m}, {m * 3 - 3}, {l * 3 - 3})" for l in range(2) for m in range(2))
+
+
+@QUERIES.add(GRAD + f""",
+mass AS (SELECT image_id, x, y, bin, max(mass) AS mass FROM b GROUP BY 1, 2, 3, 4),
+cells AS (SELECT * FROM (VALUES {_CELLS}) c(cell, i, j)),
+spot AS (SELECT image_id, x, y, cell, greatest(0, least({W_ - 4}, x + i)) AS x0, greatest(0, least({H_ - 4}, y + j)) AS y0 FROM raster, cells WHERE x % 5 = 0 AND y % 5 = 0),
+bins AS (SELECT CAST(unnest(range(8)) AS INT) AS bin),
+h AS (SELECT a.image_id, a.x, a.y, cell, n.bin, coalesce(sum(m.mass), 0) AS f FROM spot a CROSS JOIN bins n LEFT JOIN mass m ON m.image_id = a.image_id AND m.bin = n.bin AND m.x > x0 AND m.x <= x0 + 3 AND m.y > y0 AND m.y <= y0 + 3 GROUP BY 1, 2, 3, 4, 5)
+SELECT image_id, x, y, CAST(cell * 8 + bin AS INT) AS dim, round(f / sqrt(sum(f * f) OVER (PARTITION BY image_id, x, y)), 6) + 0.0 AS f FROM h""")
+def sift_descriptor(spark, d):
+    r = A.raster(spark, d)
+    out = S.sift(r, W_, H_, 3, 2, 8, step=5)
+    return out.select("image_id", "x", "y", F.posexplode("features").alias("dim", "f")).withColumn("f", F.round("f", 6) + F.lit(0.0))
+
+
+@QUERIES.add()
+def colour_sift_words(spark, d):
+    """Descriptors of colour images, quantised to the nearest of a few of them."""
+    from tessera.operators import learning as L
+
+    found = S.colour_sift(A.rgb(spark, d), W_, H_, 3, 2, 4, step=5).withColumn("key", F.concat_ws("/", "image_id", "x", "y"))
+    centres = found.where("image_id = 'A' AND x % 20 = 0 AND y = 0").select((F.col("x") / 20).cast("int").alias("cluster"), F.col("features").alias("mean"))
+    return L.nearest(found, centres, key="key").select("key", F.col("cluster").alias("word"))

@@ -98,6 +98,12 @@ cube AS (SELECT r, g, b FROM (SELECT CAST(unnest(range(4)) AS INT) AS r), (SELEC
 cum AS (SELECT n.image_id, n.seg_id, c.r, c.g, c.b, count(p.r) / CAST(total AS DOUBLE) AS share FROM n CROSS JOIN cube c LEFT JOIN px p ON p.image_id = n.image_id AND p.seg_id = n.seg_id AND p.r <= c.r AND p.g <= c.g AND p.b <= c.b GROUP BY n.image_id, n.seg_id, c.r, c.g, c.b, total)"""
 
 
+@QUERIES.add()
+def sampled_pixels(spark, d):
+    px = A.labelled(spark, d)
+    return R.sample_pixels(px, R.class_weights(px, 2, 0.3))
+
+
 def cube(spark, d):
     return R.colour_histogram(A.segments(A.rgb(spark, d)), 4)
 

@@ -92,6 +92,14 @@ def class_weights(pixels: DataFrame, classes: int, ratio: float = 1.0) -> DataFr
     return counts.select("cls", "n", F.least(F.lit(1.0), total * ratio / F.col("n")).alias("keep"), (total / (classes * F.col("n"))).alias("weight"))
 
 
+def sample_pixels(pixels: DataFrame, weights: DataFrame, seed: int = 0) -> DataFrame:
+    """Labelled pixels kept with their class's probability ``keep``: by a hash of the pixel, so the same ones are
+    kept however the data is laid out."""
+    u = F.pmod(F.xxhash64("image_id", "pixel", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    labelled = pixels.where("gt <> 0").withColumn("cls", F.col("gt") - 1)
+    return labelled.join(weights.select("cls", "keep", "weight"), "cls").where(u < F.col("keep")).drop("keep")
+
+
 def colour_histogram(pixels: DataFrame, buckets: int) -> DataFrame:
     """(image_id, seg_id, r, g, b, share): colour cube shares, cumulated along each axis."""
     b = lambda c: F.floor(F.col(c) * buckets / 256).cast("int").alias(c)

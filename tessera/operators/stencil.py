@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tessera.functions import imaging as I
 
 
-def dense(pixels: DataFrame, width: int, height: int, value: str = "v", fill: float = 0.0) -> DataFrame:
+def dense(pixels: DataFrame, width: int, height: int, *values: str, fill: float = 0.0) -> DataFrame:
     """Images with every pixel of their grid; those that were missing hold ``fill``."""
     cells = pixels.sparkSession.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
     grid = pixels.select("image_id").distinct().crossJoin(F.broadcast(cells))  # one row a pixel: the result's own size
-    return grid.join(pixels, ["image_id", "x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+    return grid.join(pixels, ["image_id", "x", "y"], "left").withColumns({v: F.coalesce(v, F.lit(fill)) for v in values or ("v",)})
 
 
 def convolve(pixels: DataFrame, taps: Sequence[float], axis: str, size: int | None = None, value: str = "v", legacy_edge: bool = True, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -114,3 +114,38 @@ def rectangle_sums(table: DataFrame, pixels: DataFrame, shapes: DataFrame, width
     four = at.select("image_id", "x", "y", "shape_id", F.explode(F.array(corner("x1", "y1", 1), corner("x0", "y1", -1), corner("x1", "y0", -1), corner("x0", "y0", 1))).alias("c")).select("image_id", "x", "y", "shape_id", "c.*")
     told = table.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "s")
     return four.join(told, ["image_id", "cx", "cy"], "left").groupBy("image_id", "x", "y", "shape_id").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0.0))).alias("total"))
+
+
+def sift(pixels: DataFrame, width: int, height: int, size: int, number: int, bins: int, step: int = 1, full_circle: bool = False, value: str = "v") -> DataFrame:
+    """(image_id, x, y, features): gradient histograms of ``number`` x ``number`` cells of side ``size`` around every
+    ``step``-th pixel of dense images, as one vector of length one.
+
+    Each bin has a summed-area column; a cell is four corners of it, clamped to the image, without
+    its own first row and column."""
+    g = gradient(pixels, value)
+    low, a, high, b = I.angle_bins(F.col("dx"), F.col("dy"), bins, full_circle)
+    g = g.select("image_id", "x", "y", low.alias("_l"), a.alias("_a"), high.alias("_h"), b.alias("_b"))
+    mass = lambda k: F.when(F.col("_h") == k, F.col("_b")).when(F.col("_l") == k, F.col("_a")).otherwise(0.0).alias(f"_m{k}")
+    g = dense(g.select("image_id", "x", "y", *(mass(k) for k in range(bins))), width, height, *(f"_m{k}" for k in range(bins)))
+    wx = W.partitionBy("image_id", "y").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    wy = W.partitionBy("image_id", "x").orderBy("y").rowsBetween(W.unboundedPreceding, W.currentRow)
+    g = g.select("image_id", "x", "y", *(F.sum(f"_m{k}").over(wx).alias(f"_m{k}") for k in range(bins)))
+    area = g.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), *(F.sum(f"_m{k}").over(wy).alias(f"_m{k}") for k in range(bins)))
+    clamp = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most - 1 - size), c))
+    offset = size * number // 2
+    cells = F.explode(F.array(*(F.struct(F.lit(l * number + m).alias("cell"), F.lit(m * size - offset).alias("i"), F.lit(l * size - offset).alias("j")) for l in range(number) for m in range(number)))).alias("c")
+    at = pixels.where((F.col("x") % step == 0) & (F.col("y") % step == 0)).select("image_id", "x", "y", cells).select("image_id", "x", "y", "c.cell", clamp(F.col("x") + F.col("c.i"), width).alias("x0"), clamp(F.col("y") + F.col("c.j"), height).alias("y0"))
+    corners = F.explode(F.array(*(F.struct((F.col("x0") + dx).alias("cx"), (F.col("y0") + dy).alias("cy"), F.lit(sign).alias("sign")) for dx, dy, sign in ((0, 0, 1), (size, size, 1), (0, size, -1), (size, 0, -1))))).alias("k")
+    asked = at.select("image_id", "x", "y", "cell", corners).select("image_id", "x", "y", "cell", "k.*")
+    sums = asked.join(area, ["image_id", "cx", "cy"]).groupBy("image_id", "x", "y", "cell").agg(F.array(*(F.sum(F.col("sign") * F.col(f"_m{k}")) for k in range(bins))).alias("h"))
+    whole = sums.groupBy("image_id", "x", "y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", "h"))), lambda c: c["h"])).alias("features"))
+    return whole.select("image_id", "x", "y", I.l2_unit(F.col("features")).alias("features"))
+
+
+def colour_sift(pixels: DataFrame, width: int, height: int, size: int, number: int, bins: int, step: int = 1, full_circle: bool = False) -> DataFrame:
+    """SIFT of the three opponent channels of (r, g, b), one after the other."""
+    out = None
+    for k, channel in enumerate(I.opponent(F.col("r"), F.col("g"), F.col("b"))):
+        part = sift(pixels.select("image_id", "x", "y", channel.alias("v")), width, height, size, number, bins, step, full_circle).withColumnRenamed("features", f"_f{k}")
+        out = part if out is None else out.join(part, ["image_id", "x", "y"])
+    return out.select("image_id", "x", "y", F.concat("_f0", "_f1", "_f2").alias("features"))

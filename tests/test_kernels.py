@@ -233,3 +233,21 @@ def test_calibration_errors(spark):
     bad = spark.createDataFrame([("f", "P0 1 2")], "frame_id string, value string")
     with pytest.raises(Exception, match="without one colon"):
         T.parse_calibration(bad, "frame_id").collect()
+
+
+def test_model_files(spark):
+    import struct
+
+    from tessera.sources import models
+
+    stumps = [(0, 3, 0.5, 1.0, -1.0, 5, [0.1, 0.2, 0.3]), (1, 1, -2.0, 0.5, 0.25, 2, [0.0, 0.0, 1.0])]
+    assert [tuple(r) for r in models.boosting(spark, models.pack_boosting(stumps), 3).collect()] == stumps
+    lin = struct.pack("<i6d", 2, 1, 2, 3, 4, 0.5, -0.5)
+    assert [tuple(r) for r in models.linear(spark, lin, 2).collect()] == [(0, [1.0, 2.0], 0.5), (1, [3.0, 4.0], -0.5)]
+    tree = struct.pack("<i4d1d1i", 1, 0.9, 0.1, 0.2, 0.8, 0.0, 0)
+    nodes, leaves = models.forest(spark, tree, 2, 1)
+    v = spark.createDataFrame([(1, [0.5])], "vec_id int, features array<double>")
+    got = {r.cls: r.score for r in L.forest_scores(v, nodes, leaves, 1).collect()}
+    assert got[0] == pytest.approx(np.log(0.2)) and got[1] == pytest.approx(np.log(0.8))
+    means = struct.pack("<2i4d", 2, 2, 0, 0, 1, 1)
+    assert [r["mean"] for r in models.kmeans(spark, means).orderBy("cluster").collect()] == [[0.0, 0.0], [1.0, 1.0]]
