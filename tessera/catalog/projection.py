@@ -119,6 +119,26 @@ def opponent_colour(spark, d):
     return rounded(A.rgb(spark, d).select("image_id", "x", "y", *(c.alias(f"o{k + 1}") for k, c in enumerate(o))), "o1", "o2", "o3")
 
 
+def _linear_sql(c: str) -> str:
+    return f"(CASE WHEN {c} <= 0.04045 * 255 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END)"
+
+
+SPACES = A.sql("rgb") + f""",
+lin AS (SELECT image_id, x, y, CAST({_linear_sql("r")} AS DOUBLE) AS lr, CAST({_linear_sql("g")} AS DOUBLE) AS lg, CAST({_linear_sql("b")} AS DOUBLE) AS lb FROM rgb),
+xyz AS (SELECT image_id, x, y, {", ".join(f"{r[0]} * lr + {r[1]} * lg + {r[2]} * lb AS c{n}" for r, n in zip(I.XYZ, "xyz", strict=True))} FROM lin),
+f AS (SELECT *, {", ".join(f"CASE WHEN c{n} / {w} > 216.0 / 24389 THEN cbrt(c{n} / {w}) ELSE (c{n} / {w} * (24389.0 / 27) + 16) / 116 END AS f{n}" for n, w in zip("xyz", I.WHITE, strict=True))} FROM xyz)
+SELECT image_id, x, y, round(116 * fy - 16, 6) + 0.0 AS l, round(500 * (fx - fy), 6) + 0.0 AS a, round(200 * (fy - fz), 6) + 0.0 AS b,
+round(CASE WHEN cx + 15 * cy + 3 * cz = 0 THEN 0 ELSE 13 * (116 * fy - 16) * (4 * cx / (cx + 15 * cy + 3 * cz) - {4 * I.WHITE[0] / (I.WHITE[0] + 15 + 3 * I.WHITE[2])!r}) END, 6) + 0.0 AS u,
+round(CASE WHEN cx + 15 * cy + 3 * cz = 0 THEN 0 ELSE 13 * (116 * fy - 16) * (9 * cy / (cx + 15 * cy + 3 * cz) - {9 / (I.WHITE[0] + 15 + 3 * I.WHITE[2])!r}) END, 6) + 0.0 AS v FROM f"""
+
+
+@QUERIES.add(SPACES)
+def colour_spaces(spark, d):
+    rgb = [F.col(c) for c in "rgb"]
+    (l, a, b), (_, u, v) = I.lab(*rgb), I.luv(*rgb)
+    return clean_zero(A.rgb(spark, d).select("image_id", "x", "y", l.alias("l"), a.alias("a"), b.alias("b"), u.alias("u"), v.alias("v")), *"labuv")
+
+
 @QUERIES.add(A.sql("rgb") + " SELECT image_id, x, y, round(greatest(0.0, least(1.0, 1.0 - (CAST(abs(r - 128) AS DOUBLE) / 128 + CAST(abs(g - 128) AS DOUBLE) / 128 + CAST(abs(b - 128) AS DOUBLE) / 128) / 3)), 9) AS conf FROM rgb")
 def colour_confidence(spark, d):
     return rounded(A.rgb(spark, d).select("image_id", "x", "y", I.confidence(F.col("r"), F.col("g"), F.col("b")).alias("conf")), "conf")

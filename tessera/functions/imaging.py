@@ -17,6 +17,36 @@ def opponent(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return (r - g) / math.sqrt(2), (r + g - 2 * b) / math.sqrt(6), (r + g + b) / math.sqrt(3)
 
 
+#: sRGB to CIE XYZ, and the D65 white point (fixed values).
+XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+WHITE = (0.95047, 1.0, 1.08883)
+
+
+def xyz(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
+    """CIE XYZ of 8-bit sRGB."""
+    line = [F.when(c <= 0.04045 * 255, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4))) for c in (r, g, b)]
+    return tuple(sum((F.lit(k) * c for k, c in zip(row[1:], line[1:], strict=True)), F.lit(row[0]) * line[0]) for row in XYZ)
+
+
+def _lightness(t: Column) -> Column:
+    return F.when(t > 216 / 24389, F.cbrt(t)).otherwise((t * (24389 / 27) + 16) / 116)
+
+
+def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CIE 1976 L*a*b*."""
+    x, y, z = (_lightness(c / w) for c, w in zip(xyz(r, g, b), WHITE, strict=True))
+    return y * 116 - 16, (x - y) * 500, (y - z) * 200
+
+
+def luv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CIE 1976 L*u*v*; black has no chroma."""
+    x, y, z = xyz(r, g, b)
+    light = _lightness(y) * 116 - 16
+    total, white = x + y * 15 + z * 3, WHITE[0] + 15 * WHITE[1] + 3 * WHITE[2]
+    chroma = lambda c, n: F.coalesce(light * 13 * (F.try_divide(c, total) - n / white), F.lit(0.0))
+    return light, chroma(x * 4, 4 * WHITE[0]), chroma(y * 9, 9 * WHITE[1])
+
+
 def confidence(*bands: Column) -> Column:
     """1 at mid grey, falling to 0 with the mean distance of the bands from it."""
     far = sum((F.abs(c - 128) / 128 for c in bands[1:]), F.abs(bands[0] - 128) / 128)
