@@ -267,7 +267,7 @@ def _count(shared):
                     names, n = [], np.zeros(0, np.int64)
         yield from emit(names, n)
 
-    return run
+    return vec.tidy(run)
 
 
 def word_counts(docs: DataFrame, classes, text_col: str = "text") -> DataFrame:
@@ -312,7 +312,7 @@ def _columns(shared, make, names):
                 yield pa.RecordBatch.from_arrays([*head, *make(codec, ids)], names=names)
                 at += len(ids)
 
-    return run
+    return vec.tidy(run)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -111,7 +111,7 @@ def _index(batches):
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Index segments of all texts, stored in the shared folder."""
-    return keep(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(_index, SEGMENT_SCHEMA), "postings")[0]
+    return keep(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(vec.tidy(_index), SEGMENT_SCHEMA), "postings")[0]
 
 
 @dataclass
@@ -222,7 +222,7 @@ def _search(shared, slop: int | None):
                     names=["segment", "row", "doc_id", "n_words", "starts", "ends", "items", "n_near"],
                 )
 
-    return run
+    return vec.tidy(run)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):

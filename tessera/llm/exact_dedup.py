@@ -103,7 +103,7 @@ def _chains(directory):
                         chains, size = {}, 0
         yield from rows(chains)
 
-    return run
+    return vec.tidy(run)
 
 
 def _owner(batches):
@@ -149,7 +149,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    entries, _ = keep(rows.mapInArrow(_entries, ENTRY_SCHEMA), "exact-entries")
+    entries, _ = keep(rows.mapInArrow(vec.tidy(_entries), ENTRY_SCHEMA), "exact-entries")
     directory = build_directory(entries)
     chains = rows.mapInArrow(_chains(spark.sparkContext.broadcast(directory)), CHAIN_SCHEMA)
     owned = chains.repartitionById(len(directory.buckets), F.col("bucket")).sortWithinPartitions("h")

@@ -128,7 +128,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 def fit(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     """(n, k, p): the probability of every seen window of n symbols, and, under -n, the share of
     what follows a context of n - 1 symbols that goes to the shorter windows."""
-    part = trusted.select(F.col(text_col).cast("string")).mapInArrow(_count, "k int, c bigint")
+    part = trusted.select(F.col(text_col).cast("string")).mapInArrow(vec.tidy(_count), "k int, c bigint")
     counts, _ = keep(part.groupBy("k").agg(F.sum("c").alias("c")), "window-counts")
     levels = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer windows a window ends
@@ -166,21 +166,9 @@ def dense(n: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.log(prob, out=prob)
 
 
-_DENSE: dict[int, np.ndarray] = {}
-
-
-def dense_of(shared) -> np.ndarray:
-    """This worker's table for a broadcast model."""
-    key = id(shared.value)
-    if key not in _DENSE:
-        _DENSE.clear()
-        _DENSE[key] = dense(*shared.value)
-    return _DENSE[key]
-
-
 def _score(shared):
     def run(batches):
-        logp = dense_of(shared)
+        logp = dense(*shared.value)  # 64 MB for the time of the task
         for rb in batches:
             nll, size, words = np.zeros(rb.num_rows), np.zeros(rb.num_rows, np.int64), np.zeros(rb.num_rows, np.int64)
             for i, j, key, o, w in _chunks(rb.column(2)):
@@ -188,7 +176,7 @@ def _score(shared):
                 size[i:j], words[i:j] = np.diff(o), w
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(size), pa.array(words), pa.array(nll)], names=["doc_id", "lang", "n_symbols", "n_words", "nll"])
 
-    return run
+    return vec.tidy(run)
 
 
 def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

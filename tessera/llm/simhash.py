@@ -136,7 +136,7 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(vec.tidy(_fingerprints), "doc_id bigint, fp bigint")
 
 
 # --- candidate keys ------------------------------------------------------------------------------

@@ -8,12 +8,17 @@ enough. UTF-8 makes this exact: every byte of a non-ASCII code point is 0x80 or
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:  # no C library to ask
+    _LIBC = None
 #: Bytes hashed at a time: the eight-byte arrays over them stay in cache.
 CHUNK = 1 << 18
 
@@ -89,6 +94,25 @@ def gather(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """``run`` (batches to batches), giving what it has freed back to the system when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
