@@ -118,6 +118,19 @@ def decode_block(block: dict, n: int, fr: Frequencies, mark: int = -1) -> np.nda
 # --- tokenizing ----------------------------------------------------------------------------------
 
 
+#: Masks of the first 0 to 4 letters of four packed ones.
+FIRST = np.array([(1 << 16 * k) - 1 for k in range(5)], np.uint64)
+
+
+def outline(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first and last four letters of plain words, packed: a second identity beside the hash."""
+    packed = np.zeros(len(points) + 4, "<u2")
+    packed[: len(points)] = points
+    four = np.ndarray((len(points) + 1,), "<u8", packed, strides=(2,))
+    mask = FIRST[np.minimum(ends - starts, 4)]
+    return (four[starts] & mask) + vec.mix(four[np.maximum(ends - 4, starts)] & mask)
+
+
 class Tokens:
     """One worker's tokenizer, by its library, with a table of the words it has met."""
 
@@ -161,7 +174,7 @@ class Tokens:
 
     def _plain(self, points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, e = split_words(points, offs, self.classes)
-        h, c = vec.hasher(1, PLAIN)(points, s, e), vec.hasher(2, PLAIN)(points, s, e)
+        h, c = vec.hasher(1, PLAIN)(points, s, e), outline(points, s, e)
         ids, size = self.words.encode(h, c, lambda rows: self.ids_of(points, s[rows], e[rows]))
         return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(s, offs)]
 
@@ -219,7 +232,7 @@ def _tokenize(shared, end_id: int, vocab: int):
                 done += n
         yield batch(pa.nulls(1, pa.int64()), [-1], [0], pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()))
 
-    return run
+    return vec.tidy(run)
 
 
 def token_rows(col_width: pa.Array, col_ids: pa.Array):
