@@ -8,7 +8,7 @@ path becomes one conversation: a control mark opens and closes each turn, and in
 backslash precedes every backslash and every character a mark begins with, so that no text can form
 a mark and reading back is exact. The loss mask lists the code points of assistant texts.
 
-Defined results: null text and null role count as empty; ties between branches go to the longer one,
+Defined results: null text and null role count as empty; messages without a tree id are left out; ties between branches go to the longer one,
 then to the smaller leaf; messages whose ancestors form a circle belong to no path; a message
 whose parent is not in the table is a root; repeated rows are separate turns (chains number
 their rows by turn, role, text); an empty table gives an empty result.

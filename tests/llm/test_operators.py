@@ -473,7 +473,7 @@ def tree(spark, rows):
 
 
 def test_best_branches_and_odd_trees(spark):
-    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 2, "user", "u", 5.0), (2, 1, 9, "user", None, 0.0), (3, 1, 2, "user", "c", 1.0), (3, 2, 1, "user", "c", 1.0), (4, 1, None, None, "n", None)] + [(5, k, k - 1 if k else None, "user", str(k), 0.0) for k in range(40)]
+    rows = [(None, 1, None, "user", "no tree", 0.0), (1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 2, "user", "u", 5.0), (2, 1, 9, "user", None, 0.0), (3, 1, 2, "user", "c", 1.0), (3, 2, 1, "user", "c", 1.0), (4, 1, None, None, "n", None)] + [(5, k, k - 1 if k else None, "user", str(k), 0.0) for k in range(40)]
     out = {(r.tree, r["rank"]): r for r in chat.format_paths(tree(spark, rows), 2).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
     assert {(t, k): r.leaf for (t, k), r in out.items()} == {(1, 1): 4, (1, 2): 3, (2, 1): 1, (4, 1): 1, (5, 1): 39}
     assert [t.text for t in out[5, 1].turns] == [str(k) for k in range(40)]
@@ -481,6 +481,14 @@ def test_best_branches_and_odd_trees(spark):
     assert [r.formatted[a:b] for a, b in r.loss] == ["a"]
 
 
+def test_empty_and_repeated_conversations(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, node bigint"
+    assert chat.format_paths(chat.chains(spark.createDataFrame([], schema))).count() == 0
+    twice = spark.createDataFrame([(1, 0, "user", "a", 9), (1, 0, "user", "a", 9), (1, None, "user", None, 9), (2, 0, "user", "b" * 50_000, 9)], schema)
+    out = {r.tree: r.formatted for r in chat.format_paths(chat.chains(twice)).collect()}
+    assert out[1] == "### user:  </turn>\n" + "### user: a </turn>\n" * 2 and len(out[2]) == 50_000 + 19
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.text("user\\:#<", max_size=6), st.text("\\#<>/tun: A\n", max_size=14)), min_size=1, max_size=8))
 def test_any_text_reads_back(spark, turns):
