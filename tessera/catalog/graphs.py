@@ -126,9 +126,9 @@ def pn_energy(spark, d):
     return rounded(G.segment_energy(s, costs, 3, 0.5), "cost", digits=6)
 
 
-def network(spark, d, wide: int = 12):
-    """A corner of every image as nodes, unary costs and Potts edges."""
-    px = A.raster(spark, d).where(f"x < {wide}")
+def network(spark, d):
+    """Every image as nodes, unary costs and Potts edges."""
+    px = A.raster(spark, d)
     node = lambda x, y: F.col(y).cast("bigint") * 50 + F.col(x)
     v = F.col("v")
     nodes = px.select("image_id", node("x", "y").alias("node"), F.array(v / 100, F.abs(v - 500) / 100, (1000 - v) / 100).alias("costs"))
@@ -150,9 +150,9 @@ def alpha_expansion(spark, d):
 
 @QUERIES.add()
 def alpha_expansion_segments(spark, d):
-    """The same corner with superpixels that ask for one label."""
+    """The same images with superpixels that ask for one label."""
     nodes, edges = network(spark, d)
-    px = A.segments(A.raster(spark, d).where("x < 12"))
+    px = A.segments(A.raster(spark, d))
     members = px.select("image_id", "seg_id", (F.col("y").cast("bigint") * 50 + F.col("x")).alias("node"), F.lit(1.0).alias("weight"))
     costs = R.sizes(px).select("image_id", "seg_id", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("n_pixels") * 1.0).alias("costs"))
     return G.label_images(nodes, edges, members, costs)

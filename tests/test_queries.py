@@ -38,3 +38,26 @@ def test_query_equals_sql(spark, small, views, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, small, name):
     assert catalog.queries()[name](spark, small).count() >= 0
+
+
+def test_solvers_take_whole_images(spark, small):
+    """Every pixel has an answer, the flow equals the cut it is given with, and the energy is that of the labels."""
+    from tessera import adapters as A
+    from tessera.catalog import graphs
+
+    px = {(r.image_id, r.y * 50 + r.x): r.v for r in A.raster(spark, small).collect()}
+    near = [(i, n, n + dy * 50 + dx, 2 / (dx * dx + dy * dy) ** 0.5) for i, n in px for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1)) if 0 <= n % 50 + dx < 50 and (i, n + dy * 50 + dx) in px]
+    price = lambda k: (px[k] / 100, abs(px[k] - 500) / 100, (1000 - px[k]) / 100)
+    cut = {(r.image_id, r.node): r for r in graphs.max_flow(spark, small).collect()}
+    assert set(cut) == set(px)
+    for image in {i for i, _ in px}:
+        ends = sum(price(k)[0 if r.on_sink else 2] for k, r in cut.items() if k[0] == image)
+        across = sum(w for i, u, v, w in near if i == image and cut[i, u].on_sink != cut[i, v].on_sink)
+        assert {round(r.flow, 6) for k, r in cut.items() if k[0] == image} == {round(ends + across, 6)}
+    for query in (graphs.alpha_expansion, graphs.alpha_expansion_segments):
+        got = {(r.image_id, r.node): r for r in query(spark, small).collect()}
+        assert set(got) == set(px)
+        for image in {i for i, _ in px}:
+            plain = sum(price(k)[r.label] for k, r in got.items() if k[0] == image) + sum(w for i, u, v, w in near if i == image and got[i, u].label != got[i, v].label)
+            energy = {r.energy for k, r in got.items() if k[0] == image}
+            assert len(energy) == 1 and (min(energy) == pytest.approx(plain) if query is graphs.alpha_expansion else min(energy) >= plain - 1e-6)
