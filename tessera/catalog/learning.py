@@ -58,6 +58,13 @@ def linear_score(spark, d):
     return L.linear_scores(A.vectors(spark, d), models).withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
+@QUERIES.add(CENTRES + " SELECT vec_id, cluster AS cls, round(sum(f * m) + 0.25 * cluster, 6) + 0.0 AS score FROM e JOIN c USING (dim) GROUP BY 1, 2")
+def linear_score_all(spark, d):
+    """The models of all classes."""
+    models = centroids(spark, d).select(F.col("cluster").alias("cls"), F.col("mean").alias("w"), (F.col("cluster") * 0.25).cast("double").alias("bias"))
+    return L.linear_scores(A.vectors(spark, d), models).withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
 def _sech(w: float) -> str:
     return f"(2 / (exp(pi() * {w}) + exp(-pi() * {w})))"
 
@@ -104,10 +111,14 @@ def boost_score(spark, d):
     return L.boost_scores(A.vectors(spark, d), stumps, 3).withColumn("score", F.round("score", 9) + F.lit(0.0))
 
 
+def classes(rows, label="label") -> int:
+    return rows.agg(F.max(label)).first()[0] + 1
+
+
 @QUERIES.add()
 def boost_train(spark, d):
-    rows = A.vectors(spark, d).where("label < 3").select(F.col("vec_id").alias("id"), F.slice("features", 1, 8).alias("features"), F.col("label").alias("target"))
-    model = L.train_boosting(rows, 3, L.thetas(-0.3, 0.1, 5), 3)
+    rows = A.vectors(spark, d).select(F.col("vec_id").alias("id"), "features", F.col("label").alias("target"))
+    model = L.train_boosting(rows, classes(rows, "target"), L.thetas(-0.3, 0.1, 5), 3)
     return spark.createDataFrame([(i, m["feature"], m["theta"], m["a"], m["b"], m["sharing_mask"], m["error"]) for i, m in enumerate(model)], "round int, feature int, theta double, a double, b double, sharing_mask int, error double")
 
 
@@ -138,8 +149,7 @@ def split_parity(spark, d):
 
 @QUERIES.add()
 def linear_train(spark, d):
-    v = A.vectors(spark, d).where("label < 3")
-    model = L.train_linear(v, epochs=5)
+    model = L.train_linear(A.vectors(spark, d), epochs=5)
     return spark.createDataFrame([(k, [float(x) for x in m.coefficients], float(m.intercept)) for k, m in enumerate(model.models)], "cls int, w array<double>, bias double")
 
 
@@ -151,5 +161,7 @@ def forest_train(spark, d):
 
 @QUERIES.add()
 def gbt_train(spark, d):
-    v = A.vectors(spark, d).where("label < 2").withColumn("w", F.lit(1.0))
-    return spark.createDataFrame(L.importances(L.train_gbt(v, weight="w", rounds=3)), "feature int, importance double")
+    """Trees of every label against the rest."""
+    v = A.vectors(spark, d).withColumn("w", F.lit(1.0))
+    found = [(k, *t) for k in range(classes(v)) for t in L.importances(L.train_gbt(v.withColumn("label", (F.col("label") == k).cast("int")), weight="w", rounds=3))]
+    return spark.createDataFrame(found, "cls int, feature int, importance double")

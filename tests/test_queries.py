@@ -61,3 +61,22 @@ def test_solvers_take_whole_images(spark, small):
             plain = sum(price(k)[r.label] for k, r in got.items() if k[0] == image) + sum(w for i, u, v, w in near if i == image and got[i, u].label != got[i, v].label)
             energy = {r.energy for k, r in got.items() if k[0] == image}
             assert len(energy) == 1 and (min(energy) == pytest.approx(plain) if query is graphs.alpha_expansion else min(energy) >= plain - 1e-6)
+
+
+def test_training_takes_all_rows_labels_and_features(spark, small):
+    import numpy as np
+
+    from tessera import adapters as A
+    from tessera.catalog import learning
+    from tessera.operators import learning as L
+
+    v = A.vectors(spark, small).collect()
+    x, label = np.array([r.features for r in v]), np.array([r.label for r in v])
+    z = np.where(label[:, None] == np.arange(10), 1.0, -1.0)
+    sums = [{"feature": f, "t": t, "cls": c, "p": float(len(v)), "q": float((at := x[:, f] >= t).sum()), "r": z[:, c].sum(), "u": z[at, c].sum()} for f in range(x.shape[1]) for t in L.thetas(-0.3, 0.1, 5) for c in range(10)]
+    best = L.best_stump(sums, 10)
+    first = learning.boost_train(spark, small).orderBy("round").first()
+    assert (first.feature, first.theta, first.sharing_mask) == (best["feature"], best["theta"], best["sharing_mask"])
+    assert first.error == pytest.approx(best["error"])
+    assert [r.cls for r in learning.linear_train(spark, small).orderBy("cls").collect()] == list(range(10))
+    assert {(r.cls, r.feature) for r in learning.gbt_train(spark, small).collect()} == {(c, f) for c in range(10) for f in range(64)}
