@@ -33,8 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A text without a match of this has no base span (the automaton folds more letters than ASCII's).
 MAYBE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
-#: A text without this has no pair of name and literal.
-PAIR_MAYBE = r"[A-Za-z0-9_)\]\"']\s*(?:=>|:=|=|:)\s*[\"'A-Za-z0-9_$]"
+#: A text without this has no pair of name and literal: it takes what PAIR takes, and more.
+PAIR_MAYBE = r"[A-Za-z0-9_.\-)\]\"']\s*(?:(?:=>|:=|=)\s*[^\s(){}\[\],;#=:]|:(?:\s+[^\s(){}\[\],;#=:]|[^\s(){}\[\],;#=:/]))"
 
 NAME = r"""(?:["']?)([A-Za-z_][A-Za-z0-9_.\-]*)(?:["']?\s*\])?(?:["']?)"""
 LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""

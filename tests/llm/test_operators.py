@@ -344,6 +344,22 @@ def test_classifier_on_held_out_labels(spark, small):
     assert good.keep.mean() > 0.9 and (not len(bad) or bad.keep.mean() < 0.3)
 
 
+# --- secrets -------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab_.-=:>/+!@%&*~^<|#,;()[]{}\"' \t\n\x0b$é漢1\u00a0"), max_size=12))
+def test_the_prefilter_takes_every_text_with_a_pair(text):
+    if secrets.PAIR.search(text):
+        assert pa.compute.match_substring_regex(pa.array([text]), secrets.PAIR_MAYBE)[0].as_py()
+
+
+def test_unquoted_values_that_start_with_a_sign(spark):
+    values = [f"db_pwd = {c}Xk29fj2LQz8wT1" for c in "/+!@%&*-.~^<|é漢"] + ["credential: !aB3xK92fjQ", "db_pwd. = aXk29fj2LQz8wT1"]
+    got = by_id(secrets.scan_secrets(frame(spark, values)))
+    assert {i: r.spans for i, r in got.items()} == {i: secrets.scan(t)[4] for i, t in enumerate(values)} and all(r.spans for r in got.values())
+
+
 # --- BPE ------------------------------------------------------------------------------------------------
 
 
