@@ -1,12 +1,12 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text.
 
-Texts are read as symbols of a folded alphabet of 64: letters, one class for capitals, digits,
-common punctuation, and one symbol for a word that repeats the word before it. Counts of all
-four-symbol windows of all trusted text are gathered by key-sharded aggregation; continuation
-counts, context sums and probabilities of all orders come from joins of the count shards on
-contexts and suffixes. Because the alphabet bounds the tables (64**4 windows, whatever the
-corpus), the final join of documents' windows with their probabilities is map-side: the table is
-broadcast, and no document text or window is shuffled. A document goes when its perplexity per
+Texts are read as Unicode code points, all told apart (a Latin capital is a mark and its small form),
+and one symbol for a word that repeats the word before it. Counts of all four-symbol windows of all trusted text are gathered by key-sharded
+aggregation; continuation counts, context sums and probabilities of all orders come from joins of
+the count shards on contexts and suffixes. Neither the windows nor their table has a bound, so the
+final join is a shuffle: texts are taken in segments, each asks once for the distinct windows and
+contexts in it, keys meet the probabilities in shards by their leading bits, and the answers meet
+the segment's texts. A document goes when its perplexity per
 symbol passes its language's upper quantile over held-out trusted text, or when its words cost less than the
 lower one (text that repeats itself is too easy to foretell). Both are pulled towards the
 language's mean by the weight of a short passage, so that a few words prove little.
@@ -20,6 +20,7 @@ any says so; repeated rows are answered once each; an empty table gives an empty
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, small_ids, table, without
-
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-WINDOWS = 1 << (BITS * ORDER)
+from tessera.llm.shared import keep, shuffle_parts, small_ids, table, without
+
+ORDER, BITS = 4, 21
+MASK = (1 << BITS) - 1
+#: Code points (each plus one), START before a text, REPEAT, and CAPITAL before the small form of a Latin capital.
+SYMBOLS, START, REPEAT, CAPITAL = 0x110003, 0, 0x110001, 0x110002
+#: Bytes of text that ask for their windows together, and shards by leading bits of the key, at least.
+SEGMENT_BYTES, SHARD_BITS = 8 << 20, 8
 #: Quantiles of trusted text between which a document stays, and slack beyond them (in nats a symbol, a word).
 UPPER, LOWER, SLACK, WORD_SLACK = 0.995, 0.002, 0.08, 1.0
 #: Symbols and words of average text that each document is scored with besides its own.
@@ -41,34 +45,23 @@ LEAST_DISCOUNT = 0.05
 #: One trusted document in HELD_OUT, by a hash of its id, sets quantiles and trains nothing.
 HELD_OUT = 4
 
-START, CAPITAL, DIGIT, LINE, SPACE, REPEAT, OTHER = 0, 27, 28, 29, 30, 31, 32
-_PUNCTUATION = ".,'\"-:;!?()|*#$%&@_=/"
-_ACCENTED = 54  # to 63: other letters, by their bytes
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    one = np.full(256, OTHER, np.uint8)
-    one[97:123] = np.arange(1, 27)
-    one[65:91] = CAPITAL
-    one[48:58] = DIGIT
-    one[[10, 13]] = LINE
-    one[[32, 9, 11, 12]] = SPACE
-    for k, c in enumerate(_PUNCTUATION):
-        one[ord(c)] = OTHER + 1 + k
-    two = np.zeros((256, 64), np.uint8)
-    two[:] = _ACCENTED + (np.arange(256)[:, None] * 7 + np.arange(64)[None, :]) % (64 - _ACCENTED)
-    two[0xC3, :0x1F] = CAPITAL
-    return one, two
-
-
-ONE, TWO = _tables()
+def code_points(data: np.ndarray) -> np.ndarray:
+    """The code point that begins at each byte (of no meaning at the others)."""
+    s = data.astype(np.int32)
+    for least, lead, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        at = np.flatnonzero(data >= least)
+        if not len(at):
+            break
+        cp = data[at].astype(np.int32) & lead
+        for d in range(1, more + 1):
+            cp = cp << 6 | data[np.minimum(at + d, len(data) - 1)] & 63
+        s[at] = cp
+    return s
 
 
 def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, offsets, words) of texts."""
-    s = ONE[data]
-    high = np.flatnonzero(data >= 0xC0)
-    s[high] = TWO[data[high], data[np.minimum(high + 1, len(data) - 1)] & 63]
+    s = code_points(data) + 1
     kept = (data & 0xC0) != 0x80
     a, e = vec.spans(vec.NOT_SPACE[data], offs)
     if len(a) > 1:
@@ -82,38 +75,105 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             step[e[again]] -= 1
             kept &= np.cumsum(step[:-1]) == 0
             kept[a[again]] = True
-    count = np.concatenate([[0], np.cumsum(kept)])
-    return s[kept], count[offs], np.diff(np.searchsorted(a, offs))
-
-
-def windows(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The key of the window that ends at each symbol: oldest symbol first, START before a text."""
-    key = s.astype(np.int32)
+    size = kept.astype(np.int64)
+    large = kept & ((s > 0x41) & (s <= 0x5B) | (s > 0xC0) & (s <= 0xDF) & (s != 0xD8))
+    size[large] = 2
+    count = np.concatenate([[0], np.cumsum(size)])
+    s[large] += 32
+    out = np.repeat(s, size)
+    out[count[:-1][large]] = CAPITAL
+    return out, count[offs], np.diff(np.searchsorted(a, offs))
+
+
+def contexts(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The ORDER - 1 symbols before each symbol, the oldest in the highest bits; START before a text."""
+    h = np.zeros(len(s), np.int64)
     where = np.arange(len(s)) - np.repeat(offs[:-1], np.diff(offs))
     for d in range(1, ORDER):
-        before = np.zeros(len(s), np.int32)
+        before = np.zeros(len(s), np.int64)
         before[d:] = s[:-d]
         before[where < d] = START
-        key |= before << (BITS * d)
-    return key
+        h |= before << (BITS * (d - 1))
+    return h
+
+
+def key_of(n: int | np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit key of windows of n symbols: ``w`` after the n - 1 symbols of ``h``."""
+    n = np.asarray(n).astype(np.uint64)
+    return vec.mix(vec.mix(h.astype(np.uint64) * vec.U64(4) + n) + w.astype(np.uint64) * vec.U64(0x9E3779B97F4A7C15))
+
 
+#: The context without symbols.
+EMPTY = key_of(0, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
-def _chunks(rb_col):
-    data, offs = vec.text_buffer(rb_col)
+
+def context_key(n: int | np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Key of contexts of n symbols, as windows of that size."""
+    return key_of(n, h >> BITS, h & MASK)
+
+
+def distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of all windows, positions with each window once, in the order of keys, their counts)."""
+    key = key_of(ORDER, h, w)
+    low = vec.U64((1 << max(1, len(key).bit_length())) - 1)
+    pos = (key & ~low) | np.arange(len(key), dtype=np.uint64)
+    pos.sort()
+    pos = (pos & low).astype(np.int64)
+    if len(pos):
+        top = key[pos]
+        if (top[1:] < top[:-1]).any():  # keys that share their leading bits
+            pos = np.argsort(key, kind="stable")
+            top = key[pos]
+        at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+        return key, pos[at], np.diff(np.append(at, len(pos)))
+    return key, pos, pos
+
+
+def _chunks(data: np.ndarray, offs: np.ndarray):
     for i, j in vec.chunks(offs):
         s, o, words = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        yield i, j, windows(s, o), o, words
+        yield i, j, contexts(s, o), s, o, words
+
+
+def _distinct_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, symbols, counts) of the distinct windows of texts."""
+    parts = []
+    for _i, _j, h, s, _o, _w in _chunks(data, offs):
+        key, pos, n = distinct(h, s)
+        parts.append((key[pos], h[pos], s[pos], n))
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    key, h, s, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return h[at], s[at], np.bincount(inverse, weights=n, minlength=len(at)).astype(np.int64)
 
 
 def _count(batches):
-    total = np.zeros(WINDOWS, np.int32)
+    kept, size = [], 0
+
+    def merged():
+        h, w, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((w, h))
+        h, w, c = h[order], w[order], c[order]
+        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else order
+        return h[at], w[at], np.add.reduceat(c, at) if len(at) else c
+
     for rb in batches:
-        for _i, _j, key, _o, _w in _chunks(rb.column(0)):
-            u, n = np.unique(key, return_counts=True)
-            total[u] += n.astype(np.int32)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000].astype(np.int32)), pa.array(total[at[i : i + 50_000]].astype(np.int64))], names=["k", "c"])
+        data, offs = vec.text_buffer(rb.column(0))
+        for i, j in vec.chunks(offs, SEGMENT_BYTES):
+            kept.append(_distinct_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+            size += len(kept[-1][0])
+            if size > 4_000_000:
+                yield from _rows(*merged())
+                kept, size = [], 0
+    if kept:
+        yield from _rows(*merged())
+
+
+def _rows(h, w, c):
+    for i in range(0, len(h), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000]), pa.array(w[i : i + 50_000].astype(np.int32)), pa.array(c[i : i + 50_000])], names=["h", "w", "c"])
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -125,66 +185,166 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * b / a, LEAST_DISCOUNT), float(k)) if a else 0.5 * k for k, a, b in each]
 
 
+def _keyed(batches):
+    for rb in batches:
+        n, h, w = (rb.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+        k = np.where(n > 0, key_of(np.abs(n), h, w), context_key(np.abs(n) - 1, h))
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(k.view(np.int64)), rb.column(3)], names=["n", "k", "p"])
+
+
 def fit(trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(n, k, p): the probability of every seen window of n symbols, and, under -n, the share of
+    """(n, k, p): the probability of every seen window of n symbols under its key, and, under -n, the share of
     what follows a context of n - 1 symbols that goes to the shorter windows."""
-    part = trusted.select(F.col(text_col).cast("string")).mapInArrow(vec.tidy(_count), "k int, c bigint")
-    counts, _ = keep(part.groupBy("k").agg(F.sum("c").alias("c")), "window-counts")
-    levels = {ORDER: counts}
+    part = trusted.select(F.col(text_col).cast("string")).mapInArrow(vec.tidy(_count), "h bigint, w int, c bigint")
+    levels = {ORDER: keep(part.groupBy("h", "w").agg(F.sum("c").alias("c")), "window-counts")[0]}
+
+    def suffix(n: int):
+        """The context of the window of n - 1 symbols that ends one of n."""
+        return F.col("h").bitwiseAND((1 << (BITS * (n - 2))) - 1)
+
     for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer windows a window ends
-        short = F.col("k").bitwiseAND((1 << (BITS * n)) - 1)
-        levels[n] = levels[n + 1].groupBy(short.alias("k")).agg(F.count("*").alias("c"))
+        levels[n] = levels[n + 1].groupBy(suffix(n + 1).alias("h"), "w").agg(F.count("*").alias("c"))
         levels[n], _ = keep(levels[n], "window-counts")
     lower, out = None, []
     for n in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(levels[n])
         d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        c = levels[n].select("k", "c", d.alias("d"), F.shiftright("k", BITS).alias("h"))
+        c = levels[n].select("h", "w", "c", d.alias("d"))
         sums = c.groupBy("h").agg((F.sum("d") / F.sum("c")).alias("g"), F.sum("c").alias("all"))
-        c = c.join(sums, "h").select("k", ((F.col("c") - F.col("d")) / F.col("all")).alias("own"), "g")
+        c = c.join(sums, "h").select("h", "w", ((F.col("c") - F.col("d")) / F.col("all")).alias("own"), "g")
         if lower is None:
-            p = c.select("k", (F.col("own") + F.col("g") / SYMBOLS).alias("p"))
+            p = c.select("h", "w", (F.col("own") + F.col("g") / SYMBOLS).alias("p"))
         else:
-            below = lower.select(F.col("k").alias("s"), F.col("p").alias("q"))
-            c = c.withColumn("s", F.col("k").bitwiseAND((1 << (BITS * (n - 1))) - 1))
-            p = c.join(below, "s").select("k", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
+            below = lower.select(F.col("h").alias("s"), "w", F.col("p").alias("q"))
+            p = c.withColumn("s", suffix(n)).join(below, ["s", "w"]).select("h", "w", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
         lower, _ = keep(p, "window-probabilities")
-        out += [lower.select(F.lit(n).alias("n"), "k", F.col("p").cast("float").alias("p")), sums.select(F.lit(-n).alias("n"), F.col("h").alias("k"), F.col("g").cast("float").alias("p"))]
-    return functools.reduce(DataFrame.unionByName, out)
+        out += [lower.select(F.lit(n).alias("n"), "h", "w", F.col("p").cast("float").alias("p")), sums.select(F.lit(-n).alias("n"), "h", F.lit(0).alias("w"), F.col("g").cast("float").alias("p"))]
+    return functools.reduce(DataFrame.unionByName, out).mapInArrow(_keyed, "n int, k bigint, p float")
 
 
 def dense(n: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Natural-log probability of every possible window: bounded by the alphabet, not the corpus."""
-    prob = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-    for order in range(1, ORDER + 1):
-        g = np.ones(SYMBOLS ** (order - 1), np.float32)
-        g[k[n == -order]] = p[n == -order]
-        table_ = np.tile(prob, SYMBOLS if order > 1 else 1).reshape(-1, SYMBOLS)
-        table_ *= g[:, None]
-        prob = table_.ravel()
-        prob[k[n == order]] = p[n == order]
-    return np.log(prob, out=prob)
-
-
-def _score(shared):
+    """Natural-log probability of every symbol without its context."""
+    at = k == EMPTY.view(np.int64)[0]
+    share = p[at & (n == -1)]
+    prob = np.full(SYMBOLS, (share[0] if len(share) else 1.0) / SYMBOLS)
+    every = np.arange(SYMBOLS)
+    key = key_of(1, np.zeros(SYMBOLS, np.int64), every).view(np.int64)
+    order = np.argsort(key)
+    one = n == 1
+    prob[order[np.searchsorted(key[order], k[one])]] = p[one]
+    return np.log(prob)
+
+
+def _segments(rb):
+    """(key, first row, end row, bytes, offsets) of the segments of a batch (id, language, text)."""
+    data, offs = vec.text_buffer(rb.column(2))
+    for i, j in vec.chunks(offs, SEGMENT_BYTES):
+        d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        said = hashlib.blake2b(d.tobytes(), digest_size=8)
+        said.update(o.tobytes())
+        said.update(str(rb.column(0).slice(i, j - i).to_pylist()).encode())
+        yield int.from_bytes(said.digest(), "little", signed=True), i, j, d, o
+
+
+def asked_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys of all orders' windows and contexts."""
+    keys = [EMPTY]
+    for n in range(1, ORDER + 1):
+        short = h & ((1 << (BITS * (n - 1))) - 1)
+        keys.append(key_of(n, short, w))
+        if n > 1:
+            keys.append(context_key(n - 1, short))
+    return np.unique(np.concatenate(keys))
+
+
+def log_probabilities(h: np.ndarray, w: np.ndarray, keys: np.ndarray, p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Of windows, from the answers (NaN: not seen) to their keys, which are sorted."""
+
+    def look(values, key):
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        if (keys[at] != key).any():
+            raise ValueError("the documents changed between two readings")
+        return values[at].astype(np.float64)
+
+    low = np.full(len(h), 1 / SYMBOLS)
+    for n in range(1, ORDER + 1):
+        short = h & ((1 << (BITS * (n - 1))) - 1)
+        seen = look(p, key_of(n, short, w))
+        share = look(g, context_key(n - 1, short) if n > 1 else np.full(len(h), EMPTY[0]))
+        low = np.where(np.isnan(seen), np.where(np.isnan(share), 1.0, share) * low, seen)
+    return np.log(low)
+
+
+def _ask(bits: int):
     def run(batches):
-        logp = dense(*shared.value)  # 64 MB for the time of the task
         for rb in batches:
-            nll, size, words = np.zeros(rb.num_rows), np.zeros(rb.num_rows, np.int64), np.zeros(rb.num_rows, np.int64)
-            for i, j, key, o, w in _chunks(rb.column(2)):
-                nll[i:j] = -np.diff(np.concatenate([[0.0], np.cumsum(logp[key], dtype=np.float64)])[o])
-                size[i:j], words[i:j] = np.diff(o), w
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(size), pa.array(words), pa.array(nll)], names=["doc_id", "lang", "n_symbols", "n_words", "nll"])
+            for segment, _i, _j, d, o in _segments(rb):
+                h, w, _ = _distinct_of(d, o)
+                keys = asked_keys(h, w)
+                shard = (keys >> vec.U64(64 - bits)).astype(np.int64)
+                at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                parts = [keys[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(keys)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array([segment] * len(at), pa.int64()), pa.array(parts, pa.binary())], names=["shard", "segment", "keys"])
 
     return vec.tidy(run)
 
 
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    n, k, p = (model.column(c).to_numpy() for c in ("n", "k", "p"))
+    k = k.view(np.uint64)
+    tables = []
+    for mine in (n > 0, n < 0):
+        order = np.argsort(k[mine])
+        tables.append((k[mine][order], p[mine][order]))
+    out = [[], []]
+    for blob in asked.column("keys").to_pylist():
+        keys = np.frombuffer(blob, np.uint64)
+        for (known, value), to in zip(tables, out, strict=True):
+            found = np.full(len(keys), np.nan, np.float32)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                found[hit] = value[at[hit]]
+            to.append(found.tobytes())
+    return pa.table([asked.column("segment"), asked.column("keys"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["segment", "keys", "p", "g"])
+
+
+def _pack(batches):
+    for rb in batches:
+        for segment, i, j, d, o in _segments(rb):
+            part = pa.compress(d.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([rb.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([rb.column(1).slice(i, j - i).to_pylist()], pa.list_(pa.string())), pa.array([o], pa.list_(pa.int64())), pa.array([part], pa.binary())], names=["segment", "ids", "langs", "offs", "text"])
+
+
+def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+    keys, p, g = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("p", np.float32), ("g", np.float32)))
+    keys, at = np.unique(keys, return_index=True)
+    p, g = p[at], g[at]
+    out = []
+    for r in range(packed.num_rows):
+        offs = np.array(packed.column("offs")[r].as_py(), np.int64)
+        data = np.frombuffer(pa.decompress(packed.column("text")[r].as_py(), int(offs[-1]), "zstd", asbytes=True), np.uint8)
+        n = len(offs) - 1
+        nll, size, words = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i, j, h, s, o, w in _chunks(data, offs):
+            key, pos, _ = distinct(h, s)
+            logp = log_probabilities(h[pos], s[pos], keys, p, g)[np.searchsorted(key[pos], key)]
+            nll[i:j] = -np.diff(np.concatenate([[0.0], np.cumsum(logp)])[o])
+            size[i:j], words[i:j] = np.diff(o), w
+        out.append(pa.table([packed.column("ids")[r].values, packed.column("langs")[r].values, pa.array(size), pa.array(words), pa.array(nll)], names=["doc_id", "lang", "n_symbols", "n_words", "nll"]))
+    vec.give_back()
+    return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_words", pa.int64()), ("nll", pa.float64())]).empty_table()
+
+
 def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_symbols, n_words, nll): the negative log-likelihood of every text, in nats."""
-    t = model.toArrow()  # at most SYMBOLS ** ORDER rows and a few more, whatever the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(t.column(c).to_numpy() for c in ("n", "k", "p")))
-    cols = [F.col(id_col).cast("bigint"), F.col(lang_col).cast("string"), F.col(text_col).cast("string")]
-    return docs.select(*cols).mapInArrow(_score(shared), "doc_id bigint, lang string, n_symbols bigint, n_words bigint, nll double")
+    bits = max(SHARD_BITS, shuffle_parts(docs.sparkSession).bit_length())
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    asked = rows.mapInArrow(_ask(bits), "shard int, segment bigint, keys binary")
+    shards = model.select(F.shiftrightunsigned("k", 64 - bits).cast("int").alias("shard"), "n", "k", "p")
+    answers = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_answer, "segment bigint, keys binary, p binary, g binary")
+    packed = rows.mapInArrow(vec.tidy(_pack), "segment bigint, ids array<bigint>, langs array<string>, offs array<bigint>, text binary")
+    return packed.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(_score, "doc_id bigint, lang string, n_symbols bigint, n_words bigint, nll double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -344,6 +344,15 @@ def test_classifier_on_held_out_labels(spark, small):
     assert good.keep.mean() > 0.9 and (not len(bad) or bad.keep.mean() < 0.3)
 
 
+def test_letters_of_all_scripts_are_told_apart(spark):
+    values = ["это простой русский текст о погоде и о море " * 3, "ѵто пыостой ыфсспьй фепсф о цободе п о шоые " * 3, "\u4e00\u4e8c\u4e09", "\u4e8c\u4e00\u4e09", "\U0001f600a\u00e9Z\u00c9"]
+    s, o, _ = quality.symbols(*vec.text_buffer(pa.array(values[2:])))
+    marked = [[x for c in t for x in ([quality.CAPITAL, ord(c.lower()) + 1] if c in "Z\u00c9" else [ord(c) + 1])] for t in values[2:]]
+    assert [s[a:b].tolist() for a, b in zip(o, o[1:])] == marked
+    got = by_id(quality.scores(frame(spark, values), quality.fit(frame(spark, [values[0], values[2]]))))
+    assert got[1].nll / got[1].n_symbols > 3 * got[0].nll / got[0].n_symbols and got[3].nll > got[2].nll
+
+
 # --- secrets -------------------------------------------------------------------------------------------
 
 
