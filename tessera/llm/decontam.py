@@ -28,9 +28,11 @@ from tessera.llm.shared import keep, table, without
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 2 << 20
 WINDOW = 10
+#: Words besides those of the window that a proximity match may hold on either side.
+SLOP = 2
 
 SEGMENT_SCHEMA = "segment string, ids array<bigint>, first array<int>, terms binary, checks binary, counts binary, gaps binary"
-HIT_SCHEMA = "segment string, row int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, n_near bigint"
+HIT_SCHEMA = "segment string, row int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, near array<struct<item:bigint,start:int,end:int>>"
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,29 +152,41 @@ def has(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_list[at] == x if len(sorted_list) else np.zeros(len(x), bool)
 
 
-def near(lists: list[np.ndarray], reach: int) -> int:
-    """Positions of the first list that have a position of every other list within ``reach`` words."""
+def near(lists: list[np.ndarray], reach: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the positions of the first list that have a position of every other list within
+    ``reach`` words in the same document; the interval spans the nearest ones."""
     p = lists[0]
+    doc = np.searchsorted(first, p, "right") - 1
+    s, e = p, p
     for q in lists[1:]:
-        p = p[np.searchsorted(q, p + reach, "right") > np.searchsorted(q, p - reach)]
-    return len(p)
+        at = np.searchsorted(q, p, "right")
+        left, right = q[np.maximum(at - 1, 0)], q[np.minimum(at, len(q) - 1)]
+        before = (at > 0) & (left >= np.maximum(p - reach, first[doc]))
+        after = (at < len(q)) & (right <= np.minimum(p + reach, first[doc + 1] - 1))
+        x = np.where(before & (~after | (p - left <= right - p)), left, right)
+        ok = before | after
+        p, doc, s, e = p[ok], doc[ok], np.minimum(s, x)[ok], np.maximum(e, x)[ok]
+        if not len(p):
+            break
+    return doc, s, e + 1
 
 
 def match(q: Phrases, terms, checks, counts, pos, first, slop: int | None):
-    """(window, start) of the phrase matches in a segment, and (document, matches) of the proximity ones."""
+    """(window, start) of the phrase matches in a segment, and (window, document, start, end) of the proximity ones."""
     begin = np.concatenate([[0], np.cumsum(counts)])
     at = np.searchsorted(terms, q.h1)
     at[at == len(terms)] = 0
     known = (terms[at] == q.h1) & (checks[at] == q.h2) if len(terms) else np.zeros(len(q.h1), bool)
     df = np.append(np.where(known, counts[at] if len(counts) else 0, 0), np.iinfo(np.int64).max)  # the last: no term
     per = df[q.windows]
-    win, start, close = [], [], 0
+    win, start, close = [], [], [np.zeros((0, 4), np.int64)]
     for w in np.flatnonzero(per.min(axis=1) > 0).tolist() if len(per) else ():
         n = int(q.length[w])
         order = np.argsort(per[w, :n], kind="stable")
         lists = [pos[begin[k] : begin[k + 1]] for k in at[q.windows[w, order]]]
         if slop is not None:
-            close += near(lists, n - 1 + slop)
+            found = near(lists, n - 1 + slop, first)
+            close.append(np.stack([np.full(len(found[0]), w), *found], axis=1))
         cand = lists[0] - order[0]
         for off, p in zip(order[1:], lists[1:], strict=True):
             if not len(cand):
@@ -183,7 +197,8 @@ def match(q: Phrases, terms, checks, counts, pos, first, slop: int | None):
             cand = cand[np.searchsorted(first, cand, "right") == np.searchsorted(first, cand + n - 1, "right")]
             win.append(np.full(len(cand), w))
             start.append(cand)
-    return (np.concatenate(win), np.concatenate(start), close) if win else (np.zeros(0, np.int64), np.zeros(0, np.int64), close)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *win]), np.concatenate([none, *start]), np.concatenate(close)
 
 
 def union(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,6 +216,20 @@ def lists(n: int, row: np.ndarray, *cols: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(off, pa.array(c)) for c in cols]
 
 
+def near_column(n: int, q: Phrases, close: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Lists of (item, start, end) for documents 0..n-1; a window of null items alone is listed without an item."""
+    own = np.array([len(x) for x in q.items], np.int64)
+    size = np.maximum(own, 1)[close[:, 0]]
+    row = np.repeat(np.arange(len(close)), size)
+    item = np.concatenate([np.zeros(0, np.int64), *(q.items[w] if own[w] else np.zeros(1, np.int64) for w in close[:, 0].tolist())])
+    win, doc, s, e = close[row].T
+    every = np.unique(np.stack([doc, own[win] == 0, item, s - first[doc], e - first[doc]], axis=1), axis=0) if len(row) else np.zeros((0, 5), np.int64)
+    doc, null, item, s, e = every.T
+    off = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+    fields = [pa.array(item, mask=null.astype(bool)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
+    return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(fields, names=["item", "start", "end"]))
+
+
 def _search(shared, slop: int | None):
     def run(batches):
         q = shared.value
@@ -218,8 +247,8 @@ def _search(shared, slop: int | None):
                 pairs = np.unique(np.array([(a, i) for a, w in {*zip(doc.tolist(), win.tolist(), strict=True)} for i in q.items[w].tolist()], np.int64).reshape(-1, 2), axis=0)
                 starts, ends = lists(n, d, s.astype(np.int32), e.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment[r].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), ids[r].values, pa.array(np.diff(first)), starts, ends, *lists(n, pairs[:, 0], pairs[:, 1]), pa.array([close] + [0] * (n - 1) if n else [], pa.int64())],
-                    names=["segment", "row", "doc_id", "n_words", "starts", "ends", "items", "n_near"],
+                    [pa.array([segment[r].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), ids[r].values, pa.array(np.diff(first)), starts, ends, *lists(n, pairs[:, 0], pairs[:, 1]), near_column(n, q, close, first)],
+                    names=["segment", "row", "doc_id", "n_words", "starts", "ends", "items", "near"],
                 )
 
     return vec.tidy(run)
@@ -240,18 +269,20 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str):
 def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """One row per indexed document: hit intervals in words, item ids, and proximity matches.
 
-    ``n_near`` (with ``slop``): places of a segment, given on its first row, where all words of a
-    window lie within ``window - 1 + slop`` words of its rarest one, in any order.
+    ``near`` (with ``slop``): the distinct (item, start, end) where all words of a window lie within
+    ``window - 1 + slop`` words of its rarest one, in any order, in one document; a word that the
+    window has twice is asked for once. ``n_near``: the distinct intervals.
     """
     sc = index.sparkSession.sparkContext
     found = [index.mapInArrow(_search(sc.broadcast(phrases(rows, window)), slop), HIT_SCHEMA) for rows in blocks(benchmark, item_col, text_col)]
-    if len(found) == 1:
-        return found[0].drop("segment", "row")
     out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return out.groupBy("segment", "row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), flat("starts"), flat("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near")).drop("segment", "row")
+    if len(found) > 1:
+        for x in found[1:]:
+            out = out.unionByName(x)
+        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        out = out.groupBy("segment", "row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), flat("starts"), flat("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    places = F.array_distinct(F.transform("near", lambda x: F.struct(x["start"], x["end"])))
+    return out.withColumn("n_near", F.size(places).cast("bigint")).drop("segment", "row")
 
 
 def covered() -> F.Column:
@@ -260,12 +291,13 @@ def covered() -> F.Column:
     return F.aggregate(F.array_sort(F.arrays_zip("starts", "ends")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), step, lambda a: a["n"].cast("bigint"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: words, words inside matched windows, matched items, verdict."""
-    hits = search(build_index(docs, id_col, text_col), benchmark, window=window)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
+    """Per document: words, words inside matched windows, matched items, verdict; with ``slop`` also the number of
+    proximity matches and their (item, start, end), in words."""
+    hits = search(build_index(docs, id_col, text_col), benchmark, window=window, slop=slop)
     items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     n_hit = covered()
-    return hits.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return hits.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *([] if slop is None else ["n_near", F.array_sort("near").alias("near")]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,6 +309,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's rows with the proximity matches; SQL gives op10 its columns."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FOUND = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
