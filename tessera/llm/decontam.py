@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, table, without
+from tessera.llm.shared import keep, row_key, table, without
 
 #: Bytes of text in an index segment, and of benchmark text shipped to the segments at a time.
 SEGMENT_BYTES = 4 << 20
@@ -302,7 +302,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a benchmark passage."""
-    return without(docs, decontaminate(docs, benchmark, window, id_col, text_col).where("contaminated"), id_col)
+    key = row_key(id_col, text_col)
+    found = decontaminate(docs.select(key.alias("row"), text_col), benchmark, window, "row", text_col)
+    return without(docs, found.where("contaminated"), key)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

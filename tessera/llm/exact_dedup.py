@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, table, without
+from tessera.llm.shared import keep, row_key, table, without
 
 #: Bytes of distinct text in a bucket, and of text that a map task chains before it sends.
 BUCKET_BYTES = 8 << 20
@@ -160,7 +160,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text."""
-    return without(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")), id_col)
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(row_key(id_col, "text_sha256").alias("row"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sha = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), letters, letters.lower()), 256)
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("bigint"), F.lit(False), sha)
+    return without(docs, gone, key)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

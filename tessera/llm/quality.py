@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, shuffle_parts, small_ids, table, without
+from tessera.llm.shared import keep, row_key, shuffle_parts, small_ids, table, without
 
 ORDER, BITS = 4, 21
 MASK = (1 << BITS) - 1
@@ -313,7 +313,7 @@ def _pack(batches):
     for rb in batches:
         for segment, i, j, d, o in _segments(rb):
             part = pa.compress(d.tobytes(), "zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([rb.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([rb.column(1).slice(i, j - i).to_pylist()], pa.list_(pa.string())), pa.array([o], pa.list_(pa.int64())), pa.array([part], pa.binary())], names=["segment", "ids", "langs", "offs", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([rb.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([rb.column(1).slice(i, j - i).to_pylist()], pa.list_(pa.string())), pa.array([rb.column(3).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([o], pa.list_(pa.int64())), pa.array([part], pa.binary())], names=["segment", "ids", "langs", "rows", "offs", "text"])
 
 
 def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
@@ -331,24 +331,29 @@ def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
             logp = log_probabilities(h[pos], s[pos], keys, p, g)[np.searchsorted(key[pos], key)]
             nll[i:j] = -np.diff(np.concatenate([[0.0], np.cumsum(logp)])[o])
             size[i:j], words[i:j] = np.diff(o), w
-        out.append(pa.table([packed.column("ids")[r].values, packed.column("langs")[r].values, pa.array(size), pa.array(words), pa.array(nll)], names=["doc_id", "lang", "n_symbols", "n_words", "nll"]))
+        out.append(pa.table([packed.column("ids")[r].values, packed.column("langs")[r].values, pa.array(size), pa.array(words), pa.array(nll), packed.column("rows")[r].values], names=["doc_id", "lang", "n_symbols", "n_words", "nll", "row"]))
     vec.give_back()
-    return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_words", pa.int64()), ("nll", pa.float64())]).empty_table()
+    return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_words", pa.int64()), ("nll", pa.float64()), ("row", pa.int64())]).empty_table()
 
 
 def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_symbols, n_words, nll): the negative log-likelihood of every text, in nats."""
+    """(doc_id, lang, n_symbols, n_words, nll, row): the negative log-likelihood of every text, in nats, and its row key."""
     bits = max(SHARD_BITS, shuffle_parts(docs.sparkSession).bit_length())
-    rows = docs.select(F.col(id_col).cast("bigint"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"), row_key(id_col, text_col))
     asked = rows.mapInArrow(_ask(bits), "shard int, segment bigint, keys binary")
     shards = model.select(F.shiftrightunsigned("k", 64 - bits).cast("int").alias("shard"), "n", "k", "p")
     answers = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_answer, "segment bigint, keys binary, p binary, g binary")
-    packed = rows.mapInArrow(vec.tidy(_pack), "segment bigint, ids array<bigint>, langs array<string>, offs array<bigint>, text binary")
-    return packed.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(_score, "doc_id bigint, lang string, n_symbols bigint, n_words bigint, nll double")
+    packed = rows.mapInArrow(vec.tidy(_pack), "segment bigint, ids array<bigint>, langs array<string>, rows array<bigint>, offs array<bigint>, text binary")
+    return packed.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(_score, "doc_id bigint, lang string, n_symbols bigint, n_words bigint, nll double, row bigint")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang, n_symbols, perplexity, threshold and lowest of its language, keep."""
+    return _classified(docs, labels, id_col, text_col, lang_col).drop("row")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The rows of classify with their row keys."""
     ids = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("_trusted")).distinct()
     held = F.pmod(F.xxhash64("_trusted"), F.lit(HELD_OUT)) == 0
     seen = ids.where(~held)
@@ -375,12 +380,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = out.withColumns({c: F.coalesce(c, F.lit(v).cast("double")) for c, v in known.items()})
     has_text = F.col("n_symbols") > 0
     inside = F.coalesce((high <= F.col("most")) & (low >= F.col("least")), F.lit(True))
-    return out.select(F.col("doc_id").alias(id_col), "lang", "n_symbols", F.when(has_text, F.exp(F.col("nll") / F.col("n_symbols"))).alias("perplexity"), F.exp(high).alias("score"), F.exp("most").alias("threshold"), low.alias("word_nats"), F.col("least").alias("lowest"), (has_text & inside).alias("keep"))
+    return out.select(F.col("doc_id").alias(id_col), "lang", "n_symbols", F.when(has_text, F.exp(F.col("nll") / F.col("n_symbols"))).alias("perplexity"), F.exp(high).alias("score"), F.exp("most").alias("threshold"), low.alias("word_nats"), F.col("least").alias("lowest"), (has_text & inside).alias("keep"), "row")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    return without(docs, classify(docs, labels, id_col, text_col, lang_col).where(~F.col("keep")), id_col)
+    return without(docs, _classified(docs, labels, id_col, text_col, lang_col).where(~F.col("keep")), row_key(id_col, text_col))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

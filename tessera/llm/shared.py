@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -70,8 +70,12 @@ def small_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``gone``; rows without an id stay."""
-    ids, _ = keep(gone.select(F.col(id_col).alias("_gone")).distinct(), "dropped-ids")
-    ids = small_ids(ids)
-    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")
+def row_key(id_col: str, text: str) -> Column:
+    """A row's number by its id and text (or a digest that stands for it), null or not: 64 bits of hash."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("bigint"), F.col(text).isNull(), F.col(text).cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in column ``row`` of ``gone``."""
+    keys, _ = keep(gone.select(F.col("row").alias("_gone_row")).distinct(), "dropped-rows")
+    return docs.join(small_ids(keys), key == F.col("_gone_row"), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import drop_path, keep, table, without
+from tessera.llm.shared import drop_path, keep, row_key, table, without
 
 U64 = np.uint64
 SEED = 42
@@ -132,11 +132,11 @@ def _fingerprints(batches):
     for rb in batches:
         data, offs = vec.text_buffer(rb.column(1))
         fp = [simhash(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in vec.chunks(offs)]
-        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(np.concatenate(fp or [np.zeros(0, U64)]).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(np.concatenate(fp or [np.zeros(0, U64)]).view(np.int64)), rb.column(2)], names=["doc_id", "fp", "row"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(vec.tidy(_fingerprints), "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), row_key(id_col, text_col)).mapInArrow(vec.tidy(_fingerprints), "doc_id bigint, fp bigint, row bigint")
 
 
 # --- candidate keys ------------------------------------------------------------------------------
@@ -332,6 +332,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id."""
+    return _near(docs, id_col, text_col, radius).drop("row")
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) -> DataFrame:
+    """The rows of near_groups with their row keys."""
     prints, _ = keep(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes, _ = keep(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     links = linked(nodes, nodes.count(), radius)
@@ -341,12 +346,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(every)
     label = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("root"))
-    return prints.join(label, "fp", "left").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    return prints.join(label, "fp", "left").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), "row")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` per component: the one with the smallest id."""
-    return without(docs, near_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")), id_col)
+    gone = _near(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id"))
+    return without(docs, gone, row_key(id_col, text_col))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,6 +379,24 @@ def test_letters_of_all_scripts_are_told_apart(spark):
     assert got[1].nll / got[1].n_symbols > 3 * got[0].nll / got[0].n_symbols and got[3].nll > got[2].nll
 
 
+# --- rows without an id, and ids that repeat -------------------------------------------------------------
+
+
+def test_decisions_take_effect_on_their_rows(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = lambda *r: spark.createDataFrame(r, "doc_id bigint, text string, lang string")
+    left = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    docs = rows((None, passage, "en"), (None, "clean", "en"), (3, passage, "en"), (3, "clean too", "en"))
+    assert left(decontam.drop_contaminated(docs, bench)) == [(0, "clean"), (3, "clean too")]
+    docs = rows((None, "Copy", "en"), (7, "copy", "en"), (3, "copy", "en"), (3, "alone", "en"))
+    assert left(exact_dedup.drop_exact(docs)) == [(3, "alone"), (7, "copy")]
+    docs = rows((1, passage, "en"), (3, passage.upper(), "en"), (3, "something else entirely here", "en"))
+    assert left(simhash.drop_near(docs)) == [(1, passage), (3, "something else entirely here")]
+    docs = rows((None, "", "en"), (None, "text", "en"), (3, "", "en"), (3, "more", "en"))
+    assert left(quality.drop_low_quality(docs, spark.createDataFrame([], "doc_id bigint, quality int"))) == [(0, "text"), (3, "more")]
+
+
 # --- secrets -------------------------------------------------------------------------------------------
 
 
@@ -493,6 +511,24 @@ def test_token_files(spark, monkeypatch):
     assert tokenbin.read_tokens(blocks, fr).count() == 0
 
 
+# --- rows without an id, and ids that repeat -------------------------------------------------------------
+
+
+def test_decisions_take_effect_on_their_rows(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = lambda *r: spark.createDataFrame(r, "doc_id bigint, text string, lang string")
+    left = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    docs = rows((None, passage, "en"), (None, "clean", "en"), (3, passage, "en"), (3, "clean too", "en"))
+    assert left(decontam.drop_contaminated(docs, bench)) == [(0, "clean"), (3, "clean too")]
+    docs = rows((None, "Copy", "en"), (7, "copy", "en"), (3, "copy", "en"), (3, "alone", "en"))
+    assert left(exact_dedup.drop_exact(docs)) == [(3, "alone"), (7, "copy")]
+    docs = rows((1, passage, "en"), (3, passage.upper(), "en"), (3, "something else entirely here", "en"))
+    assert left(simhash.drop_near(docs)) == [(1, passage), (3, "something else entirely here")]
+    docs = rows((None, "", "en"), (None, "text", "en"), (3, "", "en"), (3, "more", "en"))
+    assert left(quality.drop_low_quality(docs, spark.createDataFrame([], "doc_id bigint, quality int"))) == [(0, "text"), (3, "more")]
+
+
 # --- secrets -------------------------------------------------------------------------------------------
 
 
