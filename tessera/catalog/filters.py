@@ -129,11 +129,19 @@ def sift_descriptor(spark, d):
     return out.select("image_id", "x", "y", F.posexplode("features").alias("dim", "f")).withColumn("f", F.round("f", 6) + F.lit(0.0))
 
 
+@QUERIES.add(QUERIES["sift_descriptor"][1].replace(" WHERE x % 5 = 0 AND y % 5 = 0", ""))
+def sift_descriptor_all(spark, d):
+    """The descriptor of every pixel."""
+    out = S.sift(A.raster(spark, d), W_, H_, 3, 2, 8)
+    return out.select("image_id", "x", "y", F.posexplode("features").alias("dim", "f")).withColumn("f", F.round("f", 6) + F.lit(0.0))
+
+
 @QUERIES.add()
 def colour_sift_words(spark, d):
-    """Descriptors of colour images, quantised to the nearest of a few of them."""
+    """The word of every pixel of colour images: the nearest centre of k-means over every fifth pixel's descriptors."""
     from tessera.operators import learning as L
 
-    found = S.colour_sift(A.rgb(spark, d), W_, H_, 3, 2, 4, step=5).withColumn("key", F.concat_ws("/", "image_id", "x", "y"))
-    centres = found.where("image_id = 'A' AND x % 20 = 0 AND y = 0").select((F.col("x") / 20).cast("int").alias("cluster"), F.col("features").alias("mean"))
+    found = S.colour_sift(A.rgb(spark, d), W_, H_, 3, 2, 4).withColumn("key", F.concat_ws("/", "image_id", "x", "y"))
+    first = found.where("image_id = 'A' AND x % 20 = 0 AND y = 0").select((F.col("x") / 20).cast("int").alias("cluster"), F.col("features").alias("mean"))
+    centres = L.kmeans(found.where("x % 5 = 0 AND y % 5 = 0"), first, key="key")
     return L.nearest(found, centres, key="key").select("key", F.col("cluster").alias("word"))

@@ -80,3 +80,12 @@ def test_training_takes_all_rows_labels_and_features(spark, small):
     assert first.error == pytest.approx(best["error"])
     assert [r.cls for r in learning.linear_train(spark, small).orderBy("cls").collect()] == list(range(10))
     assert {(r.cls, r.feature) for r in learning.gbt_train(spark, small).collect()} == {(c, f) for c in range(10) for f in range(64)}
+
+
+def test_every_pixel_has_a_word_of_fitted_centres(spark, small):
+    from tessera import adapters as A
+    from tessera.catalog import filters
+
+    px = {f"{r.image_id}/{r.x}/{r.y}" for r in A.rgb(spark, small).collect()}
+    got = filters.colour_sift_words(spark, small).collect()
+    assert len(got) == len(px) and {r.key for r in got} == px and len({r.word for r in got}) > 1
