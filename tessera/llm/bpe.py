@@ -7,7 +7,8 @@ exactly, many words at once, by the vocabulary's merge ranks. Special strings in
 their special id, as in the library.
 
 Defined results: null counts as the empty text; an empty text has no ids and decodes to itself;
-words of any length are merged exactly; repeated rows are answered once each; an empty table gives
+words of any length are merged exactly (past 256 bytes by a heap, in n log n), and a text may hold
+any number of special strings; repeated rows are answered once each; an empty table gives
 an empty result.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -152,8 +154,8 @@ def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byte
     return [bytes(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def texts_without(col: pa.Array, special: dict[str, int]) -> pa.Array:
-    """Which texts hold no special string."""
+def texts_with(col: pa.Array, special: dict[str, int]) -> pa.Array:
+    """Which texts hold a special string."""
     mask = pa.array(np.zeros(len(col), bool))
     for t in special:
         mask = pc.or_(mask, pc.fill_null(pc.match_substring(col, t), False))
@@ -166,6 +168,8 @@ class Codec:
     def __init__(self, merges: Merges, classes: np.ndarray, lexicon: Lexicon | None):
         self.merges, self.classes, self.lexicon = merges, classes, lexicon
         self.words = WordTable()
+        #: The longest special string at the first place, as in the library; one that never matches if there is none.
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(merges.special, key=len, reverse=True)) or r"(?!)")
         self.spelled = pa.array(merges.spelled, pa.binary())
         self.decimal = pa.array([str(i) for i in range(len(merges.spelled))])
 
@@ -187,26 +191,36 @@ class Codec:
         ids, size = self.words.encode(h, c, lambda rows: self.ids_of(spelled(data, s[rows], e[rows])))
         return ids, np.concatenate([[0], np.cumsum(size)])[first]
 
-    def _special(self, text: str) -> np.ndarray:
-        cut = min(((p, t) for t in self.merges.special if (p := text.find(t)) >= 0), default=None)
-        head = text if cut is None else text[: cut[0]]
-        data, offs = vec.text_buffer(pa.array([head]))
-        ids = self._plain(data, offs)[0]
-        return ids if cut is None else np.concatenate([ids, [self.merges.special[cut[1]]], self._special(text[cut[0] + len(cut[1]) :])])
+    def _with_special(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_plain``, for texts that hold special strings: the pieces between them are encoded
+        together, and each special string's id follows the piece before it."""
+        pieces, after, count = [], [], []
+        for t in texts:
+            at = 0
+            for m in self.special.finditer(t):
+                pieces.append(t[at : m.start()])
+                after.append(self.merges.special[m[0]])
+                at = m.end()
+            pieces.append(t[at:])
+            after.append(-1)
+            count.append(len(pieces))
+        ids, ends = self._plain(*vec.text_buffer(pa.array(pieces, pa.large_string())))
+        after = np.array(after, np.int32)
+        marks = after >= 0
+        ids = np.insert(ids, ends[1:][marks], after[marks])
+        ends = ends + np.concatenate([[0], np.cumsum(marks)])
+        return ids, ends[np.array([0, *count])]
 
     def encode(self, col: pa.Array):
         """Lists of ids of the texts of ``col``, part by part."""
-        odd = texts_without(col, self.merges.special).to_numpy(zero_copy_only=False)
+        odd = texts_with(col, self.merges.special).to_numpy(zero_copy_only=False)
         data, offs = vec.text_buffer(col)
         for i, j in vec.chunks(offs):
-            rows = np.flatnonzero(odd[i:j])
-            if len(rows):
-                lists = [self._special(t or "") for t in col.slice(i, j - i).to_pylist()]
-                ends = np.cumsum([0] + [len(x) for x in lists])
-                yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32)))
+            if odd[i:j].any():
+                ids, ends = self._with_special([t or "" for t in col.slice(i, j - i).to_pylist()])
             else:
                 ids, ends = self._plain(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids, as UTF-8 with replacement characters where bytes are not."""

@@ -2,8 +2,9 @@
 
 Candidates are found by one pattern, validated by their own rules (checksums, ranges, calendars),
 and replaced by a keyed permutation of their own format: a value is a list of symbols, each modulo
-its radix, and a Feistel network alternates between the halves of the list, adding to one half a
-keyed digest of the other. Check digits are computed anew, dates stay dates, separators stay where
+its radix, and a Feistel network alternates between the halves of the list, adding to each symbol of
+one half its own piece of a keyed digest of the other; a list of one symbol goes through a keyed table.
+Symbols that cannot move (separators) are no part of the list. Check digits are computed anew, dates stay dates, separators stay where
 they are, so equal values get equal pseudonyms in every document, different values different ones,
 and the key holder can invert them (``inverse=True``). Values that fail validation are left alone.
 
@@ -12,7 +13,10 @@ digits with a right Luhn digit), phone (10 to 15 digits, with a country code or
 separated area code). Dates move within their era (the years 1000, 1900 and 2100 begin one); dates
 that only make sense month first keep a day past the 12th, so that they are read so again.
 
-Defined results: a date written without leading zeros turns back into the same date, perhaps with
+The key is an argument; ``configured_key`` reads it from the session and fails where there is none.
+
+Defined results: an address has at most 126 labels before its last; values of any length are moved whole,
+in time in proportion to their length; a date written without leading zeros turns back into the same date, perhaps with
 them; null text stays null with no values; a text without valid values is returned as
 it is; repeated rows are answered once each; an empty table gives an empty result.
 """
@@ -27,10 +31,11 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import table
 
 ROUNDS = 8
-DEMO_KEY = "tessera-demo-key"
+#: The key of the registered query, which shows the operator on invented data: no secret.
+QUERY_KEY = "tessera-query-key"
 KEY_CONF = "spark.tessera.pii.key"
 
-EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])"
@@ -42,31 +47,65 @@ PHONE = rf"(?<![0-9A-Za-z+])(?:{NANP}|\+[0-9]{{1,3}}[\x20.-]?(?:\([0-9]{{1,4}}\)
 ANY = "|".join((EMAIL, IBAN, IP, DATE, SSN, PHONE, CARD))
 
 
+def within(x: Column, f) -> Column:
+    """``f`` of a value computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+#: Symbols that one digest serves: SHA-512 in words of 32 bits.
+WORDS = 16
+
+
+def configured_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        raise ValueError(f"no key for pseudonyms: set {KEY_CONF}")
+    return key
+
+
+def digest(*parts) -> Column:
+    return F.sha2(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts)), 512)
+
+
 def feistel(values: Column, radix: Column, kind: str, key: str, inverse: bool = False) -> Column:
     """A keyed permutation of lists of numbers, each modulo its radix (array<bigint>)."""
-    n = F.size(values)
-    half = F.floor(n / 2).cast("int")
-    first, rest = F.slice(values, F.lit(1), half), F.slice(values, half + 1, n - half)
-    first_r, rest_r = F.slice(radix, F.lit(1), half), F.slice(radix, half + 1, n - half)
+    half = lambda p: F.floor(F.size(p["v"]) / 2).cast("int")
+    ends = lambda p, c: (F.slice(p[c], F.lit(1), half(p)), F.slice(p[c], half(p) + 1, F.size(p[c]) - half(p)))
 
     def added(x: Column, r: Column, other: Column, i: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.size(x), i, F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 256)
+        """``x`` plus the digests of ``other``: symbol j takes word j % WORDS of digest j / WORDS."""
+        said = digest(key, kind, F.size(x), i, F.array_join(F.transform(other, lambda v: v.cast("string")), ","))
+        blocks = lambda h: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / WORDS).cast("int")), lambda b: digest(h, b))
 
-        def symbol(h, v, j):
-            d = F.conv(F.substr(h, F.pmod(j, F.lit(8)) * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+        def symbol(hs, v, j):
+            h = F.element_at(hs, F.floor(j / WORDS).cast("int") + 1)
+            d = F.conv(F.substr(h, F.pmod(j, F.lit(WORDS)) * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
             return F.pmod(v - d if inverse else v + d, F.element_at(r, j + 1))
 
-        return F.element_at(F.transform(F.array(digest), lambda h: F.transform(x, lambda v, j: symbol(h, v, j))), 1)
+        return F.element_at(F.transform(F.transform(F.array(said), blocks), lambda hs: F.transform(x, lambda v, j: symbol(hs, v, j))), 1)
+
+    def many(q: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            even = i % 2 == 0
+            a = F.when(even, acc["a"]).otherwise(added(acc["a"], q["ra"], acc["b"], i))
+            b = F.when(even, added(acc["b"], q["rb"], acc["a"], i)).otherwise(acc["b"])
+            return F.struct(a.alias("a"), b.alias("b"))
+
+        order = [*range(ROUNDS)][:: -1 if inverse else 1]
+        return F.aggregate(F.array(*map(F.lit, order)), F.struct(q["a"].alias("a"), q["b"].alias("b")), step, lambda acc: F.concat(acc["a"], acc["b"]))
 
-    def step(acc: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        a = F.when(even, acc["a"]).otherwise(added(acc["a"], first_r, acc["b"], i))
-        b = F.when(even, added(acc["b"], rest_r, acc["a"], i)).otherwise(acc["b"])
-        return F.struct(a.alias("a"), b.alias("b"))
+    def tabled(at: Column, r: Column) -> Column:
+        """A single symbol: the numbers below its radix in the order of their digests."""
+        every = F.sequence(F.lit(0).cast("bigint"), r - 1)
+        order = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(digest(key, kind, "table", r, x).alias("h"), x.alias("x")))), lambda s: s["x"])
+        return F.array((F.array_position(order, at) - 1) if inverse else F.element_at(order, (at + 1).cast("int")))
 
-    order = [*range(ROUNDS)][:: -1 if inverse else 1]
-    start = F.struct(first.alias("a"), rest.alias("b"))
-    return F.aggregate(F.array(*map(F.lit, order)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+    def moved(p: Column) -> Column:
+        (a, b), (ra, rb) = ends(p, "v"), ends(p, "r")
+        halves = F.struct(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb"))
+        return F.when(F.size(p["v"]) > 1, within(halves, many)).when(F.size(p["v"]) == 1, tabled(p["v"][0], p["r"][0])).otherwise(p["v"])
+
+    return within(F.struct(values.alias("v"), radix.alias("r")), moved)  # each list is made once, not once a symbol
 
 
 def letters(v: Column) -> Column:
@@ -79,7 +118,7 @@ def by_class(v: Column, kind: str, key: str, inverse: bool, first_digits: str =
     2-9 or in 0-1."""
 
     def spec(c: Column, i: Column, cs: Column) -> Column:
-        """struct(base, radix) of a symbol."""
+        """struct(at, base, radix, value) of a symbol."""
         pair = lambda base, radix: F.struct(F.lit(base).cast("bigint").alias("base"), F.lit(radix).cast("bigint").alias("radix"))
         out = F.when(c.between("a", "z"), pair(97, 26)).when(c.between("A", "Z"), pair(65, 26))
         if first_digits == "nonzero":
@@ -87,15 +126,20 @@ def by_class(v: Column, kind: str, key: str, inverse: bool, first_digits: str =
         elif first_digits == "group":
             begins = (i == 0) | ~F.element_at(cs, F.greatest(i, F.lit(1))).between("0", "9")
             out = out.when(begins & c.between("2", "9"), pair(50, 8)).when(begins & c.between("0", "1"), pair(48, 2))
-        return out.when(c.between("0", "9"), pair(48, 10)).otherwise(F.struct(F.ascii(c).cast("bigint").alias("base"), F.lit(1).cast("bigint").alias("radix")))
+        out = out.when(c.between("0", "9"), pair(48, 10)).otherwise(F.struct(F.ascii(c).cast("bigint").alias("base"), F.lit(1).cast("bigint").alias("radix")))
+        return within(out, lambda s: F.struct(i.alias("at"), s["base"].alias("base"), s["radix"].alias("radix"), (F.ascii(c) - s["base"]).cast("bigint").alias("value")))
+
+    def apply(specs: Column) -> Column:
+        """The symbols that can move are permuted among themselves and sorted back to their places."""
+        return within(F.filter(specs, lambda s: s["radix"] > 1), lambda free: rejoined(specs, free))
 
-    def apply(cs: Column, specs: Column) -> Column:
-        values = F.zip_with(cs, specs, lambda c, s: F.ascii(c) - s["base"])
-        moved = feistel(values, F.transform(specs, lambda s: s["radix"]), kind, key, inverse)
-        return F.array_join(F.zip_with(moved, specs, lambda x, s: F.char(x + s["base"])), "")
+    def rejoined(specs: Column, free: Column) -> Column:
+        moved = feistel(F.transform(free, lambda s: s["value"]), F.transform(free, lambda s: s["radix"]), kind, key, inverse)
+        put = F.zip_with(free, moved, lambda s, x: F.struct(s["at"].alias("at"), F.char(x + s["base"]).alias("c")))
+        fixed = F.transform(F.filter(specs, lambda s: s["radix"] == 1), lambda s: F.struct(s["at"].alias("at"), F.char(s["base"]).alias("c")))
+        return F.array_join(F.transform(F.array_sort(F.concat(put, fixed)), lambda s: s["c"]), "")
 
-    with_specs = F.transform(F.array(letters(v)), lambda cs: F.struct(cs.alias("cs"), F.transform(cs, lambda c, i: spec(c, i, cs)).alias("specs")))
-    return F.element_at(F.transform(with_specs, lambda x: apply(x["cs"], x["specs"])), 1)
+    return within(letters(v), lambda cs: within(F.transform(cs, lambda c, i: spec(c, i, cs)), apply))
 
 
 def digits(v: Column) -> Column:
@@ -181,11 +225,6 @@ def longs(*xs) -> Column:
     return F.array(*(x.cast("bigint") if isinstance(x, Column) else F.lit(x).cast("bigint") for x in xs))
 
 
-def within(x: Column, f) -> Column:
-    """``f`` of a value computed once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def date(v, key, inverse):
     def in_era(d, start, end):
         a, b = factors((dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days)
@@ -250,6 +289,8 @@ def pseudonym(v: Column, kind: Column, key: str, inverse: bool = False) -> Colum
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """Per row: id, text with pseudonyms, number of values replaced, their kinds in order."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(text_col).cast("string")
     hot = text.rlike("[0-9]|@") & text.rlike(ANY)
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), text.alias("text"), F.when(hot, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).alias("found"))
@@ -261,4 +302,4 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(KEY_CONF, DEMO_KEY))
+    return pseudonymize(table(spark, sf_dir, "documents"), QUERY_KEY)

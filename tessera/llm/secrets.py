@@ -2,14 +2,21 @@
 
 The base patterns are found in every text. Beyond them, source and configuration syntax is lexed
 into name-literal pairs (``name = "x"``, ``"name": "x"``, ``name: x``, ``name := x``, ``name => x``,
-``export NAME=x``, ``env["NAME"] = x``); constants are propagated through names and through
-concatenation, so that a literal bound to a plain name and later given to a sensitive one is found
-where it stands; and a literal is scored by the name it reaches, its length, its alphabet
-and its entropy. A regular-expression automaton over the Arrow buffers selects the texts that can
-hold a match at all; only those become Python strings.
+``export NAME=x``, ``env["NAME"] = x``, ``name: type = x``, ``a = b = x``); constants are propagated
+through names and through concatenation, so that a literal bound to a plain name and later given to
+a sensitive one is found where it stands; and a literal is scored by the name it reaches, its length,
+its alphabet and its entropy. A regular-expression automaton over the Arrow buffers selects the texts
+that can hold a match at all; only those become Python strings.
+
+A text of any length takes time and memory in proportion to it: names and literals are matched
+possessively from the places where they can begin, and a constant is a node that points to the
+constants it is made of, with the statistics of its value but not the value, so that a constant
+doubled a thousand times is a thousand nodes. Each node is visited once when spans are marked.
 
 Defined results: null counts as empty; a text without spans has empty strings hashed; spans are in
-code points, ends exclusive; repeated rows are answered once each; an empty table gives none.
+code points, ends exclusive; a concatenation is scored as a whole, by the entropy of its bytes; a
+lexed literal inside a base span is not listed again; repeated rows are answered once each; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -17,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +44,17 @@ MAYBE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]
 #: A text without this has no pair of name and literal: it takes what PAIR takes, and more.
 PAIR_MAYBE = r"[A-Za-z0-9_.\-)\]\"']\s*(?:(?:=>|:=|=)\s*[^\s(){}\[\],;#=:]|:(?:\s+[^\s(){}\[\],;#=:]|[^\s(){}\[\],;#=:/]))"
 
-NAME = r"""(?:["']?)([A-Za-z_][A-Za-z0-9_.\-]*)(?:["']?\s*\])?(?:["']?)"""
-LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-BARE = r"""[^\s"'(){}\[\],;#=:]+"""
-TERM = rf"(?:{LITERAL}|{BARE})"
-PAIR = re.compile(rf"{NAME}[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*({TERM}(?:[ \t]*\+[ \t]*{TERM})*)")
-PART = re.compile(rf"{TERM}")
+#: A name begins where its run of letters does, so that a run is read once.
+NAME = r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)(?:["']?\s*+\])?["']?"""
+LITERAL = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
+#: A plus sign before a quote joins; inside a word it is a letter of it.
+BARE = r"""(?:[^\s"'(){}\[\],;#=:+]|\+(?!["']))++"""
+TERM = rf"(?:(?:[bBrRuUfF]{{1,2}}(?=[\"']))?{LITERAL}|{BARE})"
+PAIR = re.compile(rf"{NAME}[ \t]*+(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*+({TERM}(?:[ \t]*+\+[ \t]*+{TERM})*+)")
+PART = re.compile(rf"[ \t]*+(?:\+[ \t]*+)?({TERM})")
+#: The value of a pair is itself the name of a further one.
+CHAINED = re.compile(r"[ \t]*+(?:=>|:=|=(?![=>]))")
+IDENTIFIER = re.compile(r"\$?[A-Za-z_][A-Za-z0-9_.]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: Weights of name words (fixed values), alone or joined with the one before.
@@ -60,40 +73,93 @@ def name_weight(name: str) -> float:
     return 1.5 if any(w in WEAK for w in words + joined) else 0.0
 
 
-def entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
-
-
-def literal_score(value: str) -> float:
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return -9.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(len(value), 24) / 24 + min(entropy(value), 4.0) / 4.0 + 0.25 * kinds + (0.75 if re.search("[0-9]", value) else -0.5)
+KINDS_OF_LETTERS = tuple(re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]", r"\s"))
+#: Counts stay finite however often a constant doubles.
+MOST = 1e300
+
+
+class Constant:
+    """What a name stands for: one literal of the text, or the constants it joins."""
+
+    __slots__ = ("counts", "found", "head", "kinds", "last", "parts", "size", "span", "text")
+
+    def __init__(self, text: str | None, span: tuple[int, int] | None, parts: tuple = ()):
+        self.text, self.span, self.parts, self.found, self.counts = text, span, parts, False, None
+        if parts:
+            for p in parts:
+                p.measure()
+            self.size = min(sum(p.size for p in parts), MOST)
+            self.counts = np.minimum(sum(p.counts for p in parts), MOST)
+            self.kinds = [any(k) for k in zip(*(p.kinds for p in parts), strict=True)]
+            self.head = ""
+            for p in parts[:16]:
+                self.head = (self.head + p.head)[:16]
+            self.last = next((p.last for p in reversed(parts) if p.last), "")
+
+    def measure(self) -> None:
+        if self.counts is None:
+            t = self.text
+            self.size, self.head, self.last = float(len(t)), t[:16], t[-1:]
+            self.counts = np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256).astype(float)
+            self.kinds = [bool(p.search(t)) for p in KINDS_OF_LETTERS]
+
+    def placeholder(self) -> bool:
+        if self.size <= 16:
+            return bool(PLACEHOLDER.match(self.head))
+        total, of = self.counts.sum(), lambda c: self.counts[[ord(x) for x in c]].sum()
+        return of("xX") == total or of("*") == total or self.head[:5].lower() in ("your_", "your-") or (self.head[0] == "<" and self.last == ">") or (self.head[:2] == "${" and self.last == "}")
+
+    def score(self) -> float:
+        self.measure()
+        if self.size < 6 or self.kinds[4] or self.placeholder():
+            return -9.0
+        p = self.counts[self.counts > 0]
+        p = p / p.sum()
+        entropy = -float((p * np.log2(p)).sum())
+        return min(self.size, 24) / 24 + min(entropy, 4.0) / 4.0 + 0.25 * sum(self.kinds[:4]) + (0.75 if self.kinds[2] else -0.5)
+
+    def mark(self) -> list[tuple[int, int]]:
+        """The spans of its literals that have not been marked before."""
+        out, todo = [], [self]
+        while todo:
+            c = todo.pop()
+            if not c.found:
+                c.found = True
+                todo += c.parts
+                if c.span:
+                    out.append(c.span)
+        return out
 
 
 def lex(text: str):
-    """(target name, [(start, end) of its literals], value), constants propagated."""
-    constants: dict[str, tuple[list, str]] = {}
-    for m in PAIR.finditer(text):
-        spans, value = [], ""
-        for p in PART.finditer(text, m.start(2), m.end(2)):
-            s, e = p.span()
+    """(target name, its constant) of every pair, constants propagated."""
+    constants: dict[str, Constant] = {}
+    at, waiting = 0, []
+
+    def known(raw: str) -> list[Constant] | None:
+        """The constants that a bare word names, alone or joined by plus signs."""
+        names = [x.lstrip("$") for x in raw.split("+")]
+        return [constants[x] for x in names] if all(x in constants for x in names) else None
+
+    while m := PAIR.search(text, at):
+        if IDENTIFIER.fullmatch(m[2]) and CHAINED.match(text, m.end(2)):
+            waiting.append(m[1])  # name = name = ..., or name: type = ...
+            at = m.start(2)
+            continue
+        parts, place = [], m.start(2)
+        while place < m.end(2) and (p := PART.match(text, place, m.end(2))):
+            place, (s, e) = p.end(), p.span(1)
             raw = text[s:e]
-            if raw == "+":
-                continue
-            if raw[0] in "\"'":
-                spans.append((s + 1, e - 1))
-                value += raw[1:-1]
-            elif raw.lstrip("$") in constants:
-                more, known = constants[raw.lstrip("$")]
-                spans += more
-                value += known
+            if raw[-1] in "\"'":
+                s += raw.index(raw[-1])
+                parts.append(Constant(text[s + 1 : e - 1], (s + 1, e - 1)))
             else:
-                spans.append((s, e))
-                value += raw
-        constants[m[1]] = (spans, value)
-        yield m[1], spans, value
+                parts += known(raw) or [Constant(raw, (s, e))]
+        value = parts[0] if len(parts) == 1 else Constant(None, None, tuple(parts))
+        for name in [*waiting, m[1]]:
+            constants[name] = value
+            yield name, value
+        at, waiting = m.end(), []
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -106,11 +172,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def lexed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Scored literals outside the base spans."""
     found = set()
-    for name, spans, value in lex(text):
-        weight = name_weight(name)
-        if weight and weight + literal_score(value) >= LEAST_SCORE:
-            found.update((s, 3, e) for s, e in spans if e > s and not any(a <= s and e <= b for a, _, b in base))
-    return sorted(found)
+    for name, value in lex(text):
+        weight = 0.0 if value.found else name_weight(name)
+        if weight and weight + value.score() >= LEAST_SCORE:
+            found.update(value.mark())
+    if not found:
+        return []
+    starts = sorted((s, e) for s, _, e in base)
+    reach = list(accumulate((e for _, e in starts), max))
+
+    def covered(s: int, e: int) -> bool:
+        at = bisect_right(starts, s, key=lambda x: x[0])
+        return at > 0 and reach[at - 1] >= e
+
+    return sorted((s, 3, e) for s, e in found if e > s and not covered(s, e))
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:

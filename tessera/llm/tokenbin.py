@@ -1,46 +1,59 @@
 """Token-id files coded with a static range asymmetric numeral system.
 
-One frequency table over the whole corpus codes independent blocks. A block holds whole texts;
-its ids are dealt over interleaved lanes, so one array operation codes a step of all lanes, and
-every ``CHECKPOINT`` steps the lanes' states and the place in the stream are kept, so that a
-reader may start there. Blocks and frequencies carry checksums. The files are Parquet rows (one per
-block), written by Spark's committed writer in ascending doc_id order: key ranges of documents go to
-parts, cut so that each holds about ``PART_BYTES`` of text.
+One frequency table over the whole corpus codes independent blocks. A block holds whole texts; its
+ids are dealt over interleaved lanes, so one array operation codes a step of all lanes, and every
+``CHECKPOINT`` steps the lanes' states and the place in the stream are kept. A reader starts at any
+checkpoint: ``read_tokens`` makes each stretch between checkpoints a row of its own, with its part of
+the stream alone, and can deal those rows over as many tasks as it is told.
+
+A folder of token files holds ``blocks`` (Parquet, one row a block, in ascending doc_id order by part
+and block), ``frequencies`` (id, freq) and ``header`` (one row: coding parameters, number of blocks
+and ids, checksum of the frequencies). Nothing else is needed to read it: another program in another
+session decodes from the path. Each stretch of a stream has a checksum, and so has all the rest of a
+block; the header tells lost blocks.
+
+Key ranges of documents go to parts, cut so that each holds about ``PART_BYTES`` of text (more past
+``MAX_PARTS`` parts, 1 TB of text; a task sorts its part with spilling and codes it block by block, so
+its memory does not grow with the part). A doc_id that holds many rows is cut by the hash of its ids.
 
 Words are encoded by the tokenizers library once per worker and word: texts are normalised and
-split exactly as its file says, by array operations where normalisation is plain (code points
-under 0x300), and by the library itself for any other text.
+split exactly as its file says, by array operations where normalisation is letter by letter (the
+basic plane without combining marks and jamo), and by the library itself for any other text.
 
 Defined results: null counts as empty; an empty text has the end id alone; rows of equal doc_id
-follow each other in no stated order; rows without doc_id come first; an empty table gives none.
+follow each other in the order of their ids' hash (rows equal in that too have equal ids); rows
+without doc_id come first; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.bpe import texts_without, tokenizer_path
+from tessera.llm.bpe import texts_with, tokenizer_path
 from tessera.llm.pretoken import WordTable, class_table, decode, split_words
-from tessera.llm.shared import keep, new_path, table
+from tessera.llm.shared import drop_path, keep, new_path, table
 
 U64 = np.uint64
 LANES = 1024
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 CHECKPOINT = 128
 #: Frequencies sum to 2**SCALE; states stay in [2**31, 2**63) and shed 32 bits at a time.
 SCALE = 20
 LOW = 1 << 31
 PART_BYTES = 16 << 20
-MAX_PARTS = 1 << 14
-PLAIN = 0x300
+MAX_PARTS = 1 << 16
+#: Code points that arrays normalise, where they can: the basic plane.
+PLAIN = 0x10000
 
 
 # --- coding --------------------------------------------------------------------------------------
@@ -66,7 +79,7 @@ class Frequencies:
 
 
 def encode_block(ids: np.ndarray, fr: Frequencies) -> dict:
-    """Stream, final states and checkpoints of a block of ids."""
+    """Stream and checkpoints of a block of ids; the first checkpoint is its beginning."""
     n = len(ids)
     steps = -(-n // LANES)
     f, c = fr.freq[ids], fr.start[ids]
@@ -83,26 +96,27 @@ def encode_block(ids: np.ndarray, fr: Frequencies) -> dict:
         y = np.where(big, y >> U64(32), y)
         q = y // ft
         x[: b - a] = (q << U64(SCALE)) + (y - q * ft) + c[a:b]
-        if t and t % CHECKPOINT == 0:
-            marks.append((t, shed, x.copy()))
-    stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
+        if t % CHECKPOINT == 0:
+            marks.append((t, shed, x.astype("<u8")))
     marks = marks[::-1]
-    body = stream.tobytes()
-    return {"stream": body, "states": x.tobytes(), "marks": np.array([(t, shed - s) for t, s, _ in marks], np.int64).tobytes(), "mark_states": b"".join(s.tobytes() for *_, s in marks), "crc": zlib.crc32(body)}
-
-
-def decode_block(block: dict, n: int, fr: Frequencies, mark: int = -1) -> np.ndarray:
-    """The ids of a block from its beginning, or from its checkpoint number ``mark`` on."""
-    if zlib.crc32(block["stream"]) != block["crc"]:
-        raise ValueError("token block: stream checksum does not match")
-    stream, at, t = np.frombuffer(block["stream"], "<u4"), 0, 0
-    x = np.frombuffer(block["states"], np.uint64).copy()
-    if mark >= 0:
-        t, at = np.frombuffer(block["marks"], np.int64).reshape(-1, 2)[mark].tolist()
-        x = np.frombuffer(block["mark_states"], np.uint64).reshape(-1, LANES)[mark].copy()
-    first, out = t * LANES, np.empty(n - t * LANES, np.uint32)
-    for a in range(first, n, LANES):
-        b = min(n, a + LANES)
+    stream = (np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")).tobytes()
+    places = [shed - s for _, s, _ in marks] + [shed]
+    return {"stream": stream, "steps": [t for t, *_ in marks], "places": places, "states": b"".join(s.tobytes() for *_, s in marks), "crcs": [zlib.crc32(stream[4 * i : 4 * j]) for i, j in zip(places, places[1:], strict=False)]}
+
+
+def decode_stretch(block: dict, mark: int, stop: int, end: int, fr: Frequencies, base: int = 0) -> np.ndarray:
+    """The ids of a block from checkpoint ``mark`` to position ``end``, which lies before checkpoint ``stop``;
+    ``stream`` begins at checkpoint ``base``."""
+    skip = block["places"][base]
+    for k in range(mark, stop):
+        if zlib.crc32(block["stream"][4 * (block["places"][k] - skip) : 4 * (block["places"][k + 1] - skip)]) != block["crcs"][k]:
+            raise ValueError("token block: stream checksum does not match")
+    stream, at = np.frombuffer(block["stream"], "<u4"), block["places"][mark] - skip
+    x = np.frombuffer(block["states"], "<u8").reshape(-1, LANES)[mark].astype(np.uint64)
+    first = block["steps"][mark] * LANES
+    out = np.empty(end - first, np.uint32)
+    for a in range(first, end, LANES):
+        b = min(end, a + LANES)
         y = x[: b - a]
         slot = y & U64((1 << SCALE) - 1)
         s = fr.symbol[slot]
@@ -115,6 +129,25 @@ def decode_block(block: dict, n: int, fr: Frequencies, mark: int = -1) -> np.nda
     return out
 
 
+def head_crc(b: dict) -> int:
+    """Checksum of all of a block but its stream."""
+    crc = zlib.crc32(b["states"])
+    numbers = [b["part"], b["block"], b["first"], b["n_ids"], len(b["doc_ids"]), *(-1 if d is None else d for d in b["doc_ids"]), *(d is None for d in b["doc_ids"])]
+    for part in (numbers, b["n_tokens"], b["steps"], b["places"], b["stops"], b["crcs"], [b["freq_crc"]]):
+        crc = zlib.crc32(np.array(part, "<i8").tobytes(), crc)
+    return crc
+
+
+def stretches(steps: list[int], n_ids: int, sizes: list[int]) -> list[int]:
+    """For each checkpoint the one before which the texts that begin after it end (itself: no text begins there)."""
+    end = np.cumsum(np.array(sizes, np.int64))
+    begin = end - np.array(sizes, np.int64)
+    edge = np.array([t * LANES for t in steps] + [n_ids], np.int64)
+    first = np.searchsorted(begin, edge)
+    last = end[np.maximum(first[1:] - 1, 0)]
+    return np.where(first[1:] > first[:-1], np.searchsorted(edge, last), np.arange(len(steps))).tolist()
+
+
 # --- tokenizing ----------------------------------------------------------------------------------
 
 
@@ -131,6 +164,19 @@ def outline(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (four[starts] & mask) + vec.mix(four[np.maximum(ends - 4, starts)] & mask)
 
 
+def letter_by_letter(tok) -> tuple[np.ndarray, np.ndarray]:
+    """(what the tokenizer's normaliser makes of each code point, whether it does so whatever stands beside it).
+
+    Composition joins only marks and jamo to what stands before them; a sigma's small form may depend on its place."""
+    low, plain = np.arange(PLAIN, dtype=np.uint32), np.zeros(PLAIN + 1, bool)
+    for c in range(PLAIN):
+        if not (0xD800 <= c < 0xE000 or 0x1100 <= c < 0x1200 or c == 0x3A3 or unicodedata.category(chr(c))[0] == "M"):
+            to = tok.normalizer.normalize_str(chr(c))
+            if len(to) == 1 and ord(to) < PLAIN:
+                low[c], plain[c] = ord(to), True
+    return low, plain
+
+
 class Tokens:
     """One worker's tokenizer, by its library, with a table of the words it has met."""
 
@@ -148,8 +194,7 @@ class Tokens:
         vocab, suffix = self.tok.get_vocab(with_added_tokens=True), parts["model"]["end_of_word_suffix"] or "\0"
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.low = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(PLAIN)], np.uint32)
-        self.plain = np.array([len(chr(c).lower()) == 1 and ord(chr(c).lower()) < PLAIN for c in range(PLAIN)] + [False])
+        self.low, self.plain = letter_by_letter(self.tok)
 
     def ids_of(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids per word, all ids) of words given as ranges of code points, many in a call."""
@@ -180,7 +225,7 @@ class Tokens:
 
     def encode(self, col: pa.Array):
         """(ids of all texts, their ends) of a column, part by part."""
-        odd = texts_without(col, self.special).to_numpy(zero_copy_only=False)
+        odd = texts_with(col, self.special).to_numpy(zero_copy_only=False)
         data, offs = vec.text_buffer(col)
         for i, j in vec.chunks(offs):
             points, at, _ = decode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
@@ -202,14 +247,20 @@ class Tokens:
 _TOKENS: dict[str, Tokens] = {}
 
 
-TOKEN_SCHEMA = "doc_id bigint, part int, width int, ids binary, counts binary"
+TOKEN_SCHEMA = "doc_id bigint, tie bigint, part int, width int, ids binary, counts binary"
+
+
+def parts_of(cuts: np.ndarray, doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The part of each row: by its doc_id, and by its tie (63 bits) where cuts repeat that doc_id."""
+    low, high = np.searchsorted(cuts, doc), np.searchsorted(cuts, doc, "right")
+    return (low + (((tie >> 31) * (high - low + 1)) >> 32)).astype(np.int32)
 
 
 def _tokenize(shared, end_id: int, vocab: int):
     """Rows of packed ids; then one row with how often each id occurred in the task."""
 
-    def batch(doc, part, width, ids, counts):
-        return pa.RecordBatch.from_arrays([doc, pa.array(part, pa.int32()), pa.array(width, pa.int32()), ids, counts], names=["doc_id", "part", "width", "ids", "counts"])
+    def batch(doc, tie, part, width, ids, counts):
+        return pa.RecordBatch.from_arrays([doc, pa.array(tie, pa.int64()), pa.array(part, pa.int32()), pa.array(width, pa.int32()), ids, counts], names=["doc_id", "tie", "part", "width", "ids", "counts"])
 
     def run(batches):
         spec, classes, cuts = shared.value
@@ -223,14 +274,17 @@ def _tokenize(shared, end_id: int, vocab: int):
                 n = len(ends) - 1
                 counts += np.bincount(ids, minlength=vocab)
                 counts[end_id] += n
-                closed = np.insert(ids, ends[1:], end_id).astype("<u2" if end_id < 1 << 16 and (not len(ids) or ids.max() < 1 << 16) else "<u4")
+                closed = np.insert(ids, ends[1:], end_id).astype("<u2" if vocab <= 1 << 16 else "<u4")
                 off = (ends + np.arange(n + 1)) * closed.itemsize
                 part = doc.slice(done, n)
-                where = np.searchsorted(cuts, part.fill_null(np.iinfo(np.int64).min).to_numpy(), "right").astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(closed.tobytes())])
-                yield batch(part, where, np.full(n, closed.itemsize), raw, pa.nulls(n, pa.binary()))
+                packed = closed.tobytes()
+                view = memoryview(packed)
+                tie = np.array([xxhash.xxh64_intdigest(view[a:b]) >> 1 for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+                where = parts_of(cuts, part.fill_null(np.iinfo(np.int64).min).to_numpy(), tie)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(packed)])
+                yield batch(part, tie, where, np.full(n, closed.itemsize), raw, pa.nulls(n, pa.binary()))
                 done += n
-        yield batch(pa.nulls(1, pa.int64()), [-1], [0], pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()))
+        yield batch(pa.nulls(1, pa.int64()), [0], [-1], [0], pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()))
 
     return vec.tidy(run)
 
@@ -252,25 +306,29 @@ def _histogram(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
 
-BLOCK_SCHEMA = "part int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<int>, stream binary, states binary, marks binary, mark_states binary, crc bigint, freq_crc bigint"
+BLOCK_SCHEMA = "part int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<int>, stream binary, steps array<int>, places array<int>, states binary, crcs array<bigint>, stops array<int>, freq_crc bigint, head_crc bigint"
+BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+
+
+def block_row(fr: Frequencies, part: int, block: int, first: int, docs: list, sizes: list[int], ids: np.ndarray) -> dict:
+    b = {"part": part, "block": block, "first": first, "n_ids": len(ids), "doc_ids": docs, "n_tokens": sizes, **encode_block(ids, fr)}
+    b |= {"stops": stretches(b["steps"], len(ids), sizes), "freq_crc": fr.crc}
+    return b | {"head_crc": head_crc(b)}
 
 
 def _write_blocks(shared):
     """Rows of one part in doc_id order -> its blocks."""
 
-    def block(fr, part, k, first, docs, sizes, arrays):
-        ids = np.concatenate(arrays).astype(np.int64)
-        b = encode_block(ids, fr)
-        row = {"part": part, "block": k, "first": first, "n_ids": len(ids), "doc_ids": docs, "n_tokens": sizes, **b, "freq_crc": fr.crc}
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
+    def row(*args):
+        b = block_row(*args)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(b.values(), BLOCK_TYPES, strict=True)], names=list(b))
 
     def run(batches):
         fr, part, k, first, docs, sizes, arrays, held = shared.value, None, 0, 0, [], [], [], 0
         for rb in batches:
-            for doc, p, ids in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), token_rows(rb.column(2), rb.column(3)), strict=True):
+            for doc, p, ids in zip(rb.column("doc_id").to_pylist(), rb.column("part").to_pylist(), token_rows(rb.column("width"), rb.column("ids")), strict=True):
                 if docs and (p != part or held >= BLOCK_IDS):
-                    yield block(fr, part, k, first, docs, sizes, arrays)
+                    yield row(fr, part, k, first, docs, sizes, np.concatenate(arrays).astype(np.int64))
                     k, first, docs, sizes, arrays, held = k + 1, first + held, [], [], [], 0
                 if p != part:
                     part, k, first = p, 0, 0
@@ -279,23 +337,27 @@ def _write_blocks(shared):
                 arrays.append(ids)
                 held += len(ids)
         if docs:
-            yield block(fr, part, k, first, docs, sizes, arrays)
+            yield row(fr, part, k, first, docs, sizes, np.concatenate(arrays).astype(np.int64))
 
-    return run
+    return vec.tidy(run)
 
 
 def part_cuts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Ids that divide the documents into parts of about PART_BYTES of text."""
-    total = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    parts = min(MAX_PARTS, max(1, (total[0] or 0) // PART_BYTES))
+    """Ids that divide the documents into parts of about PART_BYTES of text; a frequent id comes more than once."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = min(MAX_PARTS, max(1, total // PART_BYTES))
     if parts < 2:
         return np.zeros(0, np.int64)
-    cuts = docs.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
-    return np.unique(np.array(cuts or [], np.int64))
+    doc = F.coalesce(F.col(id_col), F.lit(np.iinfo(np.int64).min))
+    cuts = docs.agg(F.percentile_approx(doc, [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    return np.array(cuts or [], np.int64)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[DataFrame, Frequencies]:
-    """Write the token files of all texts; returns (their blocks, the frequency table)."""
+HEADER_SCHEMA = "scale int, lanes int, checkpoint int, vocab int, end_id int, freq_crc bigint, n_blocks bigint, n_ids bigint"
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
+    """Write the token files of all texts; returns their path."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -305,54 +367,77 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
     vocab = Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True)
     cuts = part_cuts(rows, "doc_id", "text")
-    kept, _ = keep(rows.mapInArrow(_tokenize(sc.broadcast((spec, class_table(), cuts)), end_id, vocab), TOKEN_SCHEMA), "token-ids")
+    kept, kept_path = keep(rows.mapInArrow(_tokenize(sc.broadcast((spec, class_table(), cuts)), end_id, vocab), TOKEN_SCHEMA), "token-ids")
     ids = kept.where("part >= 0").drop("counts")
     counts = np.zeros(vocab, np.int64)
     for i, n in kept.select("counts").where("counts IS NOT NULL").mapInArrow(_histogram, "id int, n bigint").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
     fr = Frequencies(counts)
-    ordered = ids.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id")
-    blocks = ordered.mapInArrow(_write_blocks(sc.broadcast(fr)), BLOCK_SCHEMA)
     path = path or new_path(spark, "token-files")
-    blocks.write.option("compression", "none").parquet(path)
-    return spark.read.schema(BLOCK_SCHEMA).parquet(path), fr
+    used = np.flatnonzero(fr.freq)
+    spark.createDataFrame(pa.table([pa.array(used.astype(np.int32)), pa.array(fr.freq[used].astype(np.int32))], names=["id", "freq"])).coalesce(1).write.parquet(f"{path}/frequencies")
+    ordered = ids.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
+    ordered.mapInArrow(_write_blocks(sc.broadcast(fr)), BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    drop_path(spark, kept_path)
+    size = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    spark.createDataFrame([(SCALE, LANES, CHECKPOINT, vocab, end_id, fr.crc, *size)], HEADER_SCHEMA).coalesce(1).write.parquet(f"{path}/header")
+    return path
 
 
-def _read_blocks(shared, digest: bool):
+def _read_stretches(shared, digest: bool):
     def run(batches):
         fr = shared.value
         for rb in batches:
             for b in rb.to_pylist():
                 if b["freq_crc"] != fr.crc:
                     raise ValueError("token block: coded with other frequencies")
-                ids = decode_block(b, b["n_ids"], fr)
-                n = len(b["doc_ids"])
+                if head_crc(b) != b["head_crc"]:
+                    raise ValueError("token block: checksum does not match")
+                k, stop = b["stretch"], b["stop"]
                 size = np.array(b["n_tokens"], np.int64)
                 end = np.cumsum(size)
-                cols = [pa.array([b["part"]] * n, pa.int32()), pa.array(b["doc_ids"], pa.int64()), pa.array(b["first"] + end - size), pa.array(size)]
-                raw = memoryview(ids.astype("<u4").tobytes())
+                edge = [t * LANES for t in b["steps"]] + [b["n_ids"]]
+                i, j = np.searchsorted(end - size, (edge[k], edge[k + 1])).tolist()
+                ids = decode_stretch(b, k, stop, int(end[j - 1]), fr, base=k)
+                s, e = (end - size)[i:j] - edge[k], end[i:j] - edge[k]
+                cols = [pa.array([b["part"]] * (j - i), pa.int32()), pa.array(b["doc_ids"][i:j], pa.int64()), pa.array(b["first"] + edge[k] + s), pa.array(size[i:j])]
                 if digest:
-                    cols.append(pa.array([zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(size.tolist(), end.tolist(), strict=True)], pa.int64()))
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    cols.append(pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.int64()))
                 else:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "at", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return run
+    return vec.tidy(run)
 
 
-def read_tokens(blocks: DataFrame, fr: Frequencies, digest: bool = False, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids or their crc32) of every text, from the files."""
-    spark = blocks.sparkSession
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a part
-    base, at = {}, 0
-    for part, n in totals:
-        base[part], at = at, at + n
+def read_tokens(spark: SparkSession, path: str, digest: bool = False, id_col: str = "doc_id", tasks: int | None = None) -> DataFrame:
+    """(id, start, n_tokens, ids or their crc32) of every text, from the files at ``path`` alone; each stretch between
+    checkpoints is decoded by itself, in ``tasks`` tasks if given."""
+    header = spark.read.schema(HEADER_SCHEMA).parquet(f"{path}/header").first()
+    if (header.scale, header.lanes, header.checkpoint) != (SCALE, LANES, CHECKPOINT):
+        raise ValueError("token files: coded with other parameters")
+    counts = np.zeros(header.vocab, np.int64)
+    for i, n in spark.read.schema("id int, freq int").parquet(f"{path}/frequencies").collect():  # as long as the vocabulary
+        counts[i] = n
+    fr = Frequencies(counts)  # sums to 2**SCALE, so stays as it is
+    if fr.crc != header.freq_crc:
+        raise ValueError("token files: checksum of the frequencies does not match")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    base, at, found = {}, 0, 0
+    for part, n, k in blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("k")).orderBy("part").collect():  # one row a part
+        base[part], at, found = at, at + n, found + k
+    if (found, at) != (header.n_blocks, header.n_ids):
+        raise ValueError("token files: blocks are missing")
     bases = spark.createDataFrame([(k, v) for k, v in base.items()] or [(0, 0)], "part int, base bigint")
     what = "ids_crc32 bigint" if digest else "ids array<int>"
-    got = blocks.mapInArrow(_read_blocks(spark.sparkContext.broadcast(fr), digest), f"part int, doc_id bigint, at bigint, n_tokens bigint, {what}")
+    each = blocks.select("*", F.posexplode("stops").alias("stretch", "stop")).where("stop > stretch")
+    each = each.withColumn("stream", F.expr("substring(stream, places[stretch] * 4 + 1, (places[stop] - places[stretch]) * 4)"))
+    each = each.repartition(tasks, "part", "block", "stretch") if tasks else each
+    got = each.mapInArrow(_read_stretches(spark.sparkContext.broadcast(fr), digest), f"part int, doc_id bigint, at bigint, n_tokens bigint, {what}")
     return got.join(F.broadcast(bases), "part").select(F.col("doc_id").alias(id_col), (F.col("base") + F.col("at")).alias("start"), "n_tokens", what.split()[0])
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, fr = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return read_tokens(blocks, fr, digest=True)
+    path = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path, digest=True)
