@@ -677,6 +677,47 @@ def test_main_text(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>The title</h1><p>" + "word and more words here " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("wrap", ['<div class="site has-sidebar">%s</div>', '<div class="post search-engines">%s</div>', '<div data-title="The hidden coast">%s</div>', '<div data-id="comments">%s</div>', '<svg>%s', '<form id="whole-page">%s</form>', "<table class=layout>%s</table>", '<div title="a > b" id=main>%s</div>', "<SECTION CLASS='no-comments'>%s</SECTION>", '<div class="related">%s</div>'])
+def test_articles_are_not_lost_by_the_names_around_them(wrap):
+    page = "<html><body><nav><a>Home</a> <a>About</a></nav>" + wrap % ARTICLE + '<div id="comments"><p>reader says hello to all</p></div><aside class=ads>buy</aside><footer>foot</footer></body></html>'
+    want = "The title\n" + ("word and more words here " * 20).strip()
+    pages = [page, "<nav>x</nav><main>" + ARTICLE + "</main><footer>y</footer>"] * 4
+    counts = [tuple(r.values()) for rb in html_extract._count([pa.record_batch([pa.array(pages)], names=["html"])]) for r in rb.to_pylist()]
+    assert html_extract.main_text(page, {}).endswith(want.split("\n")[1]) and "reader" not in html_extract.main_text(page, {})
+    weights = {(k, key): (-0.5 if k == "tag" else (1.0 if a > b else -2.0)) for k, key, a, b in counts if k != "name"}
+    assert html_extract.main_text(page, weights) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<svg>", "<div>", "<script>", "<![CDATA[", "<!--", '<a b="', '<a b=">" ', "</", "<!", "&amp", "<div class='comments nav'>", "</section><div>", "<a b='\">", "<svg "])
+def test_pages_take_time_in_proportion(part):
+    import time
+
+    t = time.perf_counter()
+    html_extract.main_text(part * 100_000, {})
+    assert time.perf_counter() - t < 8
+
+
+def test_pages_against_their_construction(spark):
+    """Pages put together from an article and what does not belong to it."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [say(rng.randint(15, 40)) for _ in range(rng.randint(2, 5))]
+        junk = ['<div class="ad-slot"><p>%s</p></div>', '<aside><p>%s</p></aside>', '<div class="share-buttons"><a>%s</a></div>', "<form><label>%s</label></form>", "<script>var a = '%s';</script>", "<!-- <p>%s</p> -->", '<p style="display: none"></p><div hidden>%s</div>', '<div class="newsletterSignup">%s</div>', "<svg><text>%s</text></svg>"]
+        body = "".join(f"<p>{b.replace(' ', rng.choice([' ', chr(10), '&nbsp;']), 2)}" + ("</p>" if rng.random() < 0.7 else "") + (rng.choice(junk) % say(4) if rng.random() < 0.5 else "") for b in blocks)
+        before = f'<head><title>{say(3)}</title></head><header class="site-header"><h2>{say(2)}</h2></header><nav><ul><li><a href="x">{say(1)}</a></li></ul></nav><div role="alert">{say(8)}</div>'
+        after = f'<section id="comments"><h3>{say(2)}</h3><p>{say(50)}</p></section><div class="related-posts"><a>{say(6)}</a></div><footer>{say(5)}</footer>'
+        mark = rng.choice([("<article>", "</article>"), ('<main class="x">', "</main>"), ('<div class="post-content">', "</div>")])
+        rows.append((i, "u", f"<html>{before}<body>{mark[0]}<h1>title &eacute; {i}</h1>{body}{mark[1]}{after}</body></html>"))
+        want[i] = "\n".join([f"title é {i}", *blocks])
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
 def test_region_is_the_largest_sum():
     rng = random.Random(8)
     for _ in range(200):
