@@ -6,15 +6,20 @@ aggregation; continuation counts, context sums and probabilities of all orders c
 the count shards on contexts and suffixes. Neither the windows nor their table has a bound, so the
 final join is a shuffle: texts are taken in segments, each asks once for the distinct windows and
 contexts in it, keys meet the probabilities in shards by their leading bits, and the answers meet
-the segment's texts. A document goes when its perplexity per
-symbol passes its language's upper quantile over held-out trusted text, or when its words cost less than the
-lower one (text that repeats itself is too easy to foretell). Both are pulled towards the
-language's mean by the weight of a short passage, so that a few words prove little.
+the segment's texts. A document goes when its perplexity per symbol is above its language's upper
+quantile over held-out trusted text, or what a word costs below the lower one over all trusted text (text
+that repeats itself is too easy to foretell; the model's own training texts say how easy good text is). A short text strays farther from the mean than a long one, so quantiles are
+taken of standardised deviations: the spread at each length is fitted to the language's held-out texts
+(variance between texts, and variance per symbol or word divided by their number), and no constant
+stands beside the levels of the quantiles. Extreme quantiles of few texts say little: a language's bounds
+are no narrower than those over all languages' held-out texts.
 
 Defined results: null or empty text has null perplexity and is not kept; a null language is one of
-its own; a language without trusted text takes the quantile of all trusted text; without any
-trusted text every document with text is kept; several labels of a document count as trusted if
-any says so; repeated rows are answered once each; an empty table gives an empty result.
+its own; a language without trusted text takes mean, spread and quantiles of all trusted text; where no
+trusted text falls into the held-out share, all trusted text sets the quantiles; where the held-out texts
+do not differ, their own mean is the spread; without any trusted text every document with text is kept;
+several labels of a document count as trusted if any says so; texts of any length are scored whole;
+repeated rows are answered once each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,16 +40,17 @@ MASK = (1 << BITS) - 1
 #: Code points (each plus one), START before a text, REPEAT, and CAPITAL before the small form of a Latin capital.
 SYMBOLS, START, REPEAT, CAPITAL = 0x110003, 0, 0x110001, 0x110002
 #: Bytes of text that ask for their windows together, and shards by leading bits of the key, at least.
-SEGMENT_BYTES, SHARD_BITS = 8 << 20, 8
-#: Quantiles of trusted text between which a document stays, and slack beyond them (in nats a symbol, a word).
-UPPER, LOWER, SLACK, WORD_SLACK = 0.995, 0.002, 0.08, 1.0
-#: Symbols and words of average text that each document is scored with besides its own.
-PRIOR_SYMBOLS, PRIOR_WORDS = 60, 15
+SEGMENT_BYTES, SHARD_BITS = 6 << 20, 8
+#: Levels of the quantiles of trusted text between which a document stays.
+UPPER, LOWER = 0.9995, 0.0005
+#: Held-out texts that a language needs to have a spread of its own.
+LEAST_TEXTS = 30
 #: Every count gives up this much, so that nothing has probability zero.
 LEAST_DISCOUNT = 0.05
 #: One trusted document in HELD_OUT, by a hash of its id, sets quantiles and trains nothing.
 HELD_OUT = 4
 
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """The code point that begins at each byte (of no meaning at the others)."""
     s = data.astype(np.int32)
@@ -306,6 +312,7 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
                 hit = known[at] == keys
                 found[hit] = value[at[hit]]
             to.append(found.tobytes())
+    vec.give_back()
     return pa.table([asked.column("segment"), asked.column("keys"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["segment", "keys", "p", "g"])
 
 
@@ -326,19 +333,27 @@ def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
         data = np.frombuffer(pa.decompress(packed.column("text")[r].as_py(), int(offs[-1]), "zstd", asbytes=True), np.uint8)
         n = len(offs) - 1
         nll, size, words = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        chunks, known = [], []  # windows of each chunk by number, and each chunk's distinct ones
         for i, j, h, s, o, w in _chunks(data, offs):
             key, pos, _ = distinct(h, s)
-            logp = log_probabilities(h[pos], s[pos], keys, p, g)[np.searchsorted(key[pos], key)]
-            nll[i:j] = -np.diff(np.concatenate([[0.0], np.cumsum(logp)])[o])
+            known.append((key[pos], h[pos], s[pos]))
+            chunks.append((i, j, np.searchsorted(key[pos], key).astype(np.int32), o))
             size[i:j], words[i:j] = np.diff(o), w
+        if known:  # the probability of a window is looked up once a segment
+            every, at = np.unique(np.concatenate([k for k, *_ in known]), return_index=True)
+            logp = log_probabilities(*(np.concatenate(c)[at] for c in list(zip(*known, strict=True))[1:]), keys, p, g)
+            for (i, j, number, o), (key, *_) in zip(chunks, known, strict=True):
+                each = logp[np.searchsorted(every, key)][number]
+                nll[i:j] = -np.diff(np.concatenate([[0.0], np.cumsum(each)])[o])
         out.append(pa.table([packed.column("ids")[r].values, packed.column("langs")[r].values, pa.array(size), pa.array(words), pa.array(nll), packed.column("rows")[r].values], names=["doc_id", "lang", "n_symbols", "n_words", "nll", "row"]))
+        del chunks, known
     vec.give_back()
     return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_words", pa.int64()), ("nll", pa.float64()), ("row", pa.int64())]).empty_table()
 
 
 def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_symbols, n_words, nll, row): the negative log-likelihood of every text, in nats, and its row key."""
-    bits = max(SHARD_BITS, shuffle_parts(docs.sparkSession).bit_length())
+    bits = max(SHARD_BITS, shuffle_parts(docs.sparkSession).bit_length() + 1)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"), row_key(id_col, text_col))
     asked = rows.mapInArrow(_ask(bits), "shard int, segment bigint, keys binary")
     shards = model.select(F.shiftrightunsigned("k", 64 - bits).cast("int").alias("shard"), "n", "k", "p")
@@ -348,7 +363,8 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, lang, n_symbols, perplexity, threshold and lowest of its language, keep."""
+    """Per row: doc_id, lang, n_symbols, perplexity and its deviation, nats a word and their deviation, the language's
+    bounds of both deviations, keep."""
     return _classified(docs, labels, id_col, text_col, lang_col).drop("row")
 
 
@@ -358,29 +374,62 @@ def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     held = F.pmod(F.xxhash64("_trusted"), F.lit(HELD_OUT)) == 0
     seen = ids.where(~held)
     trusted = docs.join(small_ids(seen), docs[id_col] == seen["_trusted"], "left_semi")
-    scored, _ = keep(scores(docs, fit(trusted, text_col), id_col, text_col, lang_col), "perplexity")
-    good = scored.where("n_symbols > 0").join(ids.where(held), F.col("doc_id") == F.col("_trusted"), "left_semi")
-    means = [(F.sum("nll") / F.sum("n_symbols")).alias("per_symbol"), (F.sum("nll") / F.greatest(F.sum("n_words"), F.lit(1))).alias("per_word")]
-    high = (F.col("nll") + PRIOR_SYMBOLS * F.col("per_symbol")) / (F.col("n_symbols") + PRIOR_SYMBOLS)
-    low = (F.col("nll") + PRIOR_WORDS * F.col("per_word")) / (F.col("n_words") + PRIOR_WORDS)
-    limits = [(F.percentile_approx(high, UPPER, 10_000) + SLACK).alias("most"), (F.percentile_approx(low, LOWER, 10_000) - WORD_SLACK).alias("least")]
+    scored, _ = keep(scores(docs, fit(trusted, text_col), id_col, text_col, lang_col).withColumns({"symbols": F.greatest("n_symbols", F.lit(1)), "units": F.greatest("n_words", F.lit(1))}), "perplexity")
+    of = lambda which: scored.where("n_symbols > 0").join(which, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    good = of(ids.where(held))
+    if good.isEmpty():
+        good = of(ids)
+    good, _ = keep(good, "held-out")
     same = F.col("lang").eqNullSafe(F.col("_lang"))
+    axes = (("symbol", "symbols"), ("word", "units"))
 
-    def by_language(stats) -> DataFrame:
+    def by_language(rows: DataFrame, stats: list[Column]) -> DataFrame:
         """One row per language that has trusted text; few, as languages are."""
-        return good.groupBy("lang").agg(*stats).withColumnRenamed("lang", "_lang")
-
-    mean, all_mean = by_language(means), good.agg(*means).first()
-    with_mean = good.join(mean, same).drop("_lang")
-    bounds = with_mean.groupBy("lang").agg(*limits).withColumnRenamed("lang", "_lang")
-    overall = with_mean.agg(*limits).first()
-    both = mean.join(bounds.withColumnRenamed("_lang", "_l2"), F.col("_lang").eqNullSafe(F.col("_l2"))).drop("_l2")
-    out = scored.join(both, same, "left")
-    known = {"per_symbol": all_mean[0], "per_word": all_mean[1], "most": overall[0], "least": overall[1]}
-    out = out.withColumns({c: F.coalesce(c, F.lit(v).cast("double")) for c, v in known.items()})
+        out = rows.groupBy("lang").agg(*stats).withColumnRenamed("lang", "_lang")
+        return keep(out, "language-statistics")[0]
+
+    # means, then the spread of deviations by length, then quantiles of standardised deviations
+    means = [F.sum("nll") / F.sum(n) for _, n in axes]
+    mean = by_language(good, [m.alias(f"mean_{a}") for m, (a, _) in zip(means, axes, strict=True)])
+    all_mean = good.agg(*means).first()
+    off = good.join(mean, same).drop("_lang")
+    for a, n in axes:
+        off = off.withColumn(f"u_{a}", F.pow(F.col("nll") / F.col(n) - F.col(f"mean_{a}"), 2)).withColumn(f"x_{a}", 1 / F.col(n))
+    fits = [f.alias(f"{k}_{a}") for a, _ in axes for k, f in (("n", F.count("*")), ("u", F.avg(f"u_{a}")), ("x", F.avg(f"x_{a}")), ("slope", F.regr_slope(f"u_{a}", f"x_{a}")), ("level", F.regr_intercept(f"u_{a}", f"x_{a}")))]
+    pooled = off.agg(*fits).first()
+    fitted = by_language(off, fits)
+
+    def variance(a: str, n: str) -> Column:
+        """Of the deviation of a text of n units: by its language's fit, but by the pooled one at least where the language
+        has few texts."""
+
+        def line(u: Column, x: Column, slope: Column, level: Column) -> Column:
+            """The fitted line, without its constant where that is negative, and without its slope where that is."""
+            return F.when((slope >= 0) & (level >= 0), level + slope / F.col(n)).when(slope >= 0, u / x / F.col(n)).otherwise(u)
+
+        kinds = ("u", "x", "slope", "level")
+        pool, own = line(*(F.lit(pooled[f"{k}_{a}"]).cast("double") for k in kinds)), line(*(F.col(f"{k}_{a}") for k in kinds))
+        both = F.when(F.coalesce(F.col(f"n_{a}"), F.lit(0)) >= LEAST_TEXTS, own).otherwise(F.greatest(own, pool))
+        return F.when(both > 0, both).when(pool > 0, pool).otherwise(F.pow(F.col(f"mean_{a}"), 2))
+
+    def deviations(rows: DataFrame) -> DataFrame:
+        rows = rows.join(mean, same, "left").drop("_lang").join(fitted, same, "left").drop("_lang")
+        for k, (a, n) in enumerate(axes):
+            rows = rows.withColumn(f"mean_{a}", F.coalesce(f"mean_{a}", F.lit(all_mean[k]).cast("double")))
+            rows = rows.withColumn(f"dev_{a}", (F.col("nll") / F.col(n) - F.col(f"mean_{a}")) / F.sqrt(variance(a, n)))
+        return rows
+
+    most = F.percentile_approx("dev_symbol", UPPER, 10_000).alias("most")
+    least = F.percentile_approx("dev_word", LOWER, 10_000).alias("least")
+    strange, easy = deviations(good), deviations(of(ids))
+    highest, overall_most = by_language(strange, [most]), strange.agg(most).first()[0]
+    lowest, overall_least = by_language(easy, [least]), easy.agg(least).first()[0]
+    out = deviations(scored).join(highest, same, "left").drop("_lang").join(lowest, same, "left")
+    out = out.withColumn("most", F.greatest("most", F.lit(overall_most).cast("double"))).withColumn("least", F.least("least", F.lit(overall_least).cast("double")))
     has_text = F.col("n_symbols") > 0
-    inside = F.coalesce((high <= F.col("most")) & (low >= F.col("least")), F.lit(True))
-    return out.select(F.col("doc_id").alias(id_col), "lang", "n_symbols", F.when(has_text, F.exp(F.col("nll") / F.col("n_symbols"))).alias("perplexity"), F.exp(high).alias("score"), F.exp("most").alias("threshold"), low.alias("word_nats"), F.col("least").alias("lowest"), (has_text & inside).alias("keep"), "row")
+    inside = F.coalesce((F.col("dev_symbol") <= F.col("most")) & (F.col("dev_word") >= F.col("least")), F.lit(True))
+    shown = lambda c: F.when(has_text, c)
+    return out.select(F.col("doc_id").alias(id_col), "lang", "n_symbols", shown(F.exp(F.col("nll") / F.col("n_symbols"))).alias("perplexity"), shown(F.col("dev_symbol")).alias("deviation"), F.col("most").alias("highest"), shown(F.col("nll") / F.col("units")).alias("word_nats"), shown(F.col("dev_word")).alias("word_deviation"), F.col("least").alias("lowest"), (has_text & inside).alias("keep"), "row")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

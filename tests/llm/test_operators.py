@@ -363,6 +363,57 @@ def test_classifier_on_hard_rows(spark):
     assert quality.classify(empty(spark), labels).count() == 0
 
 
+def test_decisions_against_plain_numbers(spark):
+    """Means, spreads, quantiles and verdicts once more, from the scores of the documents."""
+    rng = random.Random(3)
+    say = lambda n, junk: " ".join("".join(rng.choice("qxzjkvw") for _ in range(7)) if rng.random() < junk else rng.choice(WORDS) for _ in range(n))
+    rows = [(i, say(rng.randint(1, 120), rng.choice([0, 0, 0, 0, 0.02, 0.5])), rng.choice(["en", "de", None, "xx"]) if i > 260 else rng.choice(["en", "de", None])) for i in range(300)]
+    rows += [(300, "alpha " * 200, "en"), (301, "", "en"), (302, None, None), (303, "qzx", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(240)], "doc_id bigint, quality int")
+    held = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    scored = {r.doc_id: r for r in quality.scores(docs, quality.fit(docs.where(~F.col("doc_id").isin(held) & (F.col("doc_id") < 240)))).collect()}
+    good = [r for r in scored.values() if r.doc_id in held and r.n_symbols]
+    langs = {r.lang for r in good}
+    axes = {"symbol": lambda r: max(r.n_symbols, 1), "word": lambda r: max(r.n_words, 1)}
+    mean = {(a, k): sum(r.nll for r in good if k in (r.lang, "all")) / sum(n(r) for r in good if k in (r.lang, "all")) for a, n in axes.items() for k in [*langs, "all"]}
+
+    def fit(a, k):
+        u = np.array([(r.nll / axes[a](r) - mean[a, r.lang]) ** 2 for r in good if k in (r.lang, "all")])
+        x = np.array([1 / axes[a](r) for r in good if k in (r.lang, "all")])
+        slope, level = np.polyfit(x, u, 1)
+        return len(u), (lambda n: level + slope / n if slope >= 0 and level >= 0 else u.mean() / x.mean() / n if slope >= 0 else u.mean())
+
+    fits = {(a, k): fit(a, k) for a in axes for k in [*langs, "all"]}
+
+    def deviation(r, a):
+        n, pool = axes[a](r), fits[a, "all"][1](axes[a](r))
+        own = fits.get((a, r.lang), (0, lambda n: pool))
+        v = own[1](n) if own[0] >= quality.LEAST_TEXTS else max(own[1](n), pool)
+        return (r.nll / n - mean.get((a, r.lang), mean[a, "all"])) / v**0.5
+
+    most = {k: max(deviation(r, "symbol") for r in good if k in (r.lang, "all")) for k in [*langs, "all"]}  # the level is that of the largest
+    least = {k: min(deviation(r, "word") for r in scored.values() if r.doc_id < 240 and r.n_symbols and k in (r.lang, "all")) for k in [*langs, "all"]}
+    got = by_id(quality.classify(docs, labels))
+    assert len(got) == 304 and len({r.keep for r in got.values()}) == 2
+    for i, r in scored.items():
+        if r.n_symbols:
+            high, low = deviation(r, "symbol"), deviation(r, "word")
+            assert got[i].deviation == pytest.approx(high, rel=1e-6, abs=1e-6) and got[i].word_deviation == pytest.approx(low, rel=1e-6, abs=1e-6)
+            assert got[i].keep == (high <= max(most.get(r.lang, -9), most["all"]) + 1e-9 and low >= min(least.get(r.lang, 9), least["all"]) - 1e-9)
+        else:
+            assert not got[i].keep and got[i].perplexity is None
+
+
+def test_trusted_text_outside_the_held_out_share(spark):
+    labels = spark.range(100).withColumnRenamed("id", "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) != 0).limit(12).withColumn("quality", F.lit(1))
+    ids = [r.doc_id for r in labels.collect()]
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(40)), "en") for i in ids] + [(500, "zzqx %%%% $$$$ " * 10, "en"), (501, " ".join(WORDS), "en")]
+    got = by_id(quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels))
+    assert not got[500].keep and all(got[i].keep for i in ids)
+
+
 def test_classifier_on_held_out_labels(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     got = quality.classify(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").toPandas()
