@@ -1,9 +1,11 @@
 """Chat formatting of reply trees, in DataFrame operations only.
 
 Messages point to the message they answer. Self-joins that double their reach (one, two, four ...
-replies up) give every message its depth, its root and the score of its path; leaves are ranked
-per root by that score and the best branches are chosen; the same jump tables, taken from the
-longest to the shortest, collect the messages on each chosen path. Only then do texts join. Each
+replies up) give every message its depth, its root and the score of its path; messages that have
+reached their root ask no more, and the few that are still rising are counted and, up to ``FEW``,
+sent to the others in place of a shuffle of all. Leaves are ranked per root by that score and the best
+branches are chosen. A root with one leaf is all path; for the others the same jump tables, taken
+from the longest to the shortest, collect the messages on each chosen path. Only then do texts join. Each
 path becomes one conversation: a control mark opens and closes each turn, and inside texts a
 backslash precedes every backslash and every character a mark begins with, so that no text can form
 a mark and reading back is exact. The loss mask lists the code points of assistant texts.
@@ -26,6 +28,8 @@ OPEN, END = "### ", " </turn>\n"
 ASSISTANT = "assistant"
 #: Jump tables at most: paths of up to 2**MAX_LEVELS messages; more only in circles.
 MAX_LEVELS = 40
+#: Rows up to this number (some 100 bytes each) are broadcast; more are joined by shuffle.
+FEW = 200_000
 
 
 def escaped(c: Column) -> Column:
@@ -54,10 +58,11 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     real = nodes.join(known.withColumn("found", F.lit(True)), ["tree", "parent"], "left")
     state, _ = keep(real.select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("jump"), F.col("node").alias("root"), F.when(F.col("found"), 1).otherwise(0).cast("bigint").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total")), "reply-jumps")
     done, rising, jumps = state.where("jump IS NULL"), state.where("jump IS NOT NULL"), []
-    while len(jumps) < MAX_LEVELS and not rising.isEmpty():  # messages that have reached their root join no more
+    while len(jumps) < MAX_LEVELS and (n := rising.count()):  # messages that have reached their root join no more
         jumps.append(rising.select("tree", "node", "jump"))
         up = done.unionByName(rising).select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        far = rising.join(up, ["tree", "jump"]).select("tree", "node", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        far = up.join(F.broadcast(rising) if n <= FEW else rising, ["tree", "jump"])
+        far = far.select("tree", "node", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
         state, _ = keep(far, "reply-jumps")
         done, rising = done.unionByName(state.where("jump IS NULL")), state.where("jump IS NOT NULL")
     return done.drop("jump"), jumps
@@ -67,14 +72,21 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth): the messages of the best root-to-leaf paths of every root."""
     placed, jumps = climb(nodes.select("tree", "node", "parent", "score"))
     parents = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
+    leaves, _ = keep(placed.join(parents, ["tree", "node"], "left_anti"), "reply-leaves")
+    of_root = leaves.groupBy("tree", "root").agg(F.count("*").alias("n"), F.min("node").alias("leaf"))
+    alone = of_root.where("n = 1").select("tree", "root", "leaf", F.lit(1).alias("rank"))
+    out = placed.join(alone, ["tree", "root"]).select("tree", "leaf", "rank", "node", "depth")
+    forks, _ = keep(of_root.where("n > 1").select("tree", "root"), "reply-forks")
+    if forks.isEmpty():
+        return out
     best = W.partitionBy("tree", "root").orderBy(F.desc("total"), F.desc("depth"), "node")
-    leaves = placed.join(parents, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    on_path = leaves.select("tree", F.col("node").alias("leaf"), "rank", "node")
+    chosen = leaves.join(forks, ["tree", "root"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
+    on_path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node")
     for jump in reversed(jumps):
         on_path = on_path.unionByName(on_path.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("jump").alias("node")))
         if len(jumps) > 4:  # long paths: cut the lineage that would double with every level
             on_path, _ = keep(on_path, "reply-paths")
-    return on_path.join(placed.select("tree", "node", "depth"), ["tree", "node"])
+    return out.unionByName(on_path.join(placed.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth"))
 
 
 def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
