@@ -3,9 +3,10 @@
 ``build_index`` stores the corpus as index segments in the shared folder: per segment a sorted term
 table (two 64-bit hashes per term, a 128-bit identity), and each term's word positions. Segments are
 partitioned by document, so neither building nor searching shuffles, a frequent word is just a long
-list in every segment, and a lost executor costs only its own segments. ``search`` ships the
-benchmark to the segments in blocks of bounded size, takes each phrase's posting lists from the
-rarest term on, shifts them by the term's offset in the phrase and intersects.
+list in every segment, and a lost executor costs only its own segments. ``search`` reads the index
+once: each segment meets the benchmark's blocks, of bounded size, one after the other; each phrase's
+posting lists are taken from the rarest term on, shifted by the term's offset in the phrase and
+intersected. A worker holds one segment and one block at a time.
 
 Defined results: null or wordless text has no words and no hits; an empty corpus gives no rows; an
 empty benchmark leaves every document clean; repeated rows are answered once each; null item ids
@@ -31,8 +32,8 @@ WINDOW = 10
 #: Words besides those of the window that a proximity match may hold on either side.
 SLOP = 2
 
-SEGMENT_SCHEMA = "segment string, ids array<bigint>, first array<int>, terms binary, checks binary, counts binary, gaps binary"
-HIT_SCHEMA = "segment string, row int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, near array<struct<item:bigint,start:int,end:int>>"
+SEGMENT_SCHEMA = "ids array<bigint>, first array<int>, terms binary, checks binary, counts binary, gaps binary"
+HIT_SCHEMA = "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, near array<struct<item:bigint,start:int,end:int>>"
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,19 +96,15 @@ def unpack(counts: np.ndarray, blob: bytes) -> np.ndarray:
 
 
 def _index(batches):
-    from pyspark import TaskContext
-
-    done = 0
     for rb in batches:
         ids = rb.column(0)
         data, offs = vec.text_buffer(rb.column(1))
         for i, j in vec.chunks(offs, SEGMENT_BYTES):
             h1, h2, first = words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             terms, checks, counts, pos = invert(h1, h2)
-            done += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{TaskContext.get().partitionId()}:{done}"]), pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (terms.tobytes(), checks.tobytes(), planes(counts), pack(counts, pos)))],
-                names=["segment", "ids", "first", "terms", "checks", "counts", "gaps"],
+                [pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (terms.tobytes(), checks.tobytes(), planes(counts), pack(counts, pos)))],
+                names=["ids", "first", "terms", "checks", "counts", "gaps"],
             )
 
 
@@ -216,39 +213,57 @@ def lists(n: int, row: np.ndarray, *cols: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(off, pa.array(c)) for c in cols]
 
 
-def near_column(n: int, q: Phrases, close: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Lists of (item, start, end) for documents 0..n-1; a window of null items alone is listed without an item."""
+def near_rows(q: Phrases, close: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(document, no item, item, start, end) of proximity matches; a window of null items alone has no item."""
     own = np.array([len(x) for x in q.items], np.int64)
     size = np.maximum(own, 1)[close[:, 0]]
     row = np.repeat(np.arange(len(close)), size)
     item = np.concatenate([np.zeros(0, np.int64), *(q.items[w] if own[w] else np.zeros(1, np.int64) for w in close[:, 0].tolist())])
     win, doc, s, e = close[row].T
-    every = np.unique(np.stack([doc, own[win] == 0, item, s - first[doc], e - first[doc]], axis=1), axis=0) if len(row) else np.zeros((0, 5), np.int64)
-    doc, null, item, s, e = every.T
+    return np.stack([doc, own[win] == 0, item, s - first[doc], e - first[doc]], axis=1) if len(row) else np.zeros((0, 5), np.int64)
+
+
+def near_column(n: int, rows: np.ndarray) -> pa.Array:
+    """Lists of (item, start, end) for documents 0..n-1."""
+    doc, null, item, s, e = np.unique(rows, axis=0).T
     off = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
     fields = [pa.array(item, mask=null.astype(bool)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
     return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(fields, names=["item", "start", "end"]))
 
 
-def _search(shared, slop: int | None):
+def _search(shared: list, slop: int | None):
+    """Rows of index segments -> one row a document, all blocks of the benchmark taken together."""
+
+    def block(k: int) -> Phrases:
+        q = shared[k].value
+        if len(shared) > 1:
+            shared[k].__dict__.pop("_value", None)  # a worker holds one block at a time
+        return q
+
     def run(batches):
-        q = shared.value
         for rb in batches:
             for r in range(rb.num_rows):
-                segment, ids, first, terms, checks, counts, gaps = (rb.column(c) for c in range(7))
+                ids, first, terms, checks, counts, gaps = (rb.column(c) for c in range(6))
                 first = first[r].values.to_numpy().astype(np.int64)
                 counts = unplanes(counts[r].as_py()).astype(np.int64)
                 pos = unpack(counts, gaps[r].as_py())
-                win, start, close = match(q, np.frombuffer(terms[r].as_py(), np.uint64), np.frombuffer(checks[r].as_py(), np.uint64), counts, pos, first, slop)
-                n = len(first) - 1
-                doc = np.searchsorted(first, start, "right") - 1
-                d, s, e = union(doc, start, start + q.length[win]) if len(win) else (win, win, win)
+                terms, checks = (np.frombuffer(c[r].as_py(), np.uint64) for c in (terms, checks))
+                n, spans, pairs, near_ = len(first) - 1, [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 5), np.int64)]
+                for k in range(len(shared)):
+                    q = block(k)
+                    win, start, close = match(q, terms, checks, counts, pos, first, slop)
+                    doc = np.searchsorted(first, start, "right") - 1
+                    spans.append(np.stack([doc, start, start + q.length[win]], axis=1))
+                    pairs.append(np.array([(a, i) for a, w in {*zip(doc.tolist(), win.tolist(), strict=True)} for i in q.items[w].tolist()], np.int64).reshape(-1, 2))
+                    near_.append(near_rows(q, close, first))
+                d, s, e = np.concatenate(spans).T
+                d, s, e = union(d, s, e) if len(d) else (d, s, e)
                 s, e = s - first[d], e - first[d]
-                pairs = np.unique(np.array([(a, i) for a, w in {*zip(doc.tolist(), win.tolist(), strict=True)} for i in q.items[w].tolist()], np.int64).reshape(-1, 2), axis=0)
+                every = np.unique(np.concatenate(pairs), axis=0)
                 starts, ends = lists(n, d, s.astype(np.int32), e.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment[r].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), ids[r].values, pa.array(np.diff(first)), starts, ends, *lists(n, pairs[:, 0], pairs[:, 1]), near_column(n, q, close, first)],
-                    names=["segment", "row", "doc_id", "n_words", "starts", "ends", "items", "near"],
+                    [ids[r].values, pa.array(np.diff(first)), starts, ends, *lists(n, every[:, 0], every[:, 1]), near_column(n, np.concatenate(near_))],
+                    names=["doc_id", "n_words", "starts", "ends", "items", "near"],
                 )
 
     return vec.tidy(run)
@@ -274,15 +289,10 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
     window has twice is asked for once. ``n_near``: the distinct intervals.
     """
     sc = index.sparkSession.sparkContext
-    found = [index.mapInArrow(_search(sc.broadcast(phrases(rows, window)), slop), HIT_SCHEMA) for rows in blocks(benchmark, item_col, text_col)]
-    out = found[0]
-    if len(found) > 1:
-        for x in found[1:]:
-            out = out.unionByName(x)
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        out = out.groupBy("segment", "row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), flat("starts"), flat("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    shared = [sc.broadcast(phrases(rows, window)) for rows in blocks(benchmark, item_col, text_col)]
+    out = index.mapInArrow(_search(shared, slop), HIT_SCHEMA)
     places = F.array_distinct(F.transform("near", lambda x: F.struct(x["start"], x["end"])))
-    return out.withColumn("n_near", F.size(places).cast("bigint")).drop("segment", "row")
+    return out.withColumn("n_near", F.size(places).cast("bigint"))
 
 
 def covered() -> F.Column:

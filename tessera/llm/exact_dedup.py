@@ -6,7 +6,11 @@ over its byte capacity splits on its next prefix bit, and the directory doubles
 passes its own. Each bucket, a contiguous key range, goes to one owner task, which chains the
 texts under a key, compares their bytes and writes its groups to the shared folder. Map tasks chain
 their own copies first, so a text that holds a third of all rows reaches its owner once per
-map task.
+map task, and its group goes back to its rows by broadcast.
+
+The directory has at most 2**MAX_BITS slots. Past 8 TB of distinct text buckets therefore grow (to some
+100 MB at 100 TB); an owner reads its bucket sorted by key, with spilling, and holds one chain at a
+time, so its memory does not grow with the bucket.
 
 Defined results: null counts as the empty text and equals it; of equal texts the row with the
 largest doc_id stays; a null doc_id is smaller than any other; rows that share both text and
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import keep, row_key, table, without
+from tessera.llm.shared import join_heavy, keep, row_key, table, without
 
 #: Bytes of distinct text in a bucket, and of text that a map task chains before it sends.
 BUCKET_BYTES = 8 << 20
@@ -155,7 +159,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owned = chains.repartitionById(len(directory.buckets), F.col("bucket")).sortWithinPartitions("h")
     groups, _ = keep(owned.mapInArrow(_owner, GROUP_SCHEMA), "exact-index")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return entries.join(groups, ["h", "text_sha256"], "left").select(F.col("doc_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+    return join_heavy(entries, groups, ["h", "text_sha256"], "group_size", entries.count()).select(F.col("doc_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ committed Parquet writer, so it survives a lost executor and needs no local disk
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one where a local session names none (tests)."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"executors share no folder: set {CHECKPOINT_CONF}")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")
@@ -53,6 +56,21 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Keys that hold a larger share of all rows than one in HEAVY are joined apart; there are HEAVY of them at most.
+HEAVY = 50_000
+
+
+def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (stored; one row a key, ``size`` the rows it stands for of ``total``): heavy keys
+    by broadcast, so that no task gets all rows of one, and the others by shuffle."""
+    heavy = groups.where(F.col(size) > total // HEAVY + 1000)
+    if heavy.isEmpty():
+        return rows.join(groups, keys, "left")
+    seen = rows.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy"))), keys, "left")
+    light = seen.where("_heavy IS NULL").drop("_heavy").join(groups, keys, "left")
+    return light.unionByName(rows.join(F.broadcast(heavy), keys))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

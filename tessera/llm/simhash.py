@@ -3,12 +3,15 @@
 Fingerprints are 64-bit majority votes of the XXH64 of all word shingles, computed over Arrow
 buffers. Equal fingerprints collapse to one node (its smallest doc_id) before anything is joined, so
 copies never meet as pairs. Nodes that differ in few bits agree on whole blocks of bits, so they
-share a key in some table of kept blocks; within a key, a table of Hamming distances to
-reference fingerprints (pivots) discards pairs whose largest coordinate difference exceeds the
-radius (triangle inequality), and the survivors are verified. Long runs of a key emit a spanning
-forest, found by a search that removes what it has reached, in place of all their pairs; runs past
-``HOT_RUN`` are dealt out again on further blocks. Links become components by alternating
-large-star and small-star steps.
+share a key in some table of kept blocks. The pivot distance table is computed once and stored with the
+nodes: each node's Hamming distances to 16 reference fingerprints, four bits each (distances below 24
+and above 39 count as those, which makes no difference larger). Within a key it discards pairs whose largest
+coordinate difference exceeds the radius (triangle inequality), and the survivors are verified. Long runs
+of a key emit a spanning forest, found by a search that removes what it has reached, in place of all
+their pairs; runs past ``HOT_RUN`` are dealt out again on so many further blocks that a key leaves
+``FREE_BITS`` bits open, so no run is longer than about 2**FREE_BITS distinct prints. Links become
+components by alternating large-star and small-star steps; a node with very many links is joined by
+broadcast.
 
 Defined results: null or wordless text has fingerprint zero, linked like any other; a row without
 doc_id joins no component (null); repeated rows are answered once each; an empty table gives none.
@@ -24,15 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import vec
-from tessera.llm.shared import drop_path, keep, row_key, table, without
+from tessera.llm.shared import drop_path, join_heavy, keep, row_key, table, without
 
 U64 = np.uint64
 SEED = 42
 RADIUS = 3
 SHINGLE = 3
-PIVOTS = 24
+#: Reference fingerprints, and the least distance to one that is told apart.
+PIVOTS, NEAREST = 16, 24
 #: Runs up to this length compare all their pairs at once; past HOT_RUN they are dealt out again.
-SHORT_RUN, HOT_RUN = 16, 4096
+SHORT_RUN, HOT_RUN, FREE_BITS = 16, 4096, 12
 #: XXH64's primes.
 P1, P2, P3, P4, P5 = (U64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 #: Shingles past this many bytes go to the xxhash library one by one.
@@ -160,16 +164,35 @@ def signed(x: int) -> int:
 
 
 def keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    return nodes.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("t", "key"), "fp", "node")
+    return nodes.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("t", "key"), "fp", "pivots", "node")
+
+
+def reference_fingerprints(n: int = PIVOTS) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2**63, n, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
 def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each reference fingerprint."""
-    return np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+    """Hamming distance of each fingerprint to each reference fingerprint, packed four bits each into one number."""
+    d = np.clip(np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int64) - NEAREST, 0, 15).astype(U64)
+    return np.bitwise_or.reduce(d << (U64(4) * np.arange(len(pivots), dtype=U64)), axis=1) if len(fp) else np.zeros(0, U64)
 
 
-def reference_fingerprints(n: int = PIVOTS) -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 2**63, n, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+def coordinates(packed: np.ndarray) -> np.ndarray:
+    """Rows of distances from packed ones."""
+    raw = np.ascontiguousarray(packed).view(np.uint8).reshape(len(packed), 8)
+    return np.concatenate([raw & 15, raw >> 4], axis=1).astype(np.int8)
+
+
+def _pivot_rows(batches):
+    pivots = reference_fingerprints()
+    for rb in batches:
+        fp = rb.column(0).to_numpy(zero_copy_only=False).view(U64)
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(pivot_table(fp, pivots).view(np.int64))], names=["fp", "node", "pivots"])
+
+
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (fp, node) with their stored distances to the pivots."""
+    return keep(nodes.select("fp", "node").mapInArrow(_pivot_rows, "fp bigint, node bigint, pivots bigint"), "pivot-table")[0]
 
 
 def run_pairs(run: np.ndarray, fp: np.ndarray, dist: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,19 +229,18 @@ def run_forest(fp: np.ndarray, dist: np.ndarray, radius: int) -> tuple[np.ndarra
     return cat(a), cat(b)
 
 
-PAIR_SCHEMA = "a bigint, b bigint, t int, key bigint, fp bigint"
+PAIR_SCHEMA = "a bigint, b bigint, t int, key bigint, fp bigint, pivots bigint"
 
 
 def _pairs(radius: int, hot: int | None):
     """Rows sorted by (t, key) -> links (a, b), or rows of overlong runs to deal out again (b null)."""
-    pivots = reference_fingerprints()
 
-    def out(a, b, t=None, key=None, fp=None):
+    def out(a, b, t=None, key=None, fp=None, pivots=None):
         n = len(a)
-        cols = [pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64()), pa.array(t) if t is not None else pa.nulls(n, pa.int32()), *(pa.array(x) if x is not None else pa.nulls(n, pa.int64()) for x in (key, fp))]
-        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "t", "key", "fp"])
+        cols = [pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64()), pa.array(t) if t is not None else pa.nulls(n, pa.int32()), *(pa.array(x) if x is not None else pa.nulls(n, pa.int64()) for x in (key, fp, pivots))]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "t", "key", "fp", "pivots"])
 
-    def links(t, key, fp, node):
+    def links(t, key, fp, pivots, node):
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(t)))
@@ -226,27 +248,27 @@ def _pairs(radius: int, hot: int | None):
         u = fp.view(U64)
         short = np.flatnonzero((size[run] > 1) & (size[run] <= SHORT_RUN))
         if len(short):
-            i, j = run_pairs(run[short], u[short], pivot_table(u[short], pivots), radius)
+            i, j = run_pairs(run[short], u[short], coordinates(pivots[short]), radius)
             if len(i):
                 yield out(node[short[i]], node[short[j]])
         for k in np.flatnonzero(size > SHORT_RUN).tolist():
             r = slice(at[k], at[k] + size[k])
             if hot and size[k] > hot:
-                yield out(node[r], None, t[r], key[r], fp[r])
+                yield out(node[r], None, t[r], key[r], fp[r], pivots[r])
             else:
-                i, j = run_forest(u[r], pivot_table(u[r], pivots), radius)
+                i, j = run_forest(u[r], coordinates(pivots[r]), radius)
                 yield out(node[r][i], node[r][j])
 
     def run(batches):
         held, deferred = None, None
         for rb in batches:
-            cols = [rb.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp", "node")]
+            cols = [rb.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp", "pivots", "node")]
             if not len(cols[0]):
                 continue
             if deferred is not None:  # the rest of a run that was too long already
                 n = int(np.argmin(np.append((cols[0] == deferred[0]) & (cols[1] == deferred[1]), False)))
                 if n:
-                    yield out(cols[3][:n], None, cols[0][:n], cols[1][:n], cols[2][:n])
+                    yield out(cols[4][:n], None, *(c[:n] for c in cols[:4]))
                 cols = [c[n:] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -259,7 +281,7 @@ def _pairs(radius: int, hot: int | None):
             if len(done[0]):
                 yield from links(*done)
             if hot and last > hot:
-                yield out(held[3], None, held[0], held[1], held[2])
+                yield out(held[4], None, *held[:4])
                 deferred, held = (held[0][0], held[1][0]), None
         if held is not None:
             yield from links(*held)
@@ -269,6 +291,7 @@ def _pairs(radius: int, hot: int | None):
 
 def linked(nodes: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT_RUN) -> list[tuple[DataFrame, str]]:
     """Links (a, b) between nodes within ``radius``: every such pair is connected through them."""
+    nodes = with_pivots(nodes)
     masks = level_masks(n, radius)
     parts = lambda df: df.repartition("t", "key").sortWithinPartitions("t", "key")
     first, path = keep(parts(keyed(nodes, masks)).mapInArrow(_pairs(radius, hot), PAIR_SCHEMA), "simhash-links")
@@ -276,11 +299,12 @@ def linked(nodes: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT_RUN) -
     again = first.where(F.col("b").isNull())
     if not again.isEmpty():
         sub = []
-        for t, m in enumerate(masks):  # the bits that this table left free, in twice as many blocks
+        for t, m in enumerate(masks):  # the bits that this table left free, in blocks of which ``radius`` hold few bits
             free = [b for b in range(64) if not m >> b & 1]
-            keys = F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m | s))) for s in block_masks(free, 2 * radius, radius)))
+            blocks = max(2 * radius, -(-len(free) * radius // FREE_BITS))
+            keys = F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m | s))) for s in block_masks(free, blocks, blocks - radius)))
             sub.append(F.when(F.col("t") == t, keys))
-        finer = again.select(F.posexplode(F.coalesce(*sub)).alias("s", "key"), (F.col("t") * 1000).alias("base"), "fp", F.col("a").alias("node")).select((F.col("base") + F.col("s")).cast("int").alias("t"), "key", "fp", "node")
+        finer = again.select(F.posexplode(F.coalesce(*sub)).alias("s", "key"), (F.col("t") * 1000).alias("base"), "fp", "pivots", F.col("a").alias("node")).select((F.col("base") + F.col("s")).cast("int").alias("t"), "key", "fp", "pivots", "node")
         more, path = keep(parts(finer).mapInArrow(_pairs(radius, None), PAIR_SCHEMA), "simhash-links2")
         found.append((more.select("a", "b"), path))
     return found
@@ -316,15 +340,16 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of u goes to the smallest node around u.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least, path1 = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("links")), "star-least")
+        large = join_heavy(both.where("b > a"), least, ["a"], "links", 2 * edges.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))  # few: a node's least neighbours, of its larger ones' stars
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         nxt, nxt_path = keep(small, "stars")
         count = nxt.count()
         settled = count == seen and nxt.join(edges, ["a", "b"], "left_anti").isEmpty()
-        drop_path(edges.sparkSession, path)
+        for done in (path, path1):
+            drop_path(edges.sparkSession, done)
         edges, path, seen = nxt, nxt_path, count
         if settled:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -200,7 +200,33 @@ def test_pivot_coordinates_never_discard_a_link():
     fp = rng.integers(0, 2**63, 50, dtype=np.int64).astype(np.uint64)
     near = fp ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64))
     pivots = simhash.reference_fingerprints()
-    assert np.abs(simhash.pivot_table(fp, pivots) - simhash.pivot_table(near, pivots)).max() <= 2
+    a, b = (simhash.coordinates(simhash.pivot_table(x, pivots)) for x in (fp, near))
+    assert a.shape == (50, simhash.PIVOTS) and np.abs(a - b).max() <= 2
+    plain = [[min(max(bin(int(x) ^ int(p)).count("1") - simhash.NEAREST, 0), 15) for p in pivots] for x in fp]
+    assert sorted(map(sorted, plain)) == sorted(map(sorted, a.tolist()))
+
+
+def test_hubs_and_heavy_groups_by_broadcast(spark, monkeypatch):
+    from tessera.llm import shared
+
+    monkeypatch.setattr(shared, "HEAVY", 10**9)
+    rows = spark.range(9000).select(F.when(F.col("id") < 4000, 1).when(F.col("id") < 5500, 2).otherwise(F.col("id")).alias("k"), "id")
+    groups, _ = shared.keep(rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 8000"), "groups")
+    got = {r.id: r.n for r in shared.join_heavy(rows, groups, ["k"], "n", 9000).collect()}
+    assert got == {i: 4000 if i < 4000 else 1500 if i < 5500 else None if i == 8000 else 1 for i in range(9000)}
+    star = spark.range(1, 3000).select(F.lit(5_000).alias("a"), F.col("id").alias("b"))
+    assert {(r.node, r.root) for r in simhash.components(star.repartition(7)).collect()} == {(i, 1) for i in [*range(2, 3000), 5000]}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from tessera.llm import shared
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://x:7077"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match="share no folder"):
+            shared.shared_dir(session)
 
 
 def test_xxh64_of_all_lengths():
