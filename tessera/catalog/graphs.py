@@ -158,6 +158,38 @@ def alpha_expansion_segments(spark, d):
     return G.label_images(nodes, edges, members, costs)
 
 
+@QUERIES.add()
+def segment_layers(spark, d):
+    """Two layers of superpixels, the second made of the first; touching ones should agree, and labels cost to occur."""
+    nodes, edges = network(spark, d)
+    px = A.raster(spark, d)
+    fine, coarse = A.segments(px), A.segments(px, 1)
+    member = fine.select("image_id", F.lit(0).alias("layer"), "seg_id", (F.col("y").cast("bigint") * 50 + F.col("x")).alias("node"), F.lit(1.0).alias("weight"))
+    above = R.layer_overlap(fine, coarse).select("image_id", F.lit(1).alias("layer"), F.col("parent").alias("seg_id"), F.col("child").cast("bigint").alias("node"), F.col("weight").cast("double").alias("weight"))
+    price = lambda seg, layer, share: R.sizes(seg).select("image_id", F.lit(layer).alias("layer"), "seg_id", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("n_pixels") * share).alias("costs"))
+    touching = R.adjacency(fine).where("a < b").select("image_id", F.lit(0).alias("layer"), "a", "b", F.lit(2.0).alias("w"))
+    return G.label_images(nodes, edges, member.unionByName(above), price(fine, 0, 1.0).unionByName(price(coarse, 1, 0.5)), touching=touching, nested=True, presence=[5.0, 20.0, 5.0])
+
+
+@QUERIES.add()
+def range_moves(spark, d):
+    """Ten levels of the values, edges truncated linear, moves of three labels."""
+    nodes, edges = network(spark, d)
+    v = (F.col("y").cast("bigint") * 50 + F.col("x")).alias("node")
+    costs = A.raster(spark, d).select("image_id", v, F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.abs(F.col("v") - 100 * k - 50) / 100).alias("costs"))
+    return G.label_images(costs, edges.withColumn("w", F.col("w") / 8), truncated=3.0, size=3)
+
+
+@QUERIES.add()
+def joint_moves(spark, d):
+    """Objects by value and levels as sensor labels, coupled."""
+    nodes, edges = network(spark, d)
+    px = A.raster(spark, d).withColumn("node", F.col("y").cast("bigint") * 50 + F.col("x"))
+    objects = px.select("image_id", "node", F.array(F.col("v") / 250, (1000 - F.col("v")) / 250).alias("costs"))
+    sensor = px.select("image_id", "node", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.abs(F.col("v") / 200 - k)).alias("costs"))
+    return G.label_jointly(objects, sensor, edges.withColumn("w", F.col("w") / 4), 2.0, 0.25, 0.5)
+
+
 @QUERIES.add(A.sql("seg") + " SELECT image_id, CAST(seg_id AS INT) AS seg_id, cls, CAST(CASE WHEN cls = 3 THEN 0.5 * n ELSE 0 END AS DOUBLE) AS cost FROM (SELECT image_id, seg_id, count(*) AS n FROM seg GROUP BY 1, 2), (SELECT CAST(unnest(range(4)) AS INT) AS cls)")
 def consistency_cost(spark, d):
     return G.consistency_costs(R.sizes(A.segments(A.raster(spark, d))), 3, 0.5)

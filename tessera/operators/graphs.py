@@ -8,14 +8,16 @@ is the price of taking it, ``t_sink`` the price of keeping the old label.
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Sequence
-from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import fields
+from tessera.operators.flow import max_flow
+
 CELL = ["image_id", "x", "y"]
 TINY = 1e-12
 
@@ -106,235 +108,92 @@ def segment_potts(a: Column, b: Column, weight: Column, free: int) -> Column:
     return F.when(a == b, F.lit(0.0)).when(one_free, weight / 2).otherwise(weight)
 
 
-# --- the per-image kernel ---------------------------------------------------------------------------------
-
-
-class FlowNetwork:
-    """Maximum flow by shortest augmenting paths in layered networks; small images only."""
-
-    def __init__(self, nodes: int):
-        self.n, self.source, self.sink = nodes, nodes, nodes + 1
-        self.head: list[list[int]] = [[] for _ in range(nodes + 2)]
-        self.to: list[int] = []
-        self.cap: list[float] = []
-        self.flow = 0.0
-
-    def add_edge(self, u: int, v: int, cap: float, rev: float = 0.0) -> None:
-        self.head[u].append(len(self.to))
-        self.to.append(v)
-        self.cap.append(cap)
-        self.head[v].append(len(self.to))
-        self.to.append(u)
-        self.cap.append(rev)
-
-    def add_terminals(self, u: int, source: float, sink: float) -> None:
-        if source > 0:
-            self.add_edge(self.source, u, source)
-        if sink > 0:
-            self.add_edge(u, self.sink, sink)
-
-    def _levels(self) -> list[int]:
-        level = [-1] * (self.n + 2)
-        level[self.source] = 0
-        queue = deque([self.source])
-        while queue:
-            u = queue.popleft()
-            for e in self.head[u]:
-                if self.cap[e] > TINY and level[self.to[e]] < 0:
-                    level[self.to[e]] = level[u] + 1
-                    queue.append(self.to[e])
-        return level
-
-    def solve(self) -> float:
-        while (level := self._levels())[self.sink] >= 0:
-            nxt = [0] * (self.n + 2)
-            while True:
-                path, u = [], self.source  # edges of one path, found with a cursor per node
-                while u != self.sink:
-                    while nxt[u] < len(self.head[u]):
-                        e = self.head[u][nxt[u]]
-                        if self.cap[e] > TINY and level[self.to[e]] == level[u] + 1:
-                            break
-                        nxt[u] += 1
-                    if nxt[u] < len(self.head[u]):
-                        path.append(self.head[u][nxt[u]])
-                        u = self.to[path[-1]]
-                    elif path:
-                        u = self.to[path.pop() ^ 1]
-                        nxt[u] += 1
-                    else:
-                        break
-                if u != self.sink:
-                    break
-                more = min(self.cap[e] for e in path)
-                self.flow += more
-                for e in path:
-                    self.cap[e] -= more
-                    self.cap[e ^ 1] += more
-        return self.flow
-
-    def sink_side(self) -> list[bool]:
-        """Nodes that the source does not reach any more; others stay with the source."""
-        level = self._levels()
-        return [level[u] < 0 for u in range(self.n)]
-
-
-@dataclass
-class Segment:
-    """A robust higher-order term: its pixels, their weights, costs of all labels and of the free one (last), and
-    the share of disagreement at which it gives up."""
-
-    members: list[int]
-    weights: list[float]
-    costs: list[float]
-    truncation: float = 0.5
-
-    @property
-    def free(self) -> int:
-        return len(self.costs) - 1
-
-    def slope(self, label: int) -> float:
-        """Cost of a unit of disagreeing weight."""
-        return (self.costs[-1] - self.costs[label]) / (sum(self.weights) * self.truncation)
-
-    def cost(self, label: int, labels: list[int]) -> float:
-        if label == self.free:
-            return self.costs[-1]
-        return self.costs[label] + self.slope(label) * sum(w for i, w in zip(self.members, self.weights, strict=True) if labels[i] != label)
-
-    def dominant(self, labels: list[int]) -> int:
-        """The highest label whose weight exceeds W (1 - T), else the free one."""
-        need = sum(self.weights) * (1 - self.truncation)
-        won = [c for c in range(self.free) if sum(w for i, w in zip(self.members, self.weights, strict=True) if labels[i] == c) > need]
-        return max(won, default=self.free)
-
-
-def energy(labels: list[int], unary: list[list[float]], edges: list[tuple[int, int, float]], segments: Sequence[Segment] = (), chosen: Sequence[int] = ()) -> float:
-    pixels = sum(unary[i][c] for i, c in enumerate(labels)) + sum(w for u, v, w in edges if labels[u] != labels[v])
-    return pixels + sum(s.cost(c, labels) for s, c in zip(segments, chosen, strict=True))
-
-
-def expand(labels: list[int], alpha: int, unary: list[list[float]], edges: list[tuple[int, int, float]], segments: Sequence[Segment] = (), chosen: Sequence[int] = ()) -> tuple[list[int], list[int]]:
-    """The best labelling in which any sites change to ``alpha`` and all others stay; segments take
-    ``alpha``, keep their label or become free. Segments that have ``alpha`` already keep it."""
-    sites = [i for i, c in enumerate(labels) if c != alpha]
-    number = {i: k for k, i in enumerate(sites)}
-    source, sink = [unary[i][alpha] for i in sites], [unary[i][labels[i]] for i in sites]
-    links: list[tuple[int, int, float, float]] = []
-    for u, v, w in edges:
-        if w <= TINY:
-            continue
-        a, b = number.get(u), number.get(v)
-        if a is not None and b is not None:
-            if labels[u] == labels[v]:
-                links.append((a, b, w, w))
-            else:
-                sink[a] += w
-                links.append((a, b, 0.0, w))
-        elif a is not None or b is not None:
-            sink[a if a is not None else b] += w
-    extra: list[tuple[int, int | None]] = []
-
-    def node(from_source: float, to_sink: float) -> int:
-        source.append(from_source)
-        sink.append(to_sink)
-        return len(source) - 1
-
-    for s, c in zip(segments, chosen, strict=True):
-        inside = [(number[i], w, labels[i]) for i, w in zip(s.members, s.weights, strict=True) if i in number]
-        if c == alpha:
-            for k, w, _ in inside:
-                sink[k] += s.slope(alpha) * w
-            extra.append((-1, None))
-            continue
-        a = node(0.0, s.costs[-1] - s.costs[alpha])
-        links += [(a, k, 0.0, s.slope(alpha) * w) for k, w, _ in inside]
-        b = None
-        if c != s.free:
-            b = node(s.costs[-1] - s.cost(c, labels), 0.0)
-            links += [(b, k, s.slope(c) * w, 0.0) for k, w, old in inside if old == c]
-            links.append((a, b, 0.0, math.inf))
-        extra.append((a, b))
-    net = FlowNetwork(len(source))
-    for k in range(len(source)):
-        least = min(source[k], sink[k])
-        # staying with the source cuts the sink link: that is the price of the old label
-        net.add_terminals(k, source[k] - least, sink[k] - least)
-    for link in links:
-        net.add_edge(*link)
-    net.solve()
-    taken = net.sink_side()
-    out = list(labels)
-    for i, k in number.items():
-        if taken[k]:
-            out[i] = alpha
-    kept = []
-    for (a, b), s, c in zip(extra, segments, chosen, strict=True):
-        kept.append(alpha if a < 0 or taken[a] else s.free if b is not None and taken[b] else c)
-    return out, kept
-
-
-def solve_labels(unary: list[list[float]], edges: list[tuple[int, int, float]], segments: Sequence[Segment] = (), sweeps: int = 4) -> tuple[list[int], list[int], list[float]]:
-    """(labels, segment labels, energies): expansion moves over all labels until a whole round changes nothing,
-    ``sweeps`` rounds at most."""
-    classes = len(unary[0]) if unary else 0
-    labels = [0] * len(unary)
-    chosen = [s.dominant(labels) for s in segments]
-    trail, still = [energy(labels, unary, edges, segments, chosen)], 0
-    for _ in range(sweeps):
-        for alpha in range(classes):
-            new, kept = expand(labels, alpha, unary, edges, segments, chosen)
-            now = energy(new, unary, edges, segments, kept)
-            if now < trail[-1] - 1e-9:
-                labels, chosen, still = new, kept, 1
-                trail.append(now)
-            else:
-                still += 1
-            if still >= classes:
-                return labels, chosen, trail
-    return labels, chosen, trail
-
-
-def label_images(unary: DataFrame, edges: DataFrame, segments: DataFrame | None = None, segment_costs: DataFrame | None = None, sweeps: int = 4, truncation: float = 0.5) -> DataFrame:
-    """(image_id, node, label, energy): every image is solved on its own, one group each.
-
-    ``unary`` (image_id, node, costs array), ``edges`` (image_id, u, v, w); optional superpixels:
-    ``segments`` (image_id, seg_id, node, weight) and ``segment_costs`` (image_id, seg_id, costs
-    array, the free label's last)."""
+# --- images solved one by one ---------------------------------------------------------------------------
+
+
+def _number(ids: np.ndarray, values: pd.Series) -> np.ndarray:
+    """Places of values among sorted ids."""
+    at = np.minimum(np.searchsorted(ids, values.to_numpy(np.int64)), max(len(ids) - 1, 0))
+    if len(values) and (not len(ids) or (ids[at] != values.to_numpy()).any()):
+        raise ValueError("an edge or a segment names a node that its image has not")
+    return at
+
+
+def label_images(
+    unary: DataFrame,
+    edges: DataFrame,
+    segments: DataFrame | None = None,
+    segment_costs: DataFrame | None = None,
+    sweeps: int = 4,
+    truncation: float = 0.5,
+    touching: DataFrame | None = None,
+    nested: bool = False,
+    presence: Sequence[float] | None = None,
+    truncated: float | None = None,
+    size: int = 1,
+) -> DataFrame:
+    """(image_id, node, label, energy): every image is solved on its own, one group each (a frame of 376 x 1242 pixels
+    takes half a minute).
+
+    ``unary`` (image_id, node, costs array), ``edges`` (image_id, u, v, w). Optional layers of segments:
+    ``segments`` (image_id, seg_id, node, weight), ``segment_costs`` (image_id, seg_id, costs array, the free label's
+    last) and ``touching`` (image_id, a, b, w), each with a column ``layer`` if there is more than one; with ``nested``
+    the nodes of a layer past the first are segments of the one before. ``presence``: price of each label that occurs.
+    ``truncated``: edges cost w min(|a - b|, truncated), and moves take ``size`` labels at a time."""
     none = F.lit(None).cast("array<double>")
-    terms = edges.select("image_id", F.lit(0).alias("kind"), F.col("u").cast("bigint").alias("a"), F.col("v").cast("bigint").alias("b"), F.col("w").cast("double").alias("w"), none.alias("costs"))
+    level = lambda df: F.col("layer").cast("int") if "layer" in df.columns else F.lit(0)
+    row = lambda df, kind, layer, a, b, w, costs=none: df.select("image_id", F.lit(kind).alias("kind"), layer.alias("layer"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), w.cast("double").alias("w"), costs.alias("costs"))
+    terms = row(edges, 0, F.lit(0), F.col("u"), F.col("v"), F.col("w"))
     if segments is not None:
-        terms = terms.union(segments.select("image_id", F.lit(1), F.col("seg_id").cast("bigint"), F.col("node").cast("bigint"), F.col("weight").cast("double"), none))
-        terms = terms.union(segment_costs.select("image_id", F.lit(2), F.col("seg_id").cast("bigint"), F.lit(0).cast("bigint"), F.lit(0.0), "costs"))
+        terms = terms.union(row(segments, 1, level(segments), F.col("seg_id"), F.col("node"), F.col("weight")))
+        terms = terms.union(row(segment_costs, 2, level(segment_costs), F.col("seg_id"), F.lit(0), F.lit(0.0), F.col("costs")))
+    if touching is not None:
+        terms = terms.union(row(touching, 3, level(touching), F.col("a"), F.col("b"), F.col("w")))
+
+    def one(key, nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("node")
+        ids = [nodes["node"].to_numpy(np.int64)]
+        pairs = rows[rows["kind"] == 0]
+        layers = []
+        for k in sorted(rows.loc[rows["kind"] == 1, "layer"].unique()):
+            part = rows[rows["layer"] == k]
+            inside, costs, near = (part[part["kind"] == kind] for kind in (1, 2, 3))
+            costs = costs[costs["a"].isin(inside["a"])].sort_values("a")
+            own = costs["a"].to_numpy(np.int64)
+            below = len(layers) - 1 if nested and layers else fields.NONE
+            near = near[near["a"].isin(own) & near["b"].isin(own)]
+            layers.append(fields.Layer(_number(own, inside["a"]), _number(ids[below + 1], inside["b"]), inside["w"].to_numpy(float), np.array(costs["costs"].tolist(), float), truncation, (_number(own, near["a"]), _number(own, near["b"]), near["w"].to_numpy(float)), below))
+            ids.append(own)
+        f = fields.Field(np.array(nodes["costs"].tolist(), float), _number(ids[0], pairs["a"]), _number(ids[0], pairs["b"]), pairs["w"].to_numpy(float), layers, None if presence is None else np.array(presence, float), truncated)
+        state, trail = fields.solve(f, sweeps, size)
+        return pd.DataFrame({"image_id": key[0], "node": ids[0], "label": state.labels.astype(np.int32), "energy": trail[-1]})
+
+    return unary.select("image_id", "node", "costs").groupBy("image_id").cogroup(terms.groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, label int, energy double")
+
+
+def label_jointly(objects: DataFrame, sensor: DataFrame, edges: DataFrame, most: float, disparity: float, cross: float, sweeps: int = 4) -> DataFrame:
+    """(image_id, node, object, sensor, energy): both domains of every image, solved in turns. ``objects`` and ``sensor``
+    (image_id, node, costs array), ``edges`` (image_id, u, v, w); see joint_cost."""
 
     def one(key, nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("node")
-        number = {n: k for k, n in enumerate(nodes["node"])}
-        pairs = [(number[u], number[v], w) for u, v, w in rows.loc[rows["kind"] == 0, ["a", "b", "w"]].itertuples(index=False)]
-        inside: dict[int, list] = {}
-        for s, n, w in rows.loc[rows["kind"] == 1, ["a", "b", "w"]].itertuples(index=False):
-            inside.setdefault(s, []).append((number[n], w))
-        found = [Segment([n for n, _ in inside[s]], [w for _, w in inside[s]], list(c), truncation) for s, c in rows.loc[rows["kind"] == 2, ["a", "costs"]].sort_values("a").itertuples(index=False) if s in inside]
-        labels, _, trail = solve_labels([list(c) for c in nodes["costs"]], pairs, found, sweeps)
-        return pd.DataFrame({"image_id": key[0], "node": nodes["node"].to_numpy(), "label": labels, "energy": trail[-1]})
+        ids = nodes["node"].to_numpy(np.int64)
+        j = fields.Joint(np.array(nodes["o"].tolist(), float), np.array(nodes["m"].tolist(), float), _number(ids, rows["u"]), _number(ids, rows["v"]), rows["w"].to_numpy(float), most, disparity, cross)
+        o, m, trail = fields.solve_joint(j, sweeps)
+        return pd.DataFrame({"image_id": key[0], "node": ids, "object": o.astype(np.int32), "sensor": m.astype(np.int32), "energy": trail[-1]})
 
-    columns = ["image_id", "kind", "a", "b", "w", "costs"]
-    return unary.select("image_id", "node", "costs").groupBy("image_id").cogroup(terms.toDF(*columns).groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, label int, energy double")
+    both = objects.select("image_id", "node", F.col("costs").alias("o")).join(sensor.select("image_id", "node", F.col("costs").alias("m")), ["image_id", "node"])
+    return both.groupBy("image_id").cogroup(edges.select("image_id", "u", "v", "w").groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, object int, sensor int, energy double")
 
 
 def max_flows(terminals: DataFrame, edges: DataFrame) -> DataFrame:
     """(image_id, flow, node, on_sink) of networks given as tables: terminals (image_id, node, t_source, t_sink) and
-    edges (image_id, u, v, cap, rev)."""
+    edges (image_id, u, v, cap, rev). Nodes that can still reach the sink are on its side."""
 
     def one(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("node")
-        number = {n: k for k, n in enumerate(nodes["node"])}
-        net = FlowNetwork(len(nodes))
-        for k, (s, t) in enumerate(zip(nodes["t_source"], nodes["t_sink"], strict=True)):
-            net.add_terminals(k, s, t)
-        for u, v, c, r in zip(links["u"], links["v"], links["cap"], links["rev"], strict=True):
-            net.add_edge(number[u], number[v], c, r)
-        flow = net.solve()
-        return pd.DataFrame({"image_id": key[0], "flow": flow, "node": nodes["node"].to_numpy(), "on_sink": net.sink_side()})
+        ids = nodes["node"].to_numpy(np.int64)
+        flow, side = max_flow(nodes["t_source"], nodes["t_sink"], _number(ids, links["u"]), _number(ids, links["v"]), links["cap"], links["rev"])
+        return pd.DataFrame({"image_id": key[0], "flow": flow, "node": ids, "on_sink": side})
 
     return terminals.groupBy("image_id").cogroup(edges.toDF(*edges.columns).groupBy("image_id")).applyInPandas(one, "image_id string, flow double, node bigint, on_sink boolean")

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.functions import imaging as I
-from tessera.operators import graphs as G
+from tessera.operators import fields as M_
+from tessera.operators.flow import max_flow
 from tessera.operators import learning as L
 from tessera.operators import metrics as M
 from tessera.operators import raster as R
@@ -19,13 +20,16 @@ from tessera.sources import binary as B
 from tessera.sources import tables as T
 
 
+def flow_of(n, terminals, edges):
+    a = np.array(edges, float).reshape(-1, 4)
+    t = np.array(terminals, float).reshape(n, 2)
+    flow, side = max_flow(t[:, 0], t[:, 1], a[:, 0].astype(int), a[:, 1].astype(int), a[:, 2], a[:, 3])
+    return flow, side.tolist()
+
+
 def test_two_node_cut():
-    net = G.FlowNetwork(2)
-    net.add_terminals(0, 5, 0)
-    net.add_terminals(1, 0, 4)
-    net.add_edge(0, 1, 3, 0)
-    assert net.solve() == 3
-    assert net.sink_side() == [False, True]
+    assert flow_of(2, [(5, 0), (0, 4)], [(0, 1, 3, 0)]) == (3, [False, True])
+    assert flow_of(1, [(2, 2)], []) == (2, [False]) and flow_of(0, [], []) == (0, [])
 
 
 def _cut(n, terminals, edges, side):
@@ -33,63 +37,115 @@ def _cut(n, terminals, edges, side):
     return out + sum(c for u, v, c, _ in edges if not side[u] and side[v]) + sum(r for u, v, _, r in edges if side[u] and not side[v])
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.data())
 def test_flow_equals_least_cut(data):
-    n = data.draw(st.integers(1, 5))
-    cap = st.integers(0, 9)
+    n = data.draw(st.integers(1, 7))
+    cap = data.draw(st.sampled_from([st.integers(0, 9), st.floats(0, 5)]))
     terminals = [(data.draw(cap), data.draw(cap)) for _ in range(n)]
     edges = [(u, v, data.draw(cap), data.draw(cap)) for u, v in itertools.combinations(range(n), 2)]
-    net = G.FlowNetwork(n)
-    for k, (s, t) in enumerate(terminals):
-        net.add_terminals(k, s, t)
-    for e in edges:
-        net.add_edge(*e)
-    flow = net.solve()
-    assert flow == pytest.approx(min(_cut(n, terminals, edges, side) for side in itertools.product([False, True], repeat=n)))
-    assert _cut(n, terminals, edges, net.sink_side()) == pytest.approx(flow)
+    flow, side = flow_of(n, terminals, edges)
+    cuts = {on: _cut(n, terminals, edges, on) for on in itertools.product([False, True], repeat=n)}
+    assert flow == pytest.approx(min(cuts.values())) and _cut(n, terminals, edges, side) == pytest.approx(flow)
+
+
+def _moves(f, s, alpha):
+    """All states that an expansion move may reach."""
+    options = [{alpha, int(c)} for c in s.labels]
+    for layer, c in zip(f.layers, s.chosen, strict=True):
+        options += [{alpha} if k == alpha else {alpha, int(k), layer.free} for k in c]
+    for t in itertools.product(*options):
+        out, at = M_.State(np.array(t[: len(s.labels)])), len(s.labels)
+        for c in s.chosen:
+            out.chosen.append(np.array(t[at : at + len(c)], dtype=int))
+            at += len(c)
+        yield out
+
+
+@pytest.mark.parametrize("kind", ["pixels", "segments", "touching", "nested", "presence"])
+def test_expansion_moves_are_the_best_moves(kind):
+    rng = random.Random(kind)
+    r = rng.random
+    for k in range(30):
+        layers = []
+        if kind != "pixels":
+            near = ([0], [1], [r()]) if kind in ("touching", "nested") else ([], [], [])
+            layers.append(M_.Layer([0, 0, 1, 1, 1], [0, 1, 1, 2, 3], [r() + 0.1 for _ in range(5)], [[r() for _ in range(3)] + [1 + r()] for _ in range(2)], rng.choice([0.3, 0.5]), near))
+        if kind == "nested":
+            layers.append(M_.Layer([0, 0], [0, 1], [1.0, 2.0], [[r() for _ in range(3)] + [1 + r()]], 0.5, below=0))
+        u, v = zip(*itertools.combinations(range(4), 2), strict=True)
+        f = M_.Field([[2 * r() for _ in range(3)] for _ in range(4)], u, v, [0.6 * r() for _ in u], layers, np.array([2 * r() for _ in range(3)]) if kind == "presence" else None, 1.5 if k % 2 else None)
+        s = M_.State(np.array([rng.randrange(3) for _ in range(4)]), [np.array([rng.randrange(4) for _ in layer.costs]) for layer in layers])
+        alpha = rng.randrange(3)
+        assert f.energy(M_.expand(f, s, alpha)) == pytest.approx(min(f.energy(t) for t in _moves(f, s, alpha)))
+        _, trail = M_.solve(f)
+        assert all(b <= a for a, b in zip(trail, trail[1:]))
 
 
-def test_expansion_never_raises_the_energy_and_two_labels_are_solved_exactly():
-    rng = random.Random(3)
-    for _ in range(20):
-        unary = [[rng.random() * 4, rng.random() * 4] for _ in range(5)]
-        edges = [(i, i + 1, 1.0) for i in range(4)]
-        labels, _, trail = G.solve_labels(unary, edges)
-        assert all(b <= a for a, b in zip(trail, trail[1:]))
-        best = min(G.energy(list(c), unary, edges) for c in itertools.product(range(2), repeat=5))
-        assert G.energy(labels, unary, edges) == pytest.approx(best)
+def test_energies_by_hand():
+    layer = M_.Layer([0] * 4, [0, 1, 2, 3], [1.0] * 4, [[0.0, 0.0, 4.0]], 0.5)
+    against = [layer.energies(np.array([0]), np.array([0] * (4 - k) + [1] * k))[0] for k in (0, 1, 2)]
+    assert against == [0.0, 2.0, 4.0] and layer.energies(np.array([2]), np.array([0, 1, 0, 1]))[0] == 4.0
+    assert layer.dominant(np.array([0, 0, 0, 1]))[0] == 0 and layer.dominant(np.array([0, 0, 1, 1]))[0] == 2
+    f = M_.Field([[1, 2, 3], [4, 5, 6]], [0], [1], [2.0], presence=np.array([10.0, 20, 40]))
+    assert f.energy(M_.State(np.array([0, 0]))) == 15 and f.energy(M_.State(np.array([0, 2]))) == 1 + 6 + 2 + 50
+    f.truncation = 1.5
+    assert f.energy(M_.State(np.array([0, 2]))) == 1 + 6 + 3 + 50
 
 
-def test_expansion_move_is_the_best_move():
-    rng = random.Random(5)
+def test_two_labels_are_solved_exactly():
+    rng = random.Random(3)
+    for _ in range(20):
+        f = M_.Field([[rng.random() * 4, rng.random() * 4] for _ in range(5)], range(4), range(1, 5), [1.0] * 4)
+        s, _ = M_.solve(f)
+        assert f.energy(s) == pytest.approx(min(f.energy(M_.State(np.array(c))) for c in itertools.product(range(2), repeat=5)))
+
+
+def test_range_moves_never_raise_the_energy_and_find_more_than_single_labels():
+    rng = random.Random(4)
+    worse, gap = 0, 0.0
+    for k in range(60):
+        u, v = zip(*itertools.combinations(range(4), 2), strict=True)
+        f = M_.Field([[rng.random() * 3 for _ in range(6)] for _ in range(4)], u, v, [rng.random() for _ in u], truncation=rng.choice([1, 2, 2.5, 3]))
+        s = M_.State(np.array([rng.randrange(6) for _ in range(4)]))
+        low, size = rng.randrange(6), rng.choice([1, 2, 3])
+        new = M_.expand_range(f, s, low, size)
+        assert f.energy(new) <= f.energy(s) + 1e-9 and all(a == b or low <= b < low + size for a, b in zip(s.labels, new.labels, strict=True))
+        if size == 1:
+            assert f.energy(new) == pytest.approx(f.energy(M_.expand(f, s, low)))
+        best = min(f.energy(M_.State(np.array(c))) for c in itertools.product(range(6), repeat=4))
+        found = M_.solve(f, size=3)[1][-1]
+        gap = max(gap, found / best)
+        worse += found > M_.solve(f)[1][-1] + 1e-9
+    assert gap < 1.3 and worse < 10
+
+
+def test_joint_moves_settle_and_two_by_two_is_near_the_best():
+    rng = random.Random(7)
     for _ in range(30):
-        unary = [[rng.random() * 3 for _ in range(3)] for _ in range(4)]
-        edges = [(i, j, rng.random()) for i, j in itertools.combinations(range(4), 2)]
-        old = [rng.randrange(3) for _ in range(4)]
-        new, _ = G.expand(old, 1, unary, edges)
-        options = [[1 if m else c for m, c in zip(moves, old, strict=True)] for moves in itertools.product([0, 1], repeat=4)]
-        assert G.energy(new, unary, edges) == pytest.approx(min(G.energy(o, unary, edges) for o in options))
-
-
-def test_moves_with_segments_are_the_best_moves():
-    rng = random.Random(9)
-    for _ in range(40):
-        unary = [[rng.random() * 3 for _ in range(3)] for _ in range(5)]
-        edges = [(i, i + 1, rng.random()) for i in range(4)]
-        segments = [G.Segment([0, 1, 2], [1.0, 2.0, 1.0], [rng.random() for _ in range(3)] + [2.0]), G.Segment([2, 3, 4], [1.0] * 3, [rng.random() for _ in range(3)] + [1.5], 0.4)]
-        old, chosen = [rng.randrange(3) for _ in range(5)], [rng.choice([0, 2, 3]) for _ in segments]
-        new, kept = G.expand(old, 1, unary, edges, segments, chosen)
-        best = min(G.energy([1 if m else c for m, c in zip(moves, old, strict=True)], unary, edges, segments, picks) for moves in itertools.product([0, 1], repeat=5) for picks in itertools.product(*({1, c, 3} for c in chosen)))
-        assert G.energy(new, unary, edges, segments, kept) == pytest.approx(best)
-    labels, chosen, trail = G.solve_labels(unary, edges, segments)
-    assert all(b <= a for a, b in zip(trail, trail[1:]))
-
-
-def test_segment_cost_rises_with_disagreement_and_stops_at_the_free_label():
-    s = G.Segment([0, 1, 2, 3], [1.0] * 4, [0.0, 0.0, 4.0], 0.5)
-    assert [s.cost(0, [0] * (4 - k) + [1] * k) for k in (0, 1, 2)] == [0.0, 2.0, 4.0] and s.cost(2, [0, 1, 0, 1]) == 4.0
-    assert s.dominant([0, 0, 0, 1]) == 0 and s.dominant([0, 0, 1, 1]) == 2
+        r = lambda n: np.array([[2 * rng.random() for _ in range(n)] for _ in range(3)])
+        j = M_.Joint(r(2), r(4), np.array([0, 1]), np.array([1, 2]), np.array([rng.random(), rng.random()]), 2.0, 0.5, 0.5)
+        o, m, trail = M_.solve_joint(j)
+        assert trail[-1] == pytest.approx(j.energy(o, m)) and all(b <= a + 1e-9 for a, b in zip(trail[1:], trail[2:]))
+        best = min(j.energy(np.array(a), np.array(b)) for a in itertools.product(range(2), repeat=3) for b in itertools.product(range(4), repeat=3))
+        assert trail[-1] <= 1.5 * best + 1e-9
+
+
+def test_a_whole_frame_is_solved():
+    """376 x 1242 pixels, 1.9 million edges: one cut equals the price of its sides."""
+    h, w = 376, 1242
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[0:h, 0:w]
+    node, u, v, cap = y * w + x, [], [], []
+    for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1)):
+        ok = (x + dx >= 0) & (x + dx < w) & (y + dy < h)
+        u.append(node[ok])
+        v.append(node[ok] + dy * w + dx)
+        cap.append(np.full(ok.sum(), 2 / np.hypot(dx, dy)))
+    u, v, cap = map(np.concatenate, (u, v, cap))
+    source, sink = (rng.exponential(3.0, h * w) for _ in range(2))
+    flow, side = max_flow(source, sink, u, v, cap, cap)
+    assert flow == pytest.approx(source[side].sum() + sink[~side].sum() + cap[side[u] != side[v]].sum())
 
 
 def image(spark, values, name="a"):
