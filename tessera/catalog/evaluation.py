@@ -76,7 +76,9 @@ def confusion_summary(spark, d):
     return rounded(M.summary(M.class_metrics(M.confusion(A.labelled(spark, d)), 3)), "overall", "average", "waverage")
 
 
-@QUERIES.add()
+@QUERIES.add(CLASSES + """, cells AS (SELECT cls, string_agg(printf('%.2f', CASE WHEN gt_n = 0 THEN 0.0 ELSE 100.0 * coalesce((SELECT sum(n) FROM m WHERE gt = cls AND pred = k), 0) / gt_n END), ' ' ORDER BY k) AS shares FROM metrics, (SELECT unnest([1, 2, 3]) AS k) GROUP BY cls)
+SELECT cls AS line, shares || printf(' recall %.2f iou %.2f', CAST(100 * recall AS DOUBLE), CAST(100 * iou AS DOUBLE)) AS value FROM metrics JOIN cells USING (cls)
+UNION ALL SELECT 4, printf('overall %.2f average %.2f waverage %.2f', 100.0 * sum(ok) / sum(gt_n), CAST(100 * avg(recall) AS DOUBLE), CAST(100 * avg(iou) AS DOUBLE)) FROM metrics""")
 def confusion_report(spark, d):
     return M.report(M.confusion(A.labelled(spark, d)), 3)
 

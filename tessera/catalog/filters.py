@@ -32,6 +32,11 @@ def convolve_x(spark, d):
     return rounded(S.convolve(A.raster(spark, d), GAUSS, "x", W_), "v", digits=6)
 
 
+@QUERIES.add(f"{A.sql('raster')}, {_taps_sql('g', GAUSS)}, {_pass('c', 'raster', 'g', 'x', W_ - 1, 3)} SELECT image_id, x, y, round(v, 6) AS v FROM c WHERE x BETWEEN 20 AND 49 AND y BETWEEN 2 AND 8")
+def convolve_window(spark, d):
+    return rounded(S.convolve_window(A.raster(spark, d), GAUSS, "x", (20, 2, 30, 7), W_), "v", digits=6)
+
+
 @QUERIES.add(f"{A.sql('raster')}, {_taps_sql('g', GAUSS)}, {_pass('c', 'raster', 'g', 'y', H_ - 1, 3)} SELECT image_id, x, y, round(v, 6) AS v FROM c")
 def convolve_y(spark, d):
     return rounded(S.convolve(A.raster(spark, d), GAUSS, "y", H_), "v", digits=6)
@@ -65,9 +70,19 @@ def gaussian_taps(spark, d):
     return df.withColumns({c: F.round(c, 12) + F.lit(0.0) for c in ("gauss", "slope", "curve")})
 
 
-@QUERIES.add()
+def _bank_sql() -> str:
+    """Every one-band filter of the bank as two passes; those of one name are summed."""
+    views, parts = [A.sql("raster")], []
+    for k, (name, band, tx, ty) in enumerate(I.texton_bank(0.5)):
+        if not band:
+            views += [_taps_sql(f"tx{k}", tx), _taps_sql(f"ty{k}", ty), _pass(f"a{k}", "raster", f"tx{k}", "x", W_ - 1, len(tx) // 2), _pass(f"b{k}", f"a{k}", f"ty{k}", "y", H_ - 1, len(ty) // 2)]
+            parts.append(f"SELECT image_id, x, y, '{name}' AS name, v FROM b{k}")
+    return ",\n".join(views) + f" SELECT image_id, x, y, name, round(sum(v), 6) + 0.0 AS response FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 3, 4"
+
+
+@QUERIES.add(_bank_sql())
 def texton_bank(spark, d):
-    return S.texton_responses(A.raster(spark, d), 0.5, (W_, H_))
+    return S.texton_responses(A.raster(spark, d), 0.5, (W_, H_)).withColumn("response", F.round("response", 6) + F.lit(0.0))
 
 
 GRAD = A.sql("raster") + """,

@@ -9,6 +9,7 @@ from tessera.catalog.evaluation import rounded
 from tessera.catalog.registry import Registry
 from tessera.functions import imaging as I
 from tessera.operators import learning as L
+from tessera.sources import models as M
 
 QUERIES = Registry()
 VEC = A.sql("vec") + ", e AS (SELECT vec_id, label, unnest(features) AS f, CAST(generate_subscripts(features, 1) - 1 AS INT) AS dim FROM vec)"
@@ -165,3 +166,42 @@ def gbt_train(spark, d):
     v = A.vectors(spark, d).withColumn("w", F.lit(1.0))
     found = [(k, *t) for k in range(classes(v)) for t in L.importances(L.train_gbt(v.withColumn("label", (F.col("label") == k).cast("int")), weight="w", rounds=3))]
     return spark.createDataFrame(found, "cls int, feature int, importance double")
+
+
+@QUERIES.add()
+def codebook_words(spark, d):
+    """Random starts, z-scores, clusters and the word of every vector."""
+    v = A.vectors(spark, d)
+    return L.Codebook.train(v, 8, rounds=5).words(v)
+
+
+_DIM = "(1 + dim % 3)"
+
+
+@QUERIES.add(VEC + f", s AS (SELECT vec_id, dim, CAST(f AS DOUBLE) AS x FROM e), t AS (SELECT vec_id, {_DIM} * (" + " + ".join(f"{k + 1} * ({m})" for k, m in enumerate(_MAP)) + ") AS v FROM s) SELECT vec_id, cls, round(CAST(sum(v) / 10 AS DOUBLE) * (cls + 1) + 0.5 * cls, 6) + 0.0 AS score FROM t, (SELECT CAST(unnest([0, 1]) AS INT) AS cls) GROUP BY 1, 2")
+def kernel_svm_score(spark, d):
+    """Two fixed models on the kernel maps of all features."""
+    w = [(1 + k // 5 % 3) * (k % 5 + 1) / 10 for k in range(5 * 64)]
+    models = spark.createDataFrame([(c, [x * (c + 1) for x in w], 0.5 * c) for c in range(2)], "cls int, w array<double>, bias double")
+    return L.kernel_svm_scores(A.vectors(spark, d), models, I.chi2).withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@QUERIES.add()
+def kernel_svm_train(spark, d):
+    model = L.train_kernel_svm(A.vectors(spark, d), I.chi2, count=3, epochs=5)
+    return spark.createDataFrame([(k, [float(x) for x in m.coefficients], float(m.intercept)) for k, m in enumerate(model.models)], "cls int, w array<double>, bias double")
+
+
+@QUERIES.add(CENTRES + " SELECT cluster, dim, round(m, 9) AS m FROM c")
+def kmeans_roundtrip(spark, d):
+    """Centres written as a model file and read again."""
+    blob = M.pack_kmeans([(r["cluster"], r["mean"]) for r in centroids(spark, d).collect()])
+    return rounded(M.kmeans(spark, blob).select("cluster", F.posexplode("mean").alias("dim", "m")), "m")
+
+
+@QUERIES.add(CENTRES + " SELECT cluster AS cls, dim, round(m, 9) AS w, CAST(0.25 * cluster AS DOUBLE) AS bias FROM c")
+def linear_roundtrip(spark, d):
+    """Linear models written as a model file and read again."""
+    rows = [(r["cluster"], r["mean"], 0.25 * r["cluster"]) for r in centroids(spark, d).collect()]
+    back = M.linear(spark, M.pack_linear(rows), len(rows))
+    return rounded(back.select("cls", F.posexplode("w").alias("dim", "w"), "bias"), "w")

@@ -11,6 +11,8 @@ from tessera.catalog.registry import Registry
 from tessera.functions import geometry as G
 from tessera.functions import imaging as I
 from tessera.operators import raster as R
+from tessera.sources import binary as B
+from tessera.sources import tables as T
 
 QUERIES = Registry()
 
@@ -66,7 +68,7 @@ def frame_join(spark, d):
     pts = A.points(spark, d)
     calib = pts.select("frame").distinct().withColumn("calib", F.concat(F.lit("calib_"), F.col("frame").cast("string")))
     truth = pts.groupBy("frame").agg(F.count("*").alias("n_points"))
-    joined = pixels(spark, d).join(calib, "frame").join(truth, "frame")
+    joined = T.join_frames(pixels(spark, d), calib, truth)
     return joined.groupBy("frame", "calib", "n_points").agg(F.count("*").alias("n_valid"), F.round(F.avg("refl"), 6).alias("mean_refl"))
 
 
@@ -108,9 +110,17 @@ def scatter_matrix(spark, d):
     return clean_zero(R.scatter(pairs(spark, d)), "sxx", "sxy", "sxz", "syy", "syz", "szz")
 
 
-@QUERIES.add()
+SHAPES = SCATTER.replace("SELECT frame, u, v, n, round", ", s AS (SELECT frame, u, v, n, round") .replace("round(sum(", "(sum(").replace("), 6)", "))") + """),
+q AS (SELECT *, (sxx + syy + szz) / 3 AS q FROM s),
+p AS (SELECT *, sqrt(((sxx - q) * (sxx - q) + (syy - q) * (syy - q) + (szz - q) * (szz - q) + 2 * (sxy * sxy + sxz * sxz + syz * syz)) / 6) AS p,
+ (sxx - q) * ((syy - q) * (szz - q) - syz * syz) - sxy * (sxy * (szz - q) - syz * sxz) + sxz * (sxy * syz - (syy - q) * sxz) AS det FROM q),
+r AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN p = 0 THEN 1.0 ELSE det / 2 / (p * p * p) END)) AS r FROM p)
+SELECT frame, u, v, round(CASE WHEN q = 0 THEN 0.0 ELSE (q + 2 * p * cos(acos(r) / 3)) / (3 * q) END, 6) AS curvature, round(szz, 6) AS height_var, n AS weight FROM r"""
+
+
+@QUERIES.add(SHAPES)
 def shape_features(spark, d):
-    return R.shape_features(R.scatter(pairs(spark, d)))
+    return rounded(R.shape_features(R.scatter(pairs(spark, d))), "curvature", "height_var", digits=6)
 
 
 @QUERIES.add(A.sql("rgb") + " SELECT image_id, x, y, round((r - g) / sqrt(2), 9) AS o1, round((r + g - 2 * b) / sqrt(6), 9) AS o2, round((r + g + b) / sqrt(3), 9) AS o3 FROM rgb")
@@ -151,12 +161,12 @@ def quantize_u8(spark, d):
 
 @QUERIES.add(A.sql("scored") + " SELECT category, event_id, CASE WHEN score > 0.5 THEN 'green' ELSE 'red' END AS colour FROM scored")
 def threshold_color(spark, d):
-    return A.scored(spark, d).select("category", "event_id", F.when(F.col("score") > 0.5, "green").otherwise("red").alias("colour"))
+    return A.scored(spark, d).select("category", "event_id", I.threshold_colour(F.col("score")).alias("colour"))
 
 
 @QUERIES.add(A.sql("rgb") + " SELECT image_id, x, y, CAST(b > 0 AS INT) AS road, CAST(r > 0 AS INT) AS valid FROM rgb")
 def label_binarize(spark, d):
-    return A.rgb(spark, d).select("image_id", "x", "y", (F.col("b") > 0).cast("int").alias("road"), (F.col("r") > 0).cast("int").alias("valid"))
+    return B.ground_truth(A.rgb(spark, d).withColumn("bands", F.array("r", "g", "b"))).select("image_id", "x", "y", "road", "valid")
 
 
 BEV = G.BirdsEye(1.0, (-10.0, 10.0), (6.0, 26.0))

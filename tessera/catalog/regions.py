@@ -121,7 +121,7 @@ def hist_pairwise(spark, d):
 
 @QUERIES.add(A.sql("raster") + " SELECT image_id, min(v) AS lo, max(v) AS hi FROM raster GROUP BY 1")
 def value_range(spark, d):
-    return A.raster(spark, d).groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return R.value_range(A.raster(spark, d))
 
 
 def flat(spark, d):
@@ -159,6 +159,11 @@ def mean_shift(spark, d):
     return R.mean_shift(A.raster(spark, d), 4.0, 100.0)
 
 
+@QUERIES.add()
+def mean_shift_segments(spark, d):
+    return R.mean_shift_segments(A.raster(spark, d), 4.0, 100.0, 4)
+
+
 @QUERIES.add()
 def absorb_small_regions(spark, d):
     found = connected_components(spark, d).withColumnRenamed("seg", "seg_id")

@@ -53,6 +53,11 @@ def confidence(*bands: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - far / len(bands)))
 
 
+def threshold_colour(p: Column, least: float = 0.5) -> Column:
+    """The word for a probability: green past ``least``, red else."""
+    return F.when(p > least, "green").otherwise("red")
+
+
 def to_u8(p: Column, rounding: bool = False) -> Column:
     """A probability as a byte: truncated as array casts do, or rounded and saturated."""
     scaled = p * 255

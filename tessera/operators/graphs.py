@@ -168,7 +168,7 @@ def label_images(
         state, trail = fields.solve(f, sweeps, size)
         return pd.DataFrame({"image_id": key[0], "node": ids[0], "label": state.labels.astype(np.int32), "energy": trail[-1]})
 
-    return unary.select("image_id", "node", "costs").groupBy("image_id").cogroup(terms.groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, label int, energy double")
+    return unary.select("image_id", "node", "costs").groupBy("image_id").cogroup(terms.toDF(*terms.columns).groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, label int, energy double")
 
 
 def label_jointly(objects: DataFrame, sensor: DataFrame, edges: DataFrame, most: float, disparity: float, cross: float, sweeps: int = 4) -> DataFrame:
@@ -183,7 +183,8 @@ def label_jointly(objects: DataFrame, sensor: DataFrame, edges: DataFrame, most:
         return pd.DataFrame({"image_id": key[0], "node": ids, "object": o.astype(np.int32), "sensor": m.astype(np.int32), "energy": trail[-1]})
 
     both = objects.select("image_id", "node", F.col("costs").alias("o")).join(sensor.select("image_id", "node", F.col("costs").alias("m")), ["image_id", "node"])
-    return both.groupBy("image_id").cogroup(edges.select("image_id", "u", "v", "w").groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, object int, sensor int, energy double")
+    links = edges.select("image_id", "u", "v", "w")
+    return both.groupBy("image_id").cogroup(links.toDF(*links.columns).groupBy("image_id")).applyInPandas(one, "image_id string, node bigint, object int, sensor int, energy double")
 
 
 def max_flows(terminals: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,12 +49,27 @@ def unscaled(features: Column, mean: Sequence[float], std: Sequence[float]) -> C
 
 
 def nearest(vectors: DataFrame, centroids: DataFrame, key: str = "vec_id", digits: int | None = 9) -> DataFrame:
-    """(key, cluster, dist): the exact nearest centroid, the lowest number of those that tie. The model is a
-    table of k rows, so every vector meets all of it in one map-side pass."""
-    model = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", "mean"))).alias("_model"))  # one row, k centroids
-    d = lambda c: I.squared_distance(F.col("features"), c["mean"])
-    ranked = F.transform("_model", lambda c: F.struct((F.round(d(c), digits) if digits is not None else d(c)).alias("dist"), c["cluster"].alias("cluster")))
-    return vectors.crossJoin(F.broadcast(model)).select(key, F.array_min(ranked).alias("best")).select(key, "best.cluster", "best.dist")
+    """(key, cluster, dist): the exact nearest centroid, the lowest number of those that tie. The model is a table of k
+    rows, so every vector meets all of it in one map-side pass, many vectors in an array operation."""
+    rows = sorted((r["cluster"], r["mean"]) for r in centroids.select("cluster", "mean").collect())  # k rows
+    names, means = np.array([c for c, _ in rows], np.int32), np.array([m for _, m in rows], float)
+    shared = vectors.sparkSession.sparkContext.broadcast(means)
+
+    def run(batches):
+        means = shared.value
+        step = max(1, (1 << 21) // max(1, means.size))
+        for rb in batches:
+            col = rb.column(1)
+            x = col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rb.num_rows, -1)
+            best, dist = np.zeros(rb.num_rows, np.int64), np.zeros(rb.num_rows)
+            for i in range(0, rb.num_rows, step):
+                d = ((x[i : i + step, None, :] - means[None]) ** 2).sum(axis=2)
+                d = d.round(digits) if digits is not None else d
+                best[i : i + step], dist[i : i + step] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(names[best]), pa.array(dist)], names=[key, "cluster", "dist"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.where("features IS NOT NULL").select(key, F.col("features").cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, cluster int, dist double")
 
 
 def cluster_means(vectors: DataFrame, assigned: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -73,12 +93,58 @@ def kmeans(vectors: DataFrame, first: DataFrame, change: float = 0.01, rounds: i
     return centroids
 
 
-def kmeans_mllib(vectors: DataFrame, k: int, seed: int = 0):
-    """The library's k-means, for production sizes."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def first_centroids(vectors: DataFrame, k: int, seed: int = 0, key: str = "vec_id") -> DataFrame:
+    """(cluster, mean): k random rows, with replacement, each the row of the least hash of its own; one pass."""
+    picks = vectors.agg(*(F.min_by("features", F.struct(F.xxhash64(key, F.lit(seed), F.lit(c)), F.col(key))).alias(f"c{c}") for c in range(k)))
+    return picks.select(F.posexplode(F.array(*(f"c{c}" for c in range(k)))).alias("cluster", "mean"))
+
+
+@dataclass
+class Codebook:
+    """Centres of a feature's vectors, and the scaler that they live behind: trained once, then every vector gets the
+    number of its nearest centre as its word."""
+
+    mean: list[float]
+    std: list[float]
+    centroids: DataFrame
+
+    @classmethod
+    def train(cls, vectors: DataFrame, k: int, seed: int = 0, key: str = "vec_id", normalise: bool = True, rounds: int = 20) -> Codebook:
+        mean, std = scaler_arrays(scaler(vectors)) if normalise else ([], [])
+        z = vectors.withColumn("features", scaled(F.col("features"), mean, std)) if normalise else vectors
+        return cls(mean, std, kmeans(z, first_centroids(z, k, seed, key), rounds=rounds, key=key))
+
+    def words(self, vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+        """(key, word) of every vector."""
+        z = vectors.withColumn("features", scaled(F.col("features"), self.mean, self.std)) if self.mean else vectors
+        return nearest(z, self.centroids, key).select(key, F.col("cluster").alias("word"))
+
+    def save(self, path: str) -> None:
+        spark = self.centroids.sparkSession
+        self.centroids.write.parquet(f"{path}/centroids")
+        spark.createDataFrame([(self.mean, self.std)], "mean array<double>, std array<double>").coalesce(1).write.parquet(f"{path}/scaler")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Codebook:
+        scale = spark.read.parquet(f"{path}/scaler").first()
+        return cls(list(scale["mean"]), list(scale["std"]), spark.read.parquet(f"{path}/centroids"))
+
+
+class Feature(ABC):
+    """A dense feature: what a subclass computes per pixel becomes a word per pixel."""
+
+    #: Words of the codebook.
+    buckets: int = 50
+
+    @abstractmethod
+    def evaluate(self, pixels: DataFrame) -> DataFrame:
+        """(vec_id, features) of pixels."""
 
-    return KMeans(k=k, seed=seed, featuresCol="_v").fit(vectors.withColumn("_v", array_to_vector("features")))
+    def train(self, pixels: DataFrame, seed: int = 0) -> Codebook:
+        return Codebook.train(stored(self.evaluate(pixels), "feature"), self.buckets, seed)
+
+    def discretize(self, pixels: DataFrame, book: Codebook) -> DataFrame:
+        return book.words(self.evaluate(pixels))
 
 
 # --- joint boosting -----------------------------------------------------------------------------------
@@ -141,19 +207,76 @@ def best_stump(sums: list[dict], classes: int) -> dict | None:
     return best
 
 
+#: Rounds after which the examples' margins are stored anew; in between they follow from the latest stumps.
+STORE_ROUNDS = 25
+
+
+def _answers(x: np.ndarray, stumps: Sequence[dict], classes: int) -> np.ndarray:
+    """Sums of stump answers, rows by classes."""
+    out = np.zeros((len(x), classes))
+    for s in stumps:
+        shares = np.array([s["sharing_mask"] >> c & 1 for c in range(classes)], bool)
+        alone = np.array([s["k"].get(c, 0.0) for c in range(classes)])
+        high = np.where(x[:, s["feature"]] >= s["theta"], s["a"] + s["b"], s["b"])
+        out += np.where(shares, high[:, None], alone)
+    return out
+
+
+def boost_round(data: DataFrame, thresholds: Sequence[float], latest: Sequence[dict], classes: int) -> tuple[list[dict], DataFrame]:
+    """(sums of a round as in boost_sums, data with margins up to date). ``data`` (id, features, target, margin): one
+    row an example; a task sends one histogram of features, bins and classes."""
+    t = np.sort(np.array(thresholds, float))
+
+    def read(rb):
+        x = rb.column("features").flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, -1)
+        margin = rb.column("margin").flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, classes) + _answers(x, latest, classes)
+        z = np.where(rb.column("target").to_numpy(zero_copy_only=False)[:, None] == np.arange(classes), 1.0, -1.0)
+        return x, margin, z
+
+    def count(batches):
+        total = None
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            x, margin, z = read(rb)
+            w = np.exp(-z * margin)
+            bins = np.searchsorted(t, x, "right") + np.arange(x.shape[1]) * (len(t) + 1)
+            size = x.shape[1] * (len(t) + 1)
+            part = np.stack([np.stack([np.bincount(bins.ravel(), np.repeat(v[:, c], x.shape[1]), size) for c in range(classes)], axis=1) for v in (w, w * z)])
+            total = part if total is None else total + part
+        if total is not None:
+            cell = np.arange(total[0].size)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[0].ravel()), pa.array(total[1].ravel())], names=["cell", "w", "wz"])
+
+    def refresh(batches):
+        for rb in batches:
+            _, margin, _ = read(rb)
+            off = pa.array(np.arange(rb.num_rows + 1, dtype=np.int32) * classes)
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("features"), rb.column("target"), pa.ListArray.from_arrays(off, pa.array(margin.ravel()))], names=["id", "features", "target", "margin"])
+
+    rows = data.mapInArrow(count, "cell bigint, w double, wz double").groupBy("cell").agg(F.sum("w").alias("w"), F.sum("wz").alias("wz")).orderBy("cell").collect()
+    h = np.array([(r["w"], r["wz"]) for r in rows]).reshape(-1, len(t) + 1, classes, 2)
+    over = h[:, ::-1].cumsum(axis=1)[:, ::-1]
+    over = over.tolist()
+    sums = [{"feature": f, "t": float(t[k]), "cls": c, "p": over[f][0][c][0], "q": over[f][k + 1][c][0], "r": over[f][0][c][1], "u": over[f][k + 1][c][1]} for f in range(len(h)) for k in range(len(t)) for c in range(classes)]
+    return sums, data.mapInArrow(refresh, data.schema)
+
+
 def train_boosting(rows: DataFrame, classes: int, thresholds: Sequence[float], rounds: int) -> list[dict]:
     """Joint boosting of shared stumps over (id, target, features array). Each round is one distributed aggregation
     and a choice among its few sums on the driver."""
-    cls = F.explode(F.array(*(F.lit(c) for c in range(classes)))).alias("cls")
-    data = stored(rows.select("id", "features", "target", cls).withColumn("w", F.lit(1.0)).withColumn("z", F.when(F.col("target") == F.col("cls"), 1.0).otherwise(-1.0)), "boost")
+    zero = F.array_repeat(F.lit(0.0), classes)
+    data = stored(rows.select("id", F.col("features").cast("array<double>"), F.col("target").cast("int"), zero.alias("margin")), "boost")
     model: list[dict] = []
+    held = 0  # stumps that the stored margins know
     for _ in range(rounds):
-        long = data.select("cls", "w", "z", F.posexplode("features").alias("feature", "f"))
-        best = best_stump([r.asDict() for r in boost_sums(long, thresholds, keys=("feature", "cls")).collect()], classes)
+        sums, fresh = boost_round(data, thresholds, model[held:], classes)
+        best = best_stump(sums, classes)
         if best is None:
             break
+        if len(model) - held >= STORE_ROUNDS:
+            data, held = stored(fresh, "boost"), len(model)
         model.append(best)
-        data = stored(data.withColumn("w", F.col("w") * F.exp(-F.col("z") * stump_value(best, F.col("features")))), "boost")
     return model
 
 
@@ -244,14 +367,47 @@ def train_forest(rows: DataFrame, label: str = "label", trees: int = 10, depth:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, impurity="entropy", seed=seed).fit(data)
 
 
-def train_gbt(rows: DataFrame, label: str = "label", weight: str | None = None, rounds: int = 20, rate: float = 0.05, bagging: float = 0.8, seed: int = 0):
-    """Gradient-boosted trees for a binary label, with example weights."""
+def mapped(features: Column, spectrum, count: int, period: float) -> Column:
+    """Every feature as its approximate kernel map, one after the other."""
+    return F.flatten(F.transform(features, lambda f: I.kernel_map(f, spectrum, count, period)))
+
+
+def train_kernel_svm(rows: DataFrame, spectrum, count: int = 5, period: float = 0.5, label: str = "label", regularisation: float = 0.01, epochs: int = 20):
+    """One-versus-rest linear machines on kernel maps (an additive kernel machine)."""
+    return train_linear(rows.withColumn("features", mapped(F.col("features"), spectrum, count, period)), label, regularisation, epochs)
+
+
+def kernel_svm_scores(vectors: DataFrame, models: DataFrame, spectrum, count: int = 5, period: float = 0.5, key: str = "vec_id") -> DataFrame:
+    """(key, cls, score) of a model table (cls, w array, bias) whose weights belong to kernel maps."""
+    return linear_scores(vectors.withColumn("features", mapped(F.col("features"), spectrum, count, period)), models, key)
+
+
+def train_gbt(rows: DataFrame, label: str = "label", weight: str | None = None, rounds: int = 20, rate: float = 0.05, bagging: float = 0.8, seed: int = 0, leaves: int = 31, feature_fraction: float = 1.0, patience: int | None = None):
+    """Gradient-boosted trees for a binary label, with example weights. Trees are as deep as ``leaves`` leaves need
+    when grown level by level. With ``patience`` the model ends where the loss over the training rows had not fallen
+    for so many rounds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     data = rows.select(array_to_vector("features").alias("features"), F.col(label).cast("double").alias("label"), *([F.col(weight).alias("weight")] if weight else []))
-    gbt = GBTClassifier(maxIter=rounds, stepSize=rate, subsamplingRate=bagging, seed=seed)
-    return (gbt.setWeightCol("weight") if weight else gbt).fit(data)
+    gbt = GBTClassifier(maxIter=rounds, stepSize=rate, subsamplingRate=bagging, seed=seed, maxDepth=max(1, math.ceil(math.log2(leaves))), featureSubsetStrategy="all" if feature_fraction >= 1 else str(feature_fraction))
+    gbt = gbt.setWeightCol("weight") if weight else gbt
+    model = gbt.fit(data)
+    if patience is None:
+        return model
+    best = enough(model.evaluateEachIteration(data), patience)
+    return model if best == model.getNumTrees else gbt.setMaxIter(best).fit(data)  # the same seed grows the same first trees
+
+
+def enough(losses: Sequence[float], patience: int) -> int:
+    """Rounds until the least loss that is followed by ``patience`` rounds without a lower one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
 
 
 def importances(model) -> list[tuple[int, float]]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.graphs import eight_neighbours
 from tessera.storage import stored
 
 SEG = ["image_id", "seg_id"]
@@ -38,6 +39,11 @@ def adjacency(members: DataFrame) -> DataFrame:
     return one.union(one.select("image_id", F.col("b"), F.col("a"))).distinct()
 
 
+def value_range(pixels: DataFrame, value: str = "v") -> DataFrame:
+    """(image_id, lo, hi)."""
+    return pixels.groupBy("image_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
 def boundary_length(members: DataFrame, width: int, height: int) -> DataFrame:
     """(image_id, lo, hi, length) of touching segments; the last row and column are not counted from."""
     inner = shifted_pairs(members).where(f"x < {width - 1} AND y < {height - 1} AND a <> b")
@@ -184,26 +190,46 @@ def grid_superpixels(pixels: DataFrame, distance: int, ratio: float, iterations:
 # --- mean shift ----------------------------------------------------------------------------------------
 
 
+#: Decimals of a position, so that the order of a sum decides nothing; candidates held at once while modes are sought.
+DIGITS = 12
+SHIFT_CELLS = 1 << 20
+
+
 def shift_modes(xy: np.ndarray, values: np.ndarray, space: float, colour: float, limit: int = 100, still: float = 0.01) -> np.ndarray:
-    """Mode of every pixel under a flat kernel in joint space; lightness over 80 counts four times."""
+    """Mode of every pixel under a flat kernel in joint space; lightness over 80 counts four times. All pixels move
+    together, each over the pixels of the square around where it is."""
     points = np.concatenate([xy / space, values / colour], axis=1)
-    dims, out = xy.shape[1], np.empty_like(values)
-    for k in range(len(points)):
-        at = points[k].copy()
-        for _ in range(limit):
-            diff = points[:, dims:] - at[dims:]
-            weight = np.where(points[:, dims] * colour > 80, 4.0, 1.0)
-            far = weight * diff[:, 0] ** 2 + (diff[:, 1:] ** 2).sum(axis=1)
-            near = (((points[:, :dims] - at[:dims]) ** 2).sum(axis=1) < 1) & (far < 1)
-            if not near.any():
-                break
-            new = points[near].mean(axis=0)
-            moved = ((new - at) ** 2).sum()
-            at = new
-            if moved < still:
-                break
-        out[k] = at[dims:] * colour
-    return out
+    cell = xy.astype(np.int64)
+    low, size = (cell.min(axis=0), np.ptp(cell, axis=0) + 1) if len(cell) else (np.zeros(2, np.int64), np.zeros(2, np.int64))
+    where = np.full(tuple(size[::-1]) if len(cell) else (0, 0), -1, np.int64)
+    where[cell[:, 1] - low[1], cell[:, 0] - low[0]] = np.arange(len(cell))
+    reach = int(np.ceil(space))
+    dy, dx = (g.ravel() for g in np.mgrid[-reach : reach + 2, -reach : reach + 2])
+    heavy = np.where(points[:, 2] * colour > 80, 4.0, 1.0)
+    at, moving = points.copy(), np.arange(len(points))
+    step = max(1, SHIFT_CELLS // len(dx))
+    for _ in range(limit):
+        going = []
+        for i in range(0, len(moving), step):
+            who = moving[i : i + step]
+            base = np.floor(at[who, :2] * space).astype(np.int64) - low
+            x, y = base[:, :1] + dx, base[:, 1:] + dy
+            inside = (x >= 0) & (y >= 0) & (x < size[0]) & (y < size[1])
+            other = np.where(inside, where[np.where(inside, y, 0), np.where(inside, x, 0)], -1)
+            near = other >= 0
+            p = points[np.maximum(other, 0)]
+            d = p - at[who][:, None]
+            far = heavy[np.maximum(other, 0)] * d[..., 2] ** 2 + (d[..., 3:] ** 2).sum(axis=2)
+            near &= ((d[..., :2] ** 2).sum(axis=2) < 1) & (far < 1)
+            n = near.sum(axis=1)
+            new = np.where(n[:, None] > 0, ((p * near[..., None]).sum(axis=1) / np.maximum(n, 1)[:, None]).round(DIGITS), at[who])
+            moved = ((new - at[who]) ** 2).sum(axis=1)
+            at[who] = new
+            going.append(who[(n > 0) & (moved >= still)])
+        moving = np.concatenate(going) if going else moving[:0]
+        if not len(moving):
+            break
+    return at[:, 2:] * colour
 
 
 def mean_shift(pixels: DataFrame, space: float, colour: float, bands: list[str] | None = None) -> DataFrame:
@@ -234,3 +260,40 @@ def absorb_small(members: DataFrame, least: int, value: str = "v") -> DataFrame:
         if best.isEmpty():
             return current
         current = stored(current.join(best, SEG, "left").withColumn("seg_id", F.coalesce("to.b", "seg_id")).drop("to"), "regions")
+
+
+def flood_modes(modes: DataFrame, bands: list[str], gap: float = 1.0) -> DataFrame:
+    """Flood of eight-neighbours whose modes differ by less than ``gap`` in every band: (image_id, x, y, seg_id)."""
+    node = lambda x, y: F.col(y).cast("bigint") * (1 << 24) + F.col(x)
+    alike = F.lit(True)
+    for b in bands:
+        alike &= F.abs(F.col(b) - F.col(f"n_{b}")) < gap
+    links = eight_neighbours(modes, *bands).where(alike).select("image_id", node("x", "y").alias("a"), node("nx", "ny").alias("b"))
+    px = modes.select("image_id", "x", "y", node("x", "y").alias("node"))
+    return connected_components(px.select("image_id", "node"), links).join(px, ["image_id", "node"]).select("image_id", "x", "y", F.col("root").alias("seg_id"))
+
+
+def merge_alike(members: DataFrame, modes: DataFrame, bands: list[str], colour: float, least: float = 0.25) -> DataFrame:
+    """Touching segments whose mean modes lie within a scaled squared distance of ``least`` become one, and those
+    with what they touch in turn (one pass over the means as they were). Lightness over 80 counts four times."""
+    means = members.join(modes, ["image_id", "x", "y"]).groupBy(*SEG).agg(*(F.avg(b).alias(b) for b in bands))
+    a = means.select("image_id", F.col("seg_id").alias("a"), *(F.col(b).alias(f"a_{b}") for b in bands))
+    b = means.select("image_id", F.col("seg_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in bands))
+    pairs = adjacency(members).where("a < b").join(a, ["image_id", "a"]).join(b, ["image_id", "b"])
+    square = lambda c: ((F.col(f"a_{c}") - F.col(f"b_{c}")) / colour) ** 2
+    far = F.when(F.col(f"a_{bands[0]}") > 80, 4.0).otherwise(1.0) * square(bands[0])
+    for c in bands[1:]:
+        far = far + square(c)
+    links = pairs.where(far < least).select("image_id", "a", "b")
+    nodes = means.select("image_id", F.col("seg_id").alias("node"))
+    roots = connected_components(nodes, links).select("image_id", F.col("node").alias("seg_id"), "root")
+    return members.join(roots, SEG).select("image_id", "x", "y", F.col("root").alias("seg_id"))
+
+
+def mean_shift_segments(pixels: DataFrame, space: float, colour: float, least: int, bands: list[str] | None = None) -> DataFrame:
+    """(image_id, x, y, seg_id): modes, their flood, one merge of alike neighbours, and no segment under ``least`` pixels
+    beside a larger one."""
+    bands = bands or ["v"]
+    modes = stored(mean_shift(pixels, space, colour, bands), "modes")
+    merged = merge_alike(stored(flood_modes(modes, bands), "flooded"), modes, bands, colour)
+    return absorb_small(merged.join(modes, ["image_id", "x", "y"]), least, bands[0]).select("image_id", "x", "y", "seg_id")

@@ -43,6 +43,15 @@ def convolve(pixels: DataFrame, taps: Sequence[float], axis: str, size: int | No
     return at.select(*keys, "x", "y", out.alias(value))
 
 
+def convolve_window(pixels: DataFrame, taps: Sequence[float], axis: str, window: tuple[int, int, int, int], size: int | None = None, value: str = "v", legacy_edge: bool = True) -> DataFrame:
+    """Convolution of the pixels in a rectangle (x, y, width, height) of each image, by what lies around it in the whole
+    image; rows that it does not cross are not read."""
+    x, y, w, h = window
+    across, along = (("y", y, h), ("x", x, w)) if axis == "x" else (("x", x, w), ("y", y, h))
+    inside = lambda side: F.col(side[0]).between(side[1], side[1] + side[2] - 1)
+    return convolve(pixels.where(inside(across)), taps, axis, size, value, legacy_edge).where(inside(along))
+
+
 def separable(pixels: DataFrame, taps_x: Sequence[float], taps_y: Sequence[float], size: tuple[int, int] | None = None, value: str = "v", legacy_edge: bool = True) -> DataFrame:
     """x first, then y."""
     w, h = size or (None, None)

@@ -58,15 +58,14 @@ class LabelPlan:
     factor: float = 2.0
     beta: float = 1000.0
     sweeps: int = 4
-    width: int = 1242
 
     def unary(self, scored: DataFrame, lidar: DataFrame) -> DataFrame:
         """(image_id, x, y, cls, cost): fused where a range point exists."""
         return costs.fuse_pixels(scored, lidar, KEY)
 
     def solve(self, pixels: DataFrame, unary: DataFrame) -> DataFrame:
-        """(image_id, node, label, energy); node is y * width + x."""
-        node = lambda x, y: F.col(y).cast("bigint") * self.width + F.col(x)
+        """(image_id, node, label, energy); node is y * 2**24 + x, however wide the image."""
+        node = lambda x, y: F.col(y).cast("bigint") * (1 << 24) + F.col(x)
         nodes = unary.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "cost"))), lambda c: c["cost"]).alias("costs")).select("image_id", node("x", "y").alias("node"), "costs")
         weight = graphs.contrast_weight(self.bands, self.weights, self.prior, self.factor, self.beta)
         edges = graphs.eight_neighbours(pixels, *self.bands).select("image_id", node("x", "y").alias("u"), node("nx", "ny").alias("v"), weight.alias("w"))

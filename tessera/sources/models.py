@@ -47,3 +47,26 @@ def kmeans(spark: SparkSession, blob: bytes) -> DataFrame:
     k, bands = struct.unpack("<2i", blob[:8])
     v = np.frombuffer(blob, "<f8", k * bands, 8).reshape(k, bands)
     return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], CENTROIDS)
+
+
+def pack_linear(models: list[tuple[int, list[float], float]]) -> bytes:
+    """Rows (cls, w, bias) of linear models as a file."""
+    rows = sorted(models)
+    return struct.pack("<i", len(rows[0][1])) + np.array([w for _, w, _ in rows], "<f8").tobytes() + np.array([b for *_, b in rows], "<f8").tobytes()
+
+
+def pack_forest(nodes: list[tuple], leaves: list[tuple], theta: str = "<f8") -> bytes:
+    """Rows of the node and leaf tables of complete trees as a file."""
+    trees = 1 + max(n[0] for n in nodes)
+    out = struct.pack("<i", trees)
+    for t in range(trees):
+        inner = sorted(n for n in nodes if n[0] == t)
+        probs = sorted(x for x in leaves if x[0] == t)
+        out += np.array([p for *_, p in probs], "<f8").tobytes() + np.array([x for *_, x in inner], theta).tobytes() + np.array([f for _, _, f, _ in inner], "<i4").tobytes()
+    return out
+
+
+def pack_kmeans(centroids: list[tuple[int, list[float]]]) -> bytes:
+    """Rows (cluster, mean) as a file; the search tree and scaler that may follow are not written."""
+    means = np.array([m for _, m in sorted(centroids)], "<f8")
+    return struct.pack("<2i", *means.shape) + means.tobytes()

@@ -59,6 +59,14 @@ def frame_key(name: Column) -> Column:
     return F.concat_ws("_", category, number)
 
 
+def join_frames(scan: DataFrame, *others: DataFrame, key: str = "frame") -> DataFrame:
+    """What belongs to the same frame: a scan's pixels with its calibration, truth and so on; frames that any of them
+    lacks are left out."""
+    for other in others:
+        scan = scan.join(other, key)
+    return scan
+
+
 def decode_labels(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """Colours to labels by a palette (r, g, b, label); colours outside it are void (0)."""
     return pixels.join(palette, ["r", "g", "b"], "left").withColumn("label", F.coalesce("label", F.lit(0)))

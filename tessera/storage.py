@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ CONF = "spark.checkpoint.dir"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; a temporary one where a local session names none."""
     root = spark.conf.get(CONF, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"executors share no folder: set {CONF}")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set(CONF, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

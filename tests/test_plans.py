@@ -26,7 +26,7 @@ def test_labelling(spark, small):
     px = A.rgb(spark, small).where("x < 8")
     scored = px.withColumn("scores", F.array(F.col("r") / 64.0, F.col("g") / 64.0))
     lidar = px.where("x % 2 = 0").select("image_id", "x", "y", (F.col("b") / 256.0).alias("p"))
-    plan = plans.LabelPlan(width=50)
+    plan = plans.LabelPlan()
     out = plan.solve(px, plan.unary(scored, lidar))
     assert out.count() == px.count() and {r.label for r in out.collect()} <= {0, 1}
 
