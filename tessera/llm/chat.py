@@ -94,7 +94,9 @@ def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     spans [start, end) in code points of assistant texts, as they stand in ``formatted``."""
     texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escaped_role(F.col("role")).alias("shown"), escaped(F.col("text")).alias("text"))
     turn = F.struct("depth", "node", "role", "shown", "text")
-    grouped = paths(nodes, branches).join(texts, ["tree", "node"]).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chosen, _ = keep(paths(nodes, branches), "reply-paths")
+    chosen = F.broadcast(chosen) if chosen.count() <= FEW else chosen  # numbers only: the texts stay where they are
+    grouped = texts.join(chosen, ["tree", "node"]).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), t["shown"], F.lit(": "))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
 
