@@ -6,7 +6,9 @@ partitioned by document, so neither building nor searching shuffles, a frequent
 list in every segment, and a lost executor costs only its own segments. ``search`` reads the index
 once: each segment meets the benchmark's blocks, of bounded size, one after the other; each phrase's
 posting lists are taken from the rarest term on, shifted by the term's offset in the phrase and
-intersected. A worker holds one segment and one block at a time.
+intersected. A worker holds one segment and one block at a time. The same lists, from the rarest on,
+give the proximity matches: the smallest intervals of a document that hold all words of a window, in
+any order, and are no more than ``SLOP`` words longer than it.
 
 Defined results: null or wordless text has no words and no hits; an empty corpus gives no rows; an
 empty benchmark leaves every document clean; repeated rows are answered once each; null item ids
@@ -29,7 +31,7 @@ from tessera.llm.shared import keep, row_key, table, without
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 2 << 20
 WINDOW = 10
-#: Words besides those of the window that a proximity match may hold on either side.
+#: Words besides those of the window that a proximity match may hold.
 SLOP = 2
 
 SEGMENT_SCHEMA = "ids array<bigint>, first array<int>, terms binary, checks binary, counts binary, gaps binary"
@@ -149,23 +151,34 @@ def has(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_list[at] == x if len(sorted_list) else np.zeros(len(x), bool)
 
 
-def near(lists: list[np.ndarray], reach: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the positions of the first list that have a position of every other list within
-    ``reach`` words in the same document; the interval spans the nearest ones."""
+def near(lists: list[np.ndarray], most: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the smallest intervals of at most ``most`` words of a document that hold a position of
+    every list; the rarest list comes first."""
+    none = np.zeros(0, np.int64)
     p = lists[0]
     doc = np.searchsorted(first, p, "right") - 1
-    s, e = p, p
-    for q in lists[1:]:
+    for q in lists[1:]:  # a match lies around a position of the rarest word that has all others near it
+        if not len(p):
+            return none, none, none
         at = np.searchsorted(q, p, "right")
         left, right = q[np.maximum(at - 1, 0)], q[np.minimum(at, len(q) - 1)]
-        before = (at > 0) & (left >= np.maximum(p - reach, first[doc]))
-        after = (at < len(q)) & (right <= np.minimum(p + reach, first[doc + 1] - 1))
-        x = np.where(before & (~after | (p - left <= right - p)), left, right)
-        ok = before | after
-        p, doc, s, e = p[ok], doc[ok], np.minimum(s, x)[ok], np.maximum(e, x)[ok]
-        if not len(p):
-            break
-    return doc, s, e + 1
+        ok = ((at > 0) & (left > p - most) & (left >= first[doc])) | ((at < len(q)) & (right < p + most) & (right < first[doc + 1]))
+        p, doc = p[ok], doc[ok]
+    if not len(p):
+        return none, none, none
+    low, high = np.maximum(p - most + 1, first[doc]), np.minimum(p + most, first[doc + 1])
+    ends = np.unique(np.concatenate([q[vec.gather(np.searchsorted(q, low), np.searchsorted(q, high))] for q in lists]))
+    # for every place where an interval may end: the latest position of each word up to there
+    home, begin = np.searchsorted(first, ends, "right") - 1, ends.copy()
+    whole = np.ones(len(ends), bool)
+    for q in lists:
+        at = np.searchsorted(q, ends, "right") - 1
+        whole &= at >= 0
+        begin = np.minimum(begin, q[np.maximum(at, 0)])
+    whole &= (begin >= first[home]) & (ends - begin < most)
+    begin, ends, home = begin[whole], ends[whole], home[whole]
+    smallest = np.concatenate([[True], begin[1:] != begin[:-1]]) if len(begin) else np.zeros(0, bool)  # a start's first end
+    return home[smallest], begin[smallest], ends[smallest] + 1
 
 
 def match(q: Phrases, terms, checks, counts, pos, first, slop: int | None):
@@ -182,7 +195,7 @@ def match(q: Phrases, terms, checks, counts, pos, first, slop: int | None):
         order = np.argsort(per[w, :n], kind="stable")
         lists = [pos[begin[k] : begin[k + 1]] for k in at[q.windows[w, order]]]
         if slop is not None:
-            found = near(lists, n - 1 + slop, first)
+            found = near([lists[k] for k in range(n) if q.windows[w, order[k]] not in q.windows[w, order[:k]]], n + slop, first)
             close.append(np.stack([np.full(len(found[0]), w), *found], axis=1))
         cand = lists[0] - order[0]
         for off, p in zip(order[1:], lists[1:], strict=True):
@@ -284,9 +297,9 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str):
 def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """One row per indexed document: hit intervals in words, item ids, and proximity matches.
 
-    ``near`` (with ``slop``): the distinct (item, start, end) where all words of a window lie within
-    ``window - 1 + slop`` words of its rarest one, in any order, in one document; a word that the
-    window has twice is asked for once. ``n_near``: the distinct intervals.
+    ``near`` (with ``slop``): the distinct (item, start, end) of the smallest intervals of a document that hold all
+    words of a window, in any order, within ``slop`` words more than the window has (a word that the window has twice
+    is asked for once). ``n_near``: the distinct intervals.
     """
     sc = index.sparkSession.sparkContext
     shared = [sc.broadcast(phrases(rows, window)) for rows in blocks(benchmark, item_col, text_col)]
@@ -303,11 +316,12 @@ def covered() -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
     """Per document: words, words inside matched windows, matched items, verdict; with ``slop`` also the number of
-    proximity matches and their (item, start, end), in words."""
+    proximity matches and, in ``near``, their item:start:end, in words."""
     hits = search(build_index(docs, id_col, text_col), benchmark, window=window, slop=slop)
     items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     n_hit = covered()
-    return hits.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *([] if slop is None else ["n_near", F.array_sort("near").alias("near")]))
+    spelled = F.array_join(F.transform(F.array_sort("near"), lambda x: F.concat_ws(":", F.coalesce(x["item"].cast("string"), F.lit("")), x["start"], x["end"])), ",")
+    return hits.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *([] if slop is None else ["n_near", spelled.alias("near")]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,11 +332,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10's rows with the proximity matches; SQL gives op10 its columns."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
 
 
@@ -337,6 +346,18 @@ dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS t FROM (
   SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT DISTINCT doc_id, item_id, dw.n, k FROM dw JOIN win ON dw.n = win.n AND dw.t = win.t),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
-who AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN who USING (doc_id)"""
+who AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1),
+-- proximity: windows all of whose words a document has, then the smallest intervals around each place where one may end
+winno AS (SELECT row_number() OVER () AS win, item_id, n, t FROM win),
+ww AS (SELECT DISTINCT win, n, unnest(string_split(t, ' ')) AS word FROM winno),
+need AS (SELECT win, n, count(*) AS k FROM ww GROUP BY 1, 2),
+place AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) - 1 AS p FROM d),
+known AS (SELECT * FROM place WHERE word IN (SELECT word FROM ww)),
+cand AS (SELECT doc_id, win FROM (SELECT DISTINCT doc_id, word FROM known) JOIN ww USING (word) JOIN need USING (win) GROUP BY 1, 2 HAVING count(*) = any_value(k)),
+spot AS (SELECT b.doc_id, b.win, ww.n, ww.word, p FROM cand b JOIN ww ON ww.win = b.win JOIN known k ON k.doc_id = b.doc_id AND k.word = ww.word),
+latest AS (SELECT e.doc_id, e.win, e.n, e.p AS e, s.word, max(s.p) AS p FROM spot e JOIN spot s ON s.doc_id = e.doc_id AND s.win = e.win AND s.p <= e.p AND s.p > e.p - e.n - {SLOP} GROUP BY 1, 2, 3, 4, 5),
+span AS (SELECT doc_id, win, e, min(p) AS s FROM latest JOIN need USING (win) GROUP BY 1, 2, 3 HAVING count(*) = any_value(k)),
+small AS (SELECT DISTINCT doc_id, item_id, s, e + 1 AS e FROM (SELECT doc_id, win, s, min(e) AS e FROM span GROUP BY 1, 2, 3) JOIN winno USING (win)),
+prox AS (SELECT doc_id, count(DISTINCT (s, e)) AS n_near, string_agg(item_id || ':' || s || ':' || e, ',' ORDER BY item_id, s, e) AS near FROM small GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near, '') AS near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN who USING (doc_id) LEFT JOIN prox USING (doc_id)"""

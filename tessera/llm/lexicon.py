@@ -3,14 +3,14 @@
 Built from sorted words in one pass; states with equal futures are one state, so suffixes are
 shared. Each edge carries how many words come before those through it, so the sum along a word's
 path is its number, and the ids sit in one table by that number. The whole thing is one flat file
-that readers memory-map; lookups walk many words at once.
+that readers memory-map (a file in memory: nothing is written to a local folder); lookups walk many words
+at once.
 """
 
 from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 
 import numpy as np
 
@@ -63,11 +63,14 @@ class Lexicon:
     """A memory-mapped automaton."""
 
     def __init__(self, flat: bytes):
-        with tempfile.NamedTemporaryFile(prefix="lexicon-", delete=False) as f:  # this process's own disk
-            f.write(flat)
-            f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        os.unlink(f.name)  # the mapping keeps the pages; nothing is left behind
+        if hasattr(os, "memfd_create"):
+            with os.fdopen(os.memfd_create("lexicon"), "wb") as f:
+                f.write(flat)
+                f.flush()
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            self.map = mmap.mmap(-1, len(flat))
+            self.map.write(flat)
         head = np.frombuffer(self.map, np.int64, 7)
         self.root, at = int(head[0]), 56
         arrays = []

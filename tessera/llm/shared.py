@@ -6,6 +6,8 @@ committed Parquet writer, so it survives a lost executor and needs no local disk
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import re
 import tempfile
 import uuid
@@ -32,8 +34,26 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
 
 
+#: Paths given out and not deleted yet.
+_GIVEN: dict[str, None] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN[path] = None
+    return path
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Deletes, at its end, what was put into the shared folder meanwhile, but for the paths it has been told to keep
+    (it gives the function that does so). For work whose result has been written by then."""
+    before, kept = set(_GIVEN), set()
+    try:
+        yield kept.add
+    finally:
+        for path in [p for p in _GIVEN if p not in before and p not in kept]:
+            drop_path(spark, path)
 
 
 def clear(spark: SparkSession) -> None:
@@ -44,6 +64,7 @@ def clear(spark: SparkSession) -> None:
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate that nothing reads any more."""
     jvm = spark.sparkContext._jvm
+    _GIVEN.pop(path, None)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -95,5 +116,7 @@ def row_key(id_col: str, text: str) -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is not in column ``row`` of ``gone``."""
-    keys, _ = keep(gone.select(F.col("row").alias("_gone_row")).distinct(), "dropped-rows")
-    return docs.join(small_ids(keys), key == F.col("_gone_row"), "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_gone_{k}" for k in itertools.count()) if n not in taken)
+    keys, _ = keep(gone.select(F.col("row").alias(name)).distinct(), "dropped-rows")
+    return docs.join(small_ids(keys), key == F.col(name), "left_anti")
