@@ -5,6 +5,13 @@ again as the next stage's docs. All stages but the last return the columns they
 quality classifier drops documents that it rejects, exact and near deduplication keep one document
 of each group (the largest and the smallest doc_id), decontamination drops documents that hold a
 benchmark passage. The last stage encodes what is left and decodes it again.
+
+Defined results: rows are dropped by id and text together, so a decision takes effect on the rows it was made for
+even where ids are null or repeated; rows that share both are one document. Null and empty texts have no quality and
+go in the first stage; without any label of trusted text it keeps every document with text. Texts of any length
+are taken whole. Equal texts keep the largest id, near copies the smallest; rows without an id are no near
+copies of any. Extra columns are kept as they are; an empty table passes through all stages and gives no rows.
+``run`` deletes each stage's intermediates once its output is written.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontam, exact_dedup, quality, simhash
-from tessera.llm.shared import new_path, table
+from tessera.llm.shared import drop_path, new_path, swept, table
 
 #: The stages read whole texts and learn from the corpus itself; SQL cannot express them.
 ORACLE_SQL = None
@@ -48,9 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept(spark) as keep_path:
+            path = new_path(spark, f"pipeline-{name}")
+            keep_path(path)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
