@@ -89,10 +89,11 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return out.unionByName(on_path.join(placed.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth"))
 
 
-def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
+def format_paths(nodes: DataFrame, branches: int = 1, texts: DataFrame | None = None) -> DataFrame:
     """(tree, leaf, rank, formatted, loss): one conversation per chosen path; loss holds the
-    spans [start, end) in code points of assistant texts, as they stand in ``formatted``."""
-    texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escaped_role(F.col("role")).alias("shown"), escaped(F.col("text")).alias("text"))
+    spans [start, end) in code points of assistant texts, as they stand in ``formatted``. ``texts`` (tree, node, role,
+    text): where ``nodes`` is given without them; dealt by tree, they are not dealt again while paths are few."""
+    texts = (nodes if texts is None else texts).select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escaped_role(F.col("role")).alias("shown"), escaped(F.col("text")).alias("text"))
     turn = F.struct("depth", "node", "role", "shown", "text")
     chosen, _ = keep(paths(nodes, branches), "reply-paths")
     chosen = F.broadcast(chosen) if chosen.count() <= FEW else chosen  # numbers only: the texts stay where they are
@@ -132,8 +133,11 @@ PROBE = r"\### Assistant: </turn> ok"
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id bigint, turn bigint, role string, text string")
-    nodes, _ = keep(chains(every.unionByName(probe)), "chat-nodes")
-    out, _ = keep(format_paths(nodes), "chat-formatted")
+    every = every.unionByName(probe)
+    # the numbers of a chain do not depend on its texts, so these are dealt once, by tree, when paths are known
+    plain = every.select("conv_id", "turn", *(F.lit(None).cast("string").alias(c) for c in ("role", "text")))
+    nodes, _ = keep(chains(plain).select("tree", "node", "parent", "score"), "chat-nodes")
+    out, _ = keep(format_paths(nodes, texts=chains(every)), "chat-formatted")
     read = out.select("tree", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
