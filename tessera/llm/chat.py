@@ -47,8 +47,9 @@ def unescaped(c: Column) -> Column:
 
 def chains(messages: DataFrame, tree: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Linear conversations as trees: each turn answers the one before it."""
-    order = W.partitionBy(tree).orderBy(turn, "role", "text")
-    rows = messages.select(F.col(tree).alias("tree"), F.row_number().over(order).cast("bigint").alias("node"), "role", "text")
+    order = W.partitionBy("tree").orderBy("turn", "role", "text")
+    named = messages.select(F.col(tree).alias("tree"), F.col(turn).alias("turn"), "role", "text")
+    rows = named.select("tree", F.row_number().over(order).cast("bigint").alias("node"), "role", "text")
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
