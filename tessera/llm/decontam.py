@@ -151,21 +151,28 @@ def has(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_list[at] == x if len(sorted_list) else np.zeros(len(x), bool)
 
 
-def near(lists: list[np.ndarray], most: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near(terms: tuple[int, ...], of, most: int, first: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of the smallest intervals of at most ``most`` words of a document that hold a position of
-    every list; the rarest list comes first."""
+    every term; the rarest comes first, ``of`` gives a term's positions. A match lies around a position of the rarest
+    term that has all others near it; ``known`` keeps those positions by the first terms, since windows that overlap
+    share them."""
     none = np.zeros(0, np.int64)
-    p = lists[0]
-    doc = np.searchsorted(first, p, "right") - 1
-    for q in lists[1:]:  # a match lies around a position of the rarest word that has all others near it
+    for k in range(len(terms)):
+        key = most, terms[: k + 1]
+        if key not in known:
+            q = of(terms[k])
+            if not k:
+                known[key] = q, np.searchsorted(first, q, "right") - 1
+            else:
+                p, doc = known[most, terms[:k]]
+                at = np.searchsorted(q, p, "right")
+                left, right = q[np.maximum(at - 1, 0)], q[np.minimum(at, len(q) - 1)]
+                ok = ((at > 0) & (left > p - most) & (left >= first[doc])) | ((at < len(q)) & (right < p + most) & (right < first[doc + 1]))
+                known[key] = p[ok], doc[ok]
+        p, doc = known[key]
         if not len(p):
             return none, none, none
-        at = np.searchsorted(q, p, "right")
-        left, right = q[np.maximum(at - 1, 0)], q[np.minimum(at, len(q) - 1)]
-        ok = ((at > 0) & (left > p - most) & (left >= first[doc])) | ((at < len(q)) & (right < p + most) & (right < first[doc + 1]))
-        p, doc = p[ok], doc[ok]
-    if not len(p):
-        return none, none, none
+    lists = [of(k) for k in terms]
     low, high = np.maximum(p - most + 1, first[doc]), np.minimum(p + most, first[doc + 1])
     ends = np.unique(np.concatenate([q[vec.gather(np.searchsorted(q, low), np.searchsorted(q, high))] for q in lists]))
     # for every place where an interval may end: the latest position of each word up to there
@@ -186,16 +193,16 @@ def match(q: Phrases, terms, checks, counts, pos, first, slop: int | None):
     begin = np.concatenate([[0], np.cumsum(counts)])
     at = np.searchsorted(terms, q.h1)
     at[at == len(terms)] = 0
-    known = (terms[at] == q.h1) & (checks[at] == q.h2) if len(terms) else np.zeros(len(q.h1), bool)
-    df = np.append(np.where(known, counts[at] if len(counts) else 0, 0), np.iinfo(np.int64).max)  # the last: no term
+    there = (terms[at] == q.h1) & (checks[at] == q.h2) if len(terms) else np.zeros(len(q.h1), bool)
+    df = np.append(np.where(there, counts[at] if len(counts) else 0, 0), np.iinfo(np.int64).max)  # the last: no term
     per = df[q.windows]
-    win, start, close = [], [], [np.zeros((0, 4), np.int64)]
+    win, start, close, known = [], [], [np.zeros((0, 4), np.int64)], {}
     for w in np.flatnonzero(per.min(axis=1) > 0).tolist() if len(per) else ():
         n = int(q.length[w])
         order = np.argsort(per[w, :n], kind="stable")
         lists = [pos[begin[k] : begin[k + 1]] for k in at[q.windows[w, order]]]
         if slop is not None:
-            found = near([lists[k] for k in range(n) if q.windows[w, order[k]] not in q.windows[w, order[:k]]], n + slop, first)
+            found = near(tuple(dict.fromkeys(at[q.windows[w, order]].tolist())), lambda k: pos[begin[k] : begin[k + 1]], n + slop, first, known)
             close.append(np.stack([np.full(len(found[0]), w), *found], axis=1))
         cand = lists[0] - order[0]
         for off, p in zip(order[1:], lists[1:], strict=True):
