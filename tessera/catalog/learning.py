@@ -42,9 +42,26 @@ def kmeans_update(spark, d):
     return rounded(means.select("cluster", F.posexplode("mean").alias("dim", "m")), "m")
 
 
-@QUERIES.add()
+ROUNDS = 5
+
+
+def _lloyd_sql() -> str:
+    """All rounds one after the other; the answer is that of the first in which few vectors moved, or of the last."""
+    parts = [CENTRES.replace(", c AS (", ", c0 AS (")]
+    for k in range(1, ROUNDS + 1):
+        parts.append(f"d{k} AS (SELECT vec_id, cluster, round(sum((f - m) * (f - m)), 9) AS dist FROM e JOIN c{k - 1} USING (dim) GROUP BY 1, 2)")
+        parts.append(f"n{k} AS MATERIALIZED (SELECT vec_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) AS rn FROM d{k}) WHERE rn = 1)")
+        parts.append(f"c{k} AS MATERIALIZED (SELECT cluster, dim, avg(f) AS m FROM n{k} JOIN e USING (vec_id) GROUP BY 1, 2)")
+    still = " UNION ALL ".join(f"SELECT {k} AS k WHERE (SELECT count(*) FROM n{k} a JOIN n{k - 1} b USING (vec_id) WHERE a.cluster <> b.cluster) <= 0.01 * (SELECT count(*) FROM vec)" for k in range(2, ROUNDS + 1))
+    parts.append(f"last AS (SELECT coalesce(min(k), {ROUNDS}) AS k FROM ({still}))")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM c{k}" for k in range(1, ROUNDS + 1))
+    return ",\n".join(parts) + f" SELECT cluster, dim, round(m, 9) AS m FROM ({every}) JOIN last USING (k)"
+
+
+@QUERIES.add(_lloyd_sql())
 def kmeans_fit(spark, d):
-    return L.kmeans(A.vectors(spark, d), centroids(spark, d), rounds=5)
+    found = L.kmeans(A.vectors(spark, d), centroids(spark, d), rounds=ROUNDS)
+    return rounded(found.select("cluster", F.posexplode("mean").alias("dim", "m")), "m")
 
 
 @QUERIES.add(A.sql("raster") + ", b AS (SELECT image_id, x, y, greatest(0, least(4, CAST(floor(x * 5 / 49.0) AS INT))) AS i, greatest(0, least(3, CAST(floor(y * 4 / 10.0) AS INT))) AS j FROM raster) SELECT image_id, x, y, i * 4 + j AS bucket FROM b")

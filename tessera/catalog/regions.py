@@ -149,7 +149,16 @@ def slic_assign(spark, d):
     return R.grid_assign(px, R.grid_centres(px, (5, 4)), (5, 4), 2.0)
 
 
-@QUERIES.add()
+def _grid_sql(rounds: int) -> str:
+    parts = [A.sql("raster"), "px AS (SELECT *, x // 5 AS gx, y // 5 AS gy FROM raster)", "c0 AS (SELECT image_id, gx AS cx, gy AS cy, avg(x) AS mx, avg(y) AS my, avg(v) AS mv FROM px GROUP BY 1, 2, 3)"]
+    for k in range(rounds + 1):
+        parts.append(f"d{k} AS (SELECT p.image_id, x, y, v, cx, cy, round(4.0 * ((x - mx) * (x - mx) + (y - my) * (y - my)) + (v - mv) * (v - mv), 9) AS dist FROM px p JOIN c{k} c ON c.image_id = p.image_id AND abs(cx - gx) <= 1 AND abs(cy - gy) <= 1)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY dist, cy, cx) AS rn FROM d{k}) WHERE rn = 1)")
+        parts.append(f"c{k + 1} AS (SELECT image_id, cx, cy, coalesce(mx, 0) AS mx, coalesce(my, 0) AS my, coalesce(mv, 0) AS mv FROM (SELECT image_id, cx, cy FROM c{k}) LEFT JOIN (SELECT image_id, cx, cy, avg(x) AS mx, avg(y) AS my, avg(v) AS mv FROM r{k} GROUP BY 1, 2, 3) USING (image_id, cx, cy))")
+    return ",\n".join(parts) + f" SELECT image_id, x, y, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy FROM r{rounds}"
+
+
+@QUERIES.add(_grid_sql(2))
 def slic_superpixels(spark, d):
     return R.grid_superpixels(A.raster(spark, d), 5, 2.0, iterations=2)
 

@@ -49,8 +49,8 @@ def lloyd(x, means, rounds, change=0.01):
 def test_kmeans(spark, small, vectors):
     _, x, label = vectors
     want = lloyd(x, np.array([x[label == k].mean(axis=0) for k in range(10)]), 5)
-    got = CL.kmeans_fit(spark, small).orderBy("cluster").collect()
-    assert np.allclose([r["mean"] for r in got], want)
+    got = CL.kmeans_fit(spark, small).orderBy("cluster", "dim").collect()
+    assert np.allclose(np.array([r["m"] for r in got]).reshape(want.shape), want)
 
 
 def test_codebooks(spark, small, vectors, tmp_path):
