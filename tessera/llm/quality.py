@@ -10,9 +10,11 @@ the segment's texts. A document goes when its perplexity per symbol is above its
 quantile over held-out trusted text, or what a word costs below the lower one over all trusted text (text
 that repeats itself is too easy to foretell; the model's own training texts say how easy good text is). A short text strays farther from the mean than a long one, so quantiles are
 taken of standardised deviations: the spread at each length is fitted to the language's held-out texts
-(variance between texts, and variance per symbol or word divided by their number), and no constant
-stands beside the levels of the quantiles. Extreme quantiles of few texts say little: a language's bounds
-are no narrower than those over all languages' held-out texts.
+(variance between texts, and variance per symbol or word divided by their number). A sample says little
+of a quantile so far out that hardly any of its texts lies past it; so a bound is the sample's quantile or,
+if that is wider, the normal tolerance bound that covers the quantile with ``CONFIDENCE`` given so many
+texts. A language's bounds are no narrower than those over all languages' texts, and are those where it
+has fewer than ``LEAST_TEXTS``.
 
 Defined results: null or empty text has null perplexity and is not kept; a null language is one of
 its own; a language without trusted text takes mean, spread and quantiles of all trusted text; where no
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,9 @@ SYMBOLS, START, REPEAT, CAPITAL = 0x110003, 0, 0x110001, 0x110002
 SEGMENT_BYTES, SHARD_BITS = 6 << 20, 8
 #: Levels of the quantiles of trusted text between which a document stays.
 UPPER, LOWER = 0.9995, 0.0005
-#: Held-out texts that a language needs to have a spread of its own.
+#: With what probability a tolerance bound covers its quantile.
+CONFIDENCE = 0.95
+#: Held-out texts that a language needs to have a spread and bounds of its own.
 LEAST_TEXTS = 30
 #: Every count gives up this much, so that nothing has probability zero.
 LEAST_DISCOUNT = 0.05
@@ -368,6 +373,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return _classified(docs, labels, id_col, text_col, lang_col).drop("row")
 
 
+def tolerance(n: Column, level: float) -> Column:
+    """Standard deviations from the mean of n texts (three at least) that cover the quantile ``level`` of a normal
+    distribution with ``CONFIDENCE`` (one-sided, by the usual approximation)."""
+    z, c = NormalDist().inv_cdf(level), NormalDist().inv_cdf(CONFIDENCE)
+    n = F.greatest(n, F.lit(3))
+    a, b = 1 - c * c / (2 * (n - 1)), z * z - c * c / n
+    return (z + F.sqrt(F.greatest(z * z - a * b, F.lit(0.0)))) / a
+
+
 def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """The rows of classify with their row keys."""
     ids = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("_trusted")).distinct()
@@ -419,11 +433,12 @@ def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             rows = rows.withColumn(f"dev_{a}", (F.col("nll") / F.col(n) - F.col(f"mean_{a}")) / F.sqrt(variance(a, n)))
         return rows
 
-    most = F.percentile_approx("dev_symbol", UPPER, 10_000).alias("most")
-    least = F.percentile_approx("dev_word", LOWER, 10_000).alias("least")
+    most = F.greatest(F.percentile_approx("dev_symbol", UPPER, 10_000), F.avg("dev_symbol") + tolerance(F.count("*"), UPPER) * F.stddev_pop("dev_symbol"))
+    least = F.least(F.percentile_approx("dev_word", LOWER, 10_000), F.avg("dev_word") - tolerance(F.count("*"), 1 - LOWER) * F.stddev_pop("dev_word"))
+    enough = lambda bound: F.when(F.count("*") >= LEAST_TEXTS, bound)
     strange, easy = deviations(good), deviations(of(ids))
-    highest, overall_most = by_language(strange, [most]), strange.agg(most).first()[0]
-    lowest, overall_least = by_language(easy, [least]), easy.agg(least).first()[0]
+    highest, overall_most = by_language(strange, [enough(most).alias("most")]), strange.agg(most).first()[0]
+    lowest, overall_least = by_language(easy, [enough(least).alias("least")]), easy.agg(least).first()[0]
     out = deviations(scored).join(highest, same, "left").drop("_lang").join(lowest, same, "left")
     out = out.withColumn("most", F.greatest("most", F.lit(overall_most).cast("double"))).withColumn("least", F.least("least", F.lit(overall_least).cast("double")))
     has_text = F.col("n_symbols") > 0

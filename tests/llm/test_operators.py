@@ -415,8 +415,20 @@ def test_decisions_against_plain_numbers(spark):
         v = own[1](n) if own[0] >= quality.LEAST_TEXTS else max(own[1](n), pool)
         return (r.nll / n - mean.get((a, r.lang), mean[a, "all"])) / v**0.5
 
-    most = {k: max(deviation(r, "symbol") for r in good if k in (r.lang, "all")) for k in [*langs, "all"]}  # the level is that of the largest
-    least = {k: min(deviation(r, "word") for r in scored.values() if r.doc_id < 240 and r.n_symbols and k in (r.lang, "all")) for k in [*langs, "all"]}
+    from statistics import NormalDist
+
+    def bounds(rows, a, sign):
+        """The outermost deviation (the level asks for it in so few), or the tolerance bound."""
+        out = {}
+        for k in [*langs, "all"]:
+            d = np.array([sign * deviation(r, a) for r in rows if k in (r.lang, "all")])
+            z, c, n = NormalDist().inv_cdf(quality.UPPER), NormalDist().inv_cdf(quality.CONFIDENCE), len(d)
+            x, y = 1 - c * c / (2 * (n - 1)), z * z - c * c / n
+            if n >= quality.LEAST_TEXTS or k == "all":
+                out[k] = sign * max(d.max(), d.mean() + (z + (z * z - x * y) ** 0.5) / x * d.std())
+        return out
+
+    most, least = bounds(good, "symbol", 1), bounds([r for r in scored.values() if r.doc_id < 240 and r.n_symbols], "word", -1)
     got = by_id(quality.classify(docs, labels))
     assert len(got) == 304 and len({r.keep for r in got.values()}) == 2
     for i, r in scored.items():
