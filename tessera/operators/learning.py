@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import imaging as I
 from tessera.operators.bins import filled
-from tessera.storage import stored
+from tessera.storage import Rounds, stored
 
 # --- vectors and clusters ---------------------------------------------------------------------------
 
@@ -82,9 +82,10 @@ def cluster_means(vectors: DataFrame, assigned: DataFrame, key: str = "vec_id")
 def kmeans(vectors: DataFrame, first: DataFrame, change: float = 0.01, rounds: int = 20, key: str = "vec_id") -> DataFrame:
     """Lloyd's algorithm from given centroids until less than a share ``change`` of vectors moves."""
     centroids, total, before = first, vectors.count(), None
+    labels, means = Rounds("assigned"), Rounds("centroids")
     for _ in range(rounds):
-        assigned = stored(nearest(vectors, centroids, key), "assigned")
-        centroids = stored(cluster_means(vectors, assigned, key), "centroids")
+        assigned = labels.store(nearest(vectors, centroids, key))
+        centroids = means.store(cluster_means(vectors, assigned, key))
         if before is not None:
             moved = assigned.alias("a").join(before.alias("b"), key).where(F.col("a.cluster") != F.col("b.cluster")).count()
             if moved <= change * total:
@@ -266,7 +267,8 @@ def train_boosting(rows: DataFrame, classes: int, thresholds: Sequence[float], r
     """Joint boosting of shared stumps over (id, target, features array). Each round is one distributed aggregation
     and a choice among its few sums on the driver."""
     zero = F.array_repeat(F.lit(0.0), classes)
-    data = stored(rows.select("id", F.col("features").cast("array<double>"), F.col("target").cast("int"), zero.alias("margin")), "boost")
+    kept = Rounds("boost")
+    data = kept.store(rows.select("id", F.col("features").cast("array<double>"), F.col("target").cast("int"), zero.alias("margin")))
     model: list[dict] = []
     held = 0  # stumps that the stored margins know
     for _ in range(rounds):
@@ -275,7 +277,7 @@ def train_boosting(rows: DataFrame, classes: int, thresholds: Sequence[float], r
         if best is None:
             break
         if len(model) - held >= STORE_ROUNDS:
-            data, held = stored(fresh, "boost"), len(model)
+            data, held = kept.store(fresh), len(model)
         model.append(best)
     return model
 

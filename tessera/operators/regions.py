@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.graphs import eight_neighbours
-from tessera.storage import stored
+from tessera.storage import Rounds, stored
 
 SEG = ["image_id", "seg_id"]
 
@@ -133,13 +133,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str] | N
     their label's label, so rounds grow with the logarithm of a component's width."""
     keys = keys or ["image_id"]
     both = stored(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b"), F.col("a"))).distinct(), "cc-edges")
-    labels = stored(nodes.select(*keys, "node", F.col("node").alias("root")), "cc-labels")
+    kept = Rounds("cc-labels")
+    labels = kept.store(nodes.select(*keys, "node", F.col("node").alias("root")))
     while True:
         around = both.join(labels.select(*keys, F.col("node").alias("b"), F.col("root").alias("_r")), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("_r").alias("_r"))
         spread = labels.join(around, [*keys, "node"], "left").select(*keys, "node", F.least("root", F.coalesce("_r", "root")).alias("root"), F.col("root").alias("_old"))
         jump = spread.select(*keys, F.col("node").alias("root"), F.col("root").alias("_far"))
         moved = spread.join(jump, [*keys, "root"], "left").select(*keys, "node", F.least("root", F.coalesce("_far", "root")).alias("root"), "_old")
-        nxt = stored(moved, "cc-labels")
+        nxt = kept.store(moved)
         labels = nxt.drop("_old")
         if nxt.where("root <> _old").isEmpty():
             return labels
@@ -179,11 +180,11 @@ def grid_assign(pixels: DataFrame, centres: DataFrame, distance: int | tuple[int
 
 def grid_superpixels(pixels: DataFrame, distance: int, ratio: float, iterations: int = 3, reach: int = 1) -> DataFrame:
     """Grid k-means for a fixed number of iterations; centres that lose all pixels move to zero."""
-    centres = grid_centres(pixels, distance)
+    centres, kept = grid_centres(pixels, distance), Rounds("centres")
     for _ in range(iterations):
         got = grid_assign(pixels, centres, distance, ratio, reach)
         means = got.join(pixels, ["image_id", "x", "y"]).groupBy("image_id", "cx", "cy").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("v").alias("mv"))
-        centres = stored(centres.select("image_id", "cx", "cy").join(means, ["image_id", "cx", "cy"], "left").na.fill(0.0), "centres")
+        centres = kept.store(centres.select("image_id", "cx", "cy").join(means, ["image_id", "cx", "cy"], "left").na.fill(0.0))
     return grid_assign(pixels, centres, distance, ratio, reach)
 
 
@@ -247,7 +248,8 @@ def mean_shift(pixels: DataFrame, space: float, colour: float, bands: list[str]
 
 def absorb_small(members: DataFrame, least: int, value: str = "v") -> DataFrame:
     """Segments under ``least`` pixels join the touching segment of the nearest mean until none is left."""
-    current = stored(members, "regions")
+    kept = Rounds("regions")
+    current = kept.store(members)
     while True:
         means = current.groupBy(*SEG).agg(F.count("*").alias("n"), F.avg(value).alias("m"))
         small = means.where(F.col("n") < least)
@@ -259,7 +261,7 @@ def absorb_small(members: DataFrame, least: int, value: str = "v") -> DataFrame:
         best = best.where((F.col("_n") >= least) | (F.col("b") < F.col("a"))).groupBy("image_id", F.col("a").alias("seg_id")).agg(F.min(F.struct(F.abs(F.col("_m") - F.col("_o")).alias("d"), F.col("b").alias("b"))).alias("to"))
         if best.isEmpty():
             return current
-        current = stored(current.join(best, SEG, "left").withColumn("seg_id", F.coalesce("to.b", "seg_id")).drop("to"), "regions")
+        current = kept.store(current.join(best, SEG, "left").withColumn("seg_id", F.coalesce("to.b", "seg_id")).drop("to"))
 
 
 def flood_modes(modes: DataFrame, bands: list[str], gap: float = 1.0) -> DataFrame:

@@ -27,3 +27,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Rounds:
+    """A loop's stored tables of one kind: the last two stay, those before them are deleted."""
+
+    def __init__(self, name: str):
+        self.name, self.paths = name, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = scratch(spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        while len(self.paths) > 2:
+            drop(spark, self.paths.pop(0))
+        return spark.read.schema(df.schema).parquet(path)
