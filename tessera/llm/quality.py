@@ -400,7 +400,7 @@ def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     def by_language(rows: DataFrame, stats: list[Column]) -> DataFrame:
         """One row per language that has trusted text; few, as languages are."""
         out = rows.groupBy("lang").agg(*stats).withColumnRenamed("lang", "_lang")
-        return keep(out, "language-statistics")[0]
+        return keep(out.coalesce(1), "language-statistics")[0]
 
     # means, then the spread of deviations by length, then quantiles of standardised deviations
     means = [F.sum("nll") / F.sum(n) for _, n in axes]
