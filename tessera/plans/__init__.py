@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import sinks, tables
 from tessera.operators import costs, graphs, learning, metrics, raster, regions
 
 KEY = ["image_id", "x", "y"]
@@ -72,6 +75,77 @@ class LabelPlan:
         return graphs.label_images(nodes, edges, sweeps=self.sweeps)
 
 
+class UnaryPotential(ABC):
+    """Costs of labels per pixel; trained before it is asked, if it needs to be."""
+
+    def train(self, pixels: DataFrame) -> None:
+        """Fits what the costs need."""
+
+    @abstractmethod
+    def costs(self, pixels: DataFrame) -> DataFrame:
+        """(image_id, x, y, cls, cost), one row a label; several potentials add up."""
+
+
+class PairwisePotential(ABC):
+    """Weights between pixels."""
+
+    @abstractmethod
+    def edges(self, pixels: DataFrame) -> DataFrame:
+        """(image_id, x, y, nx, ny, w); several potentials add up."""
+
+
+@dataclass
+class Contrast(PairwisePotential):
+    """Neighbours of like colour pull together."""
+
+    bands: list[str]
+    weights: list[float]
+    prior: float = 1.0
+    factor: float = 2.0
+    beta: float = 1000.0
+
+    def edges(self, pixels: DataFrame) -> DataFrame:
+        w = graphs.contrast_weight(self.bands, self.weights, self.prior, self.factor, self.beta)
+        return graphs.eight_neighbours(pixels, *self.bands).select(*KEY, "nx", "ny", w.alias("w"))
+
+
+@dataclass
+class FieldPlan:
+    """A random field put together from potentials, and its labels of least energy."""
+
+    unary: list[UnaryPotential]
+    pairwise: list[PairwisePotential]
+    sweeps: int = 4
+    truncated: float | None = None
+
+    def train(self, pixels: DataFrame) -> None:
+        for p in self.unary:
+            p.train(pixels)
+
+    def solve(self, pixels: DataFrame) -> DataFrame:
+        """(image_id, x, y, label, energy)."""
+        node = lambda x, y: F.col(y).cast("bigint") * (1 << 24) + F.col(x)
+        every = reduce(DataFrame.unionByName, (p.costs(pixels).select(*KEY, "cls", "cost") for p in self.unary))
+        summed = every.groupBy(*KEY, "cls").agg(F.sum("cost").alias("cost")).groupBy(*KEY)
+        nodes = summed.agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "cost"))), lambda c: c["cost"]).alias("costs")).select("image_id", node("x", "y").alias("node"), "costs")
+        edges = reduce(DataFrame.unionByName, (p.edges(pixels).select("image_id", node("x", "y").alias("u"), node("nx", "ny").alias("v"), F.col("w").cast("double")) for p in self.pairwise))
+        out = graphs.label_images(nodes, edges, sweeps=self.sweeps, truncated=self.truncated)
+        return out.select("image_id", (F.col("node") % (1 << 24)).cast("int").alias("x"), F.floor(F.col("node") / (1 << 24)).cast("int").alias("y"), "label", "energy")
+
+
+@dataclass
+class Dataset:
+    """How a data set writes its labels: a palette (label, r, g, b), label 0 void."""
+
+    palette: DataFrame
+
+    def decode(self, pixels: DataFrame) -> DataFrame:
+        return tables.decode_labels(pixels, self.palette)
+
+    def encode(self, labels: DataFrame) -> DataFrame:
+        return sinks.encode_labels(labels, self.palette)
+
+
 @dataclass
 class EvaluationPlan:
     """Scored pixels with truth to curves and the six headline measures per category."""

@@ -45,3 +45,33 @@ def test_scans_as_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.frame for r in rows) == ["000001", "000002"] and all(r.idx == 1 for r in rows)
+
+
+def test_fields_from_potentials(spark, small):
+    px = A.rgb(spark, small).withColumn("v", F.col("r").cast("double"))
+
+    class Level(plans.UnaryPotential):
+        middle = 0.0
+
+        def train(self, pixels):
+            self.middle = pixels.agg(F.avg("v")).first()[0]
+
+        def costs(self, pixels):
+            off = (F.col("v") - self.middle) / 10
+            return pixels.select("image_id", "x", "y", F.posexplode(F.array(F.greatest(off, F.lit(0.0)), F.greatest(-off, F.lit(0.0)))).alias("cls", "cost"))
+
+    level = Level()
+    plan = plans.FieldPlan([level, level], [plans.Contrast(["v"], [1.0]), plans.Contrast(["v"], [1.0], prior=0.5)])
+    plan.train(px)
+    assert level.middle > 0
+    out = plan.solve(px)
+    assert {(r.image_id, r.x, r.y) for r in out.collect()} == {(r.image_id, r.x, r.y) for r in px.collect()}
+    apart = plans.FieldPlan([level], [plans.Contrast(["v"], [1.0], prior=0.0, factor=0.0)]).solve(px).join(px, ["image_id", "x", "y"]).collect()
+    assert all(r.label == (r.v > level.middle) for r in apart if r.v != level.middle)
+
+
+def test_labels_of_a_data_set(spark):
+    data = plans.Dataset(spark.createDataFrame([(1, 255, 0, 0), (2, 0, 255, 0)], "label int, r int, g int, b int"))
+    labels = spark.createDataFrame([("a", 0, 0, 1), ("a", 0, 1, 2), ("a", 0, 2, 0)], "image_id string, y int, x int, label int")
+    back = data.decode(data.encode(labels).drop("label")).select("image_id", "y", "x", "label")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, labels.collect()))
