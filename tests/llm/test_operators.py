@@ -156,6 +156,14 @@ def test_near_groups(spark):
     assert simhash.drop_near(frame(spark, values)).count() == len(set(components(prints).values()))
 
 
+def test_near_groups_of_null_and_repeated_ids(spark):
+    rows = [(None, "one two three four"), (7, "ONE two three four"), (7, "one two three four"), (4, "something else here at all"), (4, None), (9, ""), (None, None)]
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    prints = [fingerprint(t) for _, t in rows]
+    assert sorted((r.doc_id or 0, r.fingerprint) for r in got) == sorted((i or 0, f"{p:016x}") for (i, _), p in zip(rows, prints, strict=True))
+    assert {(r.fingerprint, r.doc_id): r.component_id for r in got} == {(f"{p:016x}", i): None if i is None else min(j for (j, _), q in zip(rows, prints, strict=True) if q == p and j is not None) for (i, _), p in zip(rows, prints, strict=True)}
+
+
 @pytest.mark.parametrize("hot", [4096, 20])
 def test_links_connect_what_lies_near(spark, hot):
     """A dense cluster, chains of three bits, and strangers; small ``hot`` deals long runs out again."""
