@@ -241,7 +241,7 @@ def shas(col: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(o[:-1], o[1:], strict=True)], pa.string())
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[int, Codec] = vec.cache()
 
 
 def codec_of(shared) -> Codec:
@@ -326,7 +326,7 @@ def _columns(shared, make, names):
                 yield pa.RecordBatch.from_arrays([*head, *make(codec, ids)], names=names)
                 at += len(ids)
 
-    return vec.tidy(run)
+    return vec.tidy(run, keeps=True)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

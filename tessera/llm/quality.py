@@ -301,6 +301,7 @@ def _ask(bits: int):
 
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    vec.drop_caches()
     n, k, p = (model.column(c).to_numpy() for c in ("n", "k", "p"))
     k = k.view(np.uint64)
     tables = []
@@ -329,6 +330,7 @@ def _pack(batches):
 
 
 def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+    vec.drop_caches()
     keys, p, g = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("p", np.float32), ("g", np.float32)))
     keys, at = np.unique(keys, return_index=True)
     p, g = p[at], g[at]

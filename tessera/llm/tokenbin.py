@@ -244,7 +244,7 @@ class Tokens:
             yield np.concatenate(lists).astype(np.int32), np.cumsum([0] + [len(x) for x in lists])
 
 
-_TOKENS: dict[str, Tokens] = {}
+_TOKENS: dict[str, Tokens] = vec.cache()
 
 
 TOKEN_SCHEMA = "doc_id bigint, tie bigint, part int, width int, ids binary, counts binary"
@@ -286,7 +286,7 @@ def _tokenize(shared, end_id: int, vocab: int):
                 done += n
         yield batch(pa.nulls(1, pa.int64()), [0], [-1], [0], pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()))
 
-    return vec.tidy(run)
+    return vec.tidy(run, keeps=True)
 
 
 def token_rows(col_width: pa.Array, col_ids: pa.Array):
@@ -339,7 +339,7 @@ def _write_blocks(shared):
         if docs:
             yield row(fr, part, k, first, docs, sizes, np.concatenate(arrays).astype(np.int64))
 
-    return vec.tidy(run)
+    return vec.tidy(run, keeps=True)
 
 
 def part_cuts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -408,7 +408,7 @@ def _read_stretches(shared, digest: bool):
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "at", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return vec.tidy(run)
+    return vec.tidy(run, keeps=True)
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False, id_col: str = "doc_id", tasks: int | None = None) -> DataFrame:

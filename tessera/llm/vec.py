@@ -101,10 +101,27 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(run):
-    """``run`` (batches to batches), giving what it has freed back to the system when its task ends."""
+_CACHES: list[dict] = []
+
+
+def cache() -> dict:
+    """A worker's cache that outlives its tasks, until a task of another operator needs the room."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def drop_caches() -> None:
+    for c in _CACHES:
+        c.clear()
+
+
+def tidy(run, keeps: bool = False):
+    """``run`` (batches to batches), giving what it has freed back to the system when its task ends; it drops the
+    worker's caches when it begins, unless it ``keeps`` them."""
 
     def tidied(batches):
+        if not keeps:
+            drop_caches()
         try:
             yield from run(batches)
         finally:
