@@ -25,9 +25,10 @@ def pack_boosting(stumps: list[tuple], theta: str = "<d") -> bytes:
     return struct.pack("<i", len(stumps)) + b"".join(struct.pack("<i", f) + struct.pack(theta, t) + struct.pack(f"<2dI{len(k)}d", a, b, m, *k) for _, f, t, a, b, m, k in stumps)
 
 
-def linear(spark: SparkSession, blob: bytes, classes: int) -> DataFrame:
-    """Linear models: number of features, then weights of each class, then biases."""
-    n = struct.unpack("<i", blob[:4])[0]
+def linear(spark: SparkSession, blob: bytes, classes: int, maps: int = 1) -> DataFrame:
+    """Linear models: number of features, then weights of each class, then biases. ``maps``: weights per feature, of
+    kernel machines."""
+    n = struct.unpack("<i", blob[:4])[0] * maps
     v = np.frombuffer(blob, "<f8", classes * (n + 1), 4)
     return spark.createDataFrame([(c, v[c * n : (c + 1) * n].tolist(), float(v[classes * n + c])) for c in range(classes)], LINEAR)
 
@@ -49,10 +50,10 @@ def kmeans(spark: SparkSession, blob: bytes) -> DataFrame:
     return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], CENTROIDS)
 
 
-def pack_linear(models: list[tuple[int, list[float], float]]) -> bytes:
+def pack_linear(models: list[tuple[int, list[float], float]], maps: int = 1) -> bytes:
     """Rows (cls, w, bias) of linear models as a file."""
     rows = sorted(models)
-    return struct.pack("<i", len(rows[0][1])) + np.array([w for _, w, _ in rows], "<f8").tobytes() + np.array([b for *_, b in rows], "<f8").tobytes()
+    return struct.pack("<i", len(rows[0][1]) // maps) + np.array([w for _, w, _ in rows], "<f8").tobytes() + np.array([b for *_, b in rows], "<f8").tobytes()
 
 
 def pack_forest(nodes: list[tuple], leaves: list[tuple], theta: str = "<f8") -> bytes:

@@ -320,6 +320,12 @@ def test_forest_files(spark):
     assert sorted(map(tuple, back[0].collect())) == nodes and sorted(map(tuple, back[1].collect())) == leaves
 
 
+def test_kernel_machine_files(spark):
+    rows = [(c, [c + 0.5 * k for k in range(12)], -1.0 * c) for c in range(3)]
+    blob = MF.pack_linear(rows, maps=4)
+    assert blob[:4] == b"\x03\0\0\0" and sorted(map(tuple, MF.linear(spark, blob, 3, maps=4).collect())) == rows
+
+
 def test_words_and_empty_exports(spark, tmp_path):
     words = spark.createDataFrame([("a", 0, 0, 3), ("b", 1, 0, 4)], "image_id string, y int, x int, word int")
     K.save_words(words, f"file://{tmp_path}/words")
