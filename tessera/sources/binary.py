@@ -9,11 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The most points that a scan is read to (fixed by the sensor's buffer: a million floats).
-SCAN_POINTS = 250_000
+from tessera.storage import stored
+
+#: What a scan says of a point, and the points that go to Spark at once (of a scan of any length).
+BANDS = ("x", "y", "z", "refl")
+POINTS_AT_ONCE = 65_536
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -38,29 +43,42 @@ def _batches(parse, names: list[str]):
 
 
 def scan(content: DataFrame) -> DataFrame:
-    """(stem, content) -> (frame_id, idx, x, y, z, refl): little-endian float32 quadruples in scan order."""
+    """(stem, content), or pieces of ``pack_scan`` -> (frame_id, idx, x, y, z, refl): little-endian float32 quadruples in
+    scan order, all of them."""
+    start = F.col("start") if "start" in content.columns else F.lit(0).cast("bigint")
 
-    def parse(blob: bytes):
-        p = np.frombuffer(blob[: 16 * min(len(blob) // 16, SCAN_POINTS)], "<f4").reshape(-1, 4)
-        return [np.arange(len(p), dtype=np.int64), *(np.ascontiguousarray(p[:, k]) for k in range(4))]
+    def run(batches):
+        for rb in batches:
+            for stem, start, blob in zip(*(rb.column(k).to_pylist() for k in range(3)), strict=True):
+                blob = blob or b""
+                points = np.frombuffer(blob[: len(blob) // 16 * 16], "<f4").reshape(-1, 4)
+                for at in range(0, len(points), POINTS_AT_ONCE):
+                    p = points[at : at + POINTS_AT_ONCE]
+                    idx = np.arange(start + at, start + at + len(p), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(stem, pa.string()), len(p)), pa.array(idx), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(4))], names=["frame_id", "idx", *BANDS])
 
-    return content.mapInArrow(_batches(parse, ["frame_id", "idx", "x", "y", "z", "refl"]), "frame_id string, idx bigint, x float, y float, z float, refl float")
+    return content.select("stem", start.alias("start"), "content").mapInArrow(run, "frame_id string, idx bigint, x float, y float, z float, refl float")
 
 
 def pack_scan(points: DataFrame, key: str = "frame_id") -> DataFrame:
-    """(key, content): the scan's bytes, in the order of ``idx``."""
-    parts = F.array_sort(F.collect_list(F.struct("idx", "x", "y", "z", "refl")))
-    grouped = points.groupBy(F.col(key).cast("string").alias("stem")).agg(parts.alias("p"))
+    """(stem, start, content): the scans' bytes in the order of ``idx``, in pieces that begin after ``start`` points; a
+    scan's pieces in that order are its file.
+
+    Points are dealt by ranges of key and ``idx``: a long scan is neither one task's nor one row's."""
+    ordered = points.select(F.col(key).cast("string").alias("stem"), "idx", *(F.col(c).cast("float").alias(c) for c in BANDS)).repartitionByRange("stem", "idx").sortWithinPartitions("stem", "idx")
 
     def run(batches):
         for rb in batches:
-            blobs = []
-            for rows in rb.column(1):
-                v = rows.values
-                blobs.append(np.stack([v.field(c).to_numpy(zero_copy_only=False).astype("<f4") for c in ("x", "y", "z", "refl")], axis=1).tobytes())
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(blobs, pa.binary())], names=["stem", "content"])
-
-    return grouped.mapInArrow(run, "stem string, content binary")
+            v = np.stack([rb.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in BANDS], axis=1)
+            stems = pc.run_end_encode(rb.column("stem"))
+            ends = stems.run_ends.to_numpy()
+            n = np.diff(ends, prepend=0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([stems.values, pa.array(n), pa.array([v[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], names=["stem", "n", "content"])
+
+    numbered = ordered.select("stem", *BANDS).mapInArrow(run, "stem string, n bigint, content binary").withColumn("piece", F.monotonically_increasing_id())
+    pieces = stored(numbered, "scan")  # ranges are sampled: once for both sides
+    before = F.sum("n").over(W.partitionBy("stem").orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
+    return pieces.join(pieces.select("piece", F.coalesce(before, F.lit(0)).alias("start")), "piece").select("stem", "start", "content")
 
 
 def segments(content: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import struct
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import adapters as A
-from tessera import plans, streaming
+from tessera import catalog, plans, streaming
 from tessera.catalog import projection
+from tessera.sources import binary
 
 
 def test_evaluation_headline(spark, small):
@@ -47,6 +50,23 @@ def test_scans_as_a_stream(spark, tmp_path):
     assert sorted(r.frame for r in rows) == ["000001", "000002"] and all(r.idx == 1 for r in rows)
 
 
+def test_scans_are_whole(spark, tmp_path):
+    """Scans of more points than the reference's buffer holds: a file, and the query against its SQL."""
+    (tmp_path / "long.bin").write_bytes(np.arange(4 * 250_003, dtype="<f4").tobytes() + b"\0" * 7)
+    file = binary.scan(binary.files(spark, str(tmp_path), "*.bin"))
+    assert tuple(file.agg(F.count("*"), F.countDistinct("idx"), F.max("idx"), F.sum((F.col("refl") == 4 * F.col("idx") + 3).cast("int"))).first()) == (250_003, 250_003, 250_002, 250_003)
+    numbers = spark.range(0, 2_000_000, 3, 6).select(F.col("id").alias("event_id"), F.when(F.col("id") < 99, None).when(F.col("id") % 100 < 40, F.col("id") % 7).otherwise(0).alias("user_id"), (F.hash("id") % 50_000 / 100).alias("value"))
+    numbers.orderBy(F.hash("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    catalog.queries()["scan_points"](spark, str(tmp_path)).write.parquet(str(tmp_path / "ours"))
+    con.execute("CREATE TABLE theirs AS " + catalog.oracle_sql()["scan_points"])
+    con.execute(f"CREATE TABLE ours AS SELECT * FROM '{tmp_path}/ours/*.parquet'")
+    assert con.execute("SELECT max(idx) FROM theirs").fetchone()[0] > 250_000
+    for a, b in (("ours", "theirs"), ("theirs", "ours")):
+        assert con.execute(f"SELECT count(*) FROM (SELECT frame_id, idx, x, y, z, refl FROM {a} EXCEPT ALL SELECT frame_id, idx, x, y, z, refl FROM {b})").fetchone() == (0,)
+
+
 def test_fields_from_potentials(spark, small):
     px = A.rgb(spark, small).withColumn("v", F.col("r").cast("double"))
 
